@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import simhash
+from mediacat.llm import simhash, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+SQL_OP2 = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to,
+       coalesce(url, '') AS url
+FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op2_warc": op2_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": SQL_OP2}
