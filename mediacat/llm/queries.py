@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import simhash, warc
+from mediacat.llm import pii, secrets, simhash, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 SQL_OP2 = """
 WITH p AS (
   SELECT page_id, url, coalesce(html, '') AS html FROM pages
@@ -34,7 +42,12 @@ FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_warc": op2_warc}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_warc": op2_warc,
+        "op6_secrets": op6_secrets,
+        "op10_pii": op10_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
