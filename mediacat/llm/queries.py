@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import chat, html_text, packing, pii, secrets, simhash, warc
+from mediacat.llm import chat, decontaminate, html_text, packing, pii, secrets, simhash, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,31 @@ FROM e GROUP BY conv_id
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+SQL_OP7 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), ds AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d
+), si AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))
+                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i
+), q AS (
+  SELECT item_id, count(*) AS item_shingles FROM si GROUP BY item_id
+), c AS (
+  SELECT doc_id, item_id, count(*) AS shared_shingles FROM ds JOIN si USING (s) GROUP BY doc_id, item_id
+)
+SELECT doc_id, item_id, item_shingles, shared_shingles, round(shared_shingles / item_shingles, 6) AS containment
+FROM c JOIN q USING (item_id) WHERE shared_shingles >= round(0.8 * item_shingles, 9)
+"""
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -81,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op5_chat": op5_chat,
         "op6_secrets": op6_secrets,
+        "op7_decontaminate": op7_decontaminate,
         "op8_html": op8_html,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
@@ -88,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5}
+    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5, "op7_decontaminate": SQL_OP7}
