@@ -94,3 +94,10 @@ def contained_items(
         .withColumn("containment", F.round(F.col("shared_shingles") / F.col("item_shingles"), 6))
         .where(F.col("shared_shingles") >= F.round(threshold * F.col("item_shingles"), 9))
     )
+
+
+def contained_texts(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """``(key)``: the hashes ``xxhash64(text)``, nulls as empty, of the texts that contain an item. Materialized."""
+    texts = docs.select(F.xxhash64(text_or_empty(text_col)).alias("id"), text_or_empty(text_col).alias("text"))
+    bench = items.select(F.lit(0).alias("item"), text_or_empty(item_text_col).alias("text"))
+    return materialize(contained_items(texts, bench, threshold, "id", "text", "item", "text").select(F.col("id").alias("key")).distinct())
