@@ -14,8 +14,8 @@ passage in a long text counts.
 
 Fitting is bounded: at most ``MOST_POSITIVE`` positive and ``MOST_UNLABELLED`` unlabelled
 texts, chosen by a hash of their ids, and ``FEATURES`` features, those that mark toxic texts
-by the same class prior. Only their hashed features reach the driver. Scoring
-covers every whole text.
+by the same class prior. Features are counted by Spark; only the places of the chosen ones
+reach the driver. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -67,32 +67,29 @@ def _logistic(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = FEATURES) -> np.ndarray:
-    """The features that mark toxic texts. By Bayes' rule a text with a feature is toxic with
-    probability prior * share of positives / share of unlabelled; kept are features for which
-    this, with the first share lowered by its standard error, is above ``MARKS``, at most
-    ``most`` of them, the commonest among positives first; ties go to the smaller hash."""
-    names, where = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
-    n_p = sum(map(len, positive))
-    p = np.bincount(where[:n_p], minlength=len(names)) / len(positive)
-    u = (np.bincount(where[n_p:], minlength=len(names)) + 1) / (len(unlabelled) + 1)
-    toxic = prior * (p - np.sqrt(p * (1 - p) / len(positive))) / u
-    order = np.lexsort((names, -p))
-    return np.sort(names[order[toxic[order] > MARKS][:most]])
+def select_features(counts: DataFrame, n_positive: int, n_unlabelled: int, prior: float, most: int = FEATURES) -> np.ndarray:
+    """The features that mark toxic texts, from ``(feature, p, u)``: how many positive and
+    unlabelled texts have each. By Bayes' rule a text with a feature is toxic with probability
+    prior * share of positives / share of unlabelled; kept are features for which this, with
+    the first share lowered by its standard error, is above ``MARKS``, at most ``most`` of
+    them, the commonest among positives first; ties go to the smaller hash."""
+    p = F.col("p") / n_positive
+    toxic = prior * (p - F.sqrt(p * (1 - p) / n_positive)) / ((F.col("u") + 1) / (n_unlabelled + 1))
+    found = counts.where((F.col("p") > 1) & (toxic > MARKS)).orderBy(F.desc("p"), "feature").limit(most).collect()
+    return np.sort(np.array([r["feature"] for r in found], dtype=np.int64))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, batches: int = 8, rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> Model:
+def fit(names: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, batches: int = 8, rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> Model:
     """Minimise the non-negative risk of the sigmoid loss l(+) = 1 - score, l(-) = score,
     whose bound keeps single texts from ruling the estimate, with Adam over mini-batches.
-    Deterministic. Without features of toxic texts the model rejects nothing."""
-    if not positive or not unlabelled:
+    Deterministic. Texts are given as places of their features in ``names``. Without features of toxic texts the model rejects nothing."""
+    if not len(names) or not positive or not unlabelled:
         return Model(np.array([], dtype=np.int64), np.array([]), -3.0)
-    names = select_features(positive, unlabelled, prior)
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(rows), len(names)), dtype=np.uint8)
         for k, r in enumerate(rows):
-            x[k, np.searchsorted(names, r[np.isin(r, names, assume_unique=True)])] = 1
+            x[k, r] = 1
         return x
 
     xp, xu = matrix(positive), matrix(unlabelled)
@@ -120,19 +117,33 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(names, w, float(b))
 
 
-def _hashed(df: DataFrame) -> list[np.ndarray]:
-    """The features of each ``text`` of a bounded ``df``."""
+def _counts(positive: DataFrame, unlabelled: DataFrame) -> DataFrame:
+    """``(feature, p, u)``: the texts of each sample that have each feature."""
 
     @F.pandas_udf("array<bigint>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return texts.map(features)
+        return texts.map(features, na_action=None)
 
-    return [np.array(r[0], dtype=np.int64) for r in df.select(hashed("text")).collect()]
+    both = positive.select("text", F.lit(1).alias("y")).unionByName(unlabelled.select("text", F.lit(0).alias("y")))
+    return both.select("y", F.explode(hashed("text")).alias("feature")).groupBy("feature").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u"))
+
+
+def _places(df: DataFrame, names: np.ndarray) -> list[np.ndarray]:
+    """For each ``text`` of a bounded sample, the places of its features in ``names``."""
+
+    def places(text: str | None) -> np.ndarray:
+        return np.flatnonzero(np.isin(names, features(text), assume_unique=True)).astype(np.int32)
+
+    @F.pandas_udf("array<int>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(places, na_action=None)
+
+    return [np.array(r[0], dtype=np.int64) for r in df.select(found("text")).collect()]
 
 
 def _by_hash(df: DataFrame, col: str, rows: int, most: int) -> DataFrame:
     """About ``most`` of the ``rows`` rows, or all if they are fewer: those of small hash."""
-    return df if rows <= most else df.where(F.pmod(F.xxhash64(F.lit("sample"), col), F.lit(1 << 30)) < int(most / rows * (1 << 30)))
+    return df if rows <= most else df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(col)), F.lit(1 << 30)) < int(most / rows * (1 << 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
@@ -144,11 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(fold("id") != 0)
     rows = texts.count()
     if not n_positive or not rows:
-        return fit([], [], 0.5)
+        return fit(np.array([]), [], [], 0.5)
     ids = _by_hash(known.where("y = 1").select("id"), "id", n_positive, most_positive)
-    positive = _hashed(texts.join(F.broadcast(ids), "id", "left_semi"))
-    unlabelled = _hashed(_by_hash(texts, "id", rows, most_unlabelled))
-    return fit(positive, unlabelled, n_positive / n)
+    positive, unlabelled = texts.join(F.broadcast(ids), "id", "left_semi"), _by_hash(texts, "id", rows, most_unlabelled)
+    names = select_features(_counts(positive, unlabelled), min(n_positive, most_positive), min(rows, most_unlabelled), n_positive / n)
+    return fit(names, _places(positive, names), _places(unlabelled, names), n_positive / n)
 
 
 class _Scorer:
