@@ -1 +1 @@
-"""Part of the engine."""
+"""Scalar functions as Column expressions, all inside code generation."""

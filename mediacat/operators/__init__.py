@@ -1 +1 @@
-"""Part of the engine."""
+"""Operators over catalog tables: each takes and returns DataFrames."""

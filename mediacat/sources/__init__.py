@@ -1 +1 @@
-"""Part of the engine."""
+"""Where tables come from: schemas, files, gazetteers, label taxonomies and adapters."""

@@ -1 +1 @@
-"""Part of the engine."""
+"""Streaming forms of ingest and event detection."""
