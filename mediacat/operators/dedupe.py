@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.scalars import path_penalty
 from mediacat.operators.graph import connected_components
+from mediacat.operators.tables import fold_sorted
 from mediacat.operators.vectors import similar_pairs
 
 GROUP = ["content_hash", "file_size"]
@@ -80,21 +80,24 @@ def split_dismissed(members: DataFrame, dismissals: DataFrame) -> DataFrame:
     first_free = free.groupBy("g").agg(F.min("id").alias("id")).select("g", "id", F.array().cast("array<bigint>").alias("foes"))
     choosing = named.unionByName(first_free)
 
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list] = []
-        of = {}
-        for r in g.sort_values("id").itertuples():
-            foes = set(r.foes)
-            home = next((c for c in clusters if foes.isdisjoint(c)), None)
+    def chooser():
+        group, clusters = None, []
+
+        def step(row: tuple) -> int:
+            nonlocal group, clusters
+            *own, member, foes = row
+            if own != group:
+                group, clusters = own, []
+            home = next((c for c in clusters if c.isdisjoint(foes)), None)
             if home is None:
-                clusters.append(home := [])
-            home.append(r.id)
-            of[r.id] = home
-        return pd.DataFrame({"content_hash": g["content_hash"], "file_size": g["file_size"], "id": g["id"], "cluster": [of[i][0] for i in g["id"]]})
+                clusters.append(home := set())
+            home.add(member)
+            return min(home)
+
+        return step
 
-    kinds = dict(members.dtypes)
     flat = choosing.select(F.col("g.content_hash").alias("content_hash"), F.col("g.file_size").alias("file_size"), "id", "foes")
-    chosen = flat.groupBy(*GROUP).applyInPandas(choose, f"content_hash {kinds['content_hash']}, file_size {kinds['file_size']}, id {kinds['id']}, cluster {kinds['id']}")
+    chosen = fold_sorted(flat, GROUP, ["id"], chooser, "cluster", "long", [*GROUP, "id"])
     # Members that no dismissal names all join the first cluster.
     first = chosen.groupBy(*GROUP).agg(F.min("cluster").alias("first"))
     least = keyed.groupBy(*GROUP).agg(F.min("id").alias("least"))

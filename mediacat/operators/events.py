@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.scalars import EARTH_RADIUS_KM, ascii_lower, is_generic_folder, is_located, slashes, trim_space
+from mediacat.operators.tables import fold_sorted
 
 MAX_GAP_S = 4 * 3600
 MAX_SPAN_S = 12 * 3600
@@ -44,34 +45,35 @@ def islands(rows: DataFrame, at: str, gap: int = MAX_GAP_S, keys: tuple[str, ...
     return out.withColumn("island", F.coalesce("mediacat_running", "mediacat_carried")).drop("mediacat_day", "mediacat_before", "mediacat_prev", "mediacat_start", "mediacat_running", "mediacat_carried")
 
 
-def _fold(g: pd.DataFrame) -> pd.DataFrame:
-    """Cut one island at spans and steps; ``event`` is the first id of each part."""
-    g = g.sort_values(["date_taken", "id"])
-    at, located = g["date_taken"].to_numpy(), g["located"].to_numpy()
-    lat, lon, ids = np.radians(g["latitude"].to_numpy(dtype=float)), np.radians(g["longitude"].to_numpy(dtype=float)), g["id"].to_numpy()
-    events = np.empty(len(g), dtype=np.int64)
-    first = last = -1
-    for k in range(len(g)):
-        cut = first >= 0 and at[k] - at[first] > MAX_SPAN_S
-        if first >= 0 and not cut and last >= 0 and located[k]:
-            h = np.sin((lat[k] - lat[last]) / 2) ** 2 + np.cos(lat[last]) * np.cos(lat[k]) * np.sin((lon[k] - lon[last]) / 2) ** 2
-            cut = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(min(1.0, h))) > MAX_STEP_KM
-        if first < 0 or cut:
-            first, last = k, -1
-        if located[k]:
-            last = k
-        events[k] = ids[first]
-    return pd.DataFrame({"id": ids, "event": events})
+def _cutter():
+    """A machine that names each photo's event: one island follows another in time order."""
+    island = first_id = first_at = place = None
+
+    def step(row: tuple) -> int:
+        nonlocal island, first_id, first_at, place
+        own, at, media_id, located, lat, lon = row
+        here = (math.radians(lat), math.radians(lon)) if located else None
+        cut = own != island or at - first_at > MAX_SPAN_S
+        if not cut and place and here:
+            h = math.sin((here[0] - place[0]) / 2) ** 2 + math.cos(place[0]) * math.cos(here[0]) * math.sin((here[1] - place[1]) / 2) ** 2
+            cut = 2 * EARTH_RADIUS_KM * math.asin(math.sqrt(min(1.0, h))) > MAX_STEP_KM
+        if cut:
+            island, first_id, first_at, place = own, media_id, at, None
+        place = here or place
+        return first_id
+
+    return step
 
 
 def event_members(media: DataFrame) -> DataFrame:
     """``(id, event)`` of the dated photos; an event goes by the id of its first photo.
 
-    A gap resets all state, so islands are independent; one island is folded in one task,
-    in time order, over five narrow columns.
+    A gap resets all state, so islands are independent: they are dealt to tasks, in which
+    their photos stream by in time order.
     """
     photos = media.where((F.col("media_type") == "photo") & (F.col("date_taken") != 0)).select("id", "date_taken", "latitude", "longitude", is_located().alias("located"))
-    return islands(photos, "date_taken").groupBy("island").applyInPandas(_fold, "id long, event long")
+    rows = islands(photos, "date_taken").select("island", "date_taken", "id", "located", "latitude", "longitude")
+    return fold_sorted(rows, ["island"], ["date_taken", "id"], _cutter, "event", "long", ["id"])
 
 
 def _common(members: DataFrame, links: DataFrame, tags: DataFrame, sizes: DataFrame, category: str) -> DataFrame:

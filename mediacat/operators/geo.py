@@ -89,4 +89,4 @@ def map_clusters(media: DataFrame, zoom: int, radius_px: float = 50.0, most: int
                 grid.setdefault(new, []).append(near)
         return pd.DataFrame({"cluster_id": [m[0] for m in members], "n": n, "x": cx, "y": cy})
 
-    return items.groupBy(F.lit(0)).applyInPandas(cluster, "cluster_id long, n long, x double, y double")
+    return items.withColumn("view", F.lit(0)).groupBy("view").applyInPandas(cluster, "cluster_id long, n long, x double, y double")

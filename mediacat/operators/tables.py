@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 
@@ -19,3 +21,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def fold_sorted(df: DataFrame, keys: list[str], order: list[str], folder: Callable[[], Callable[[tuple], object]], name: str, kind: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``df`` and a column ``name``, what a state machine says of each row.
+
+    Rows are dealt by ``keys`` and sorted by keys and ``order``; ``folder()`` makes a machine
+    for one task, which is called with the rows as tuples in that order and sees for itself
+    when a key begins. Groups stream by, so their number costs nothing and no group is held.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = folder()
+        for b in batches:
+            out = [machine(r) for r in zip(*(b[c].tolist() for c in df.columns), strict=True)] if len(b) else []
+            yield b[keep].assign(**{name: pd.Series(out, index=b.index, dtype="int64")})
+
+    return rows.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{name} {kind}"]))

@@ -1,15 +1,706 @@
-"""The registry of queries and their SQL twins."""
+"""The registry of queries: an operator over the adapted tables, and its twin in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mediacat.functions import scalars as S
+from mediacat.operators import dedupe, events, facets, faces, geo, mutations, vectors
+from mediacat.operators.criteria import QueryCriteria as Q
+from mediacat.operators.criteria import ordering, run, select_media, with_tags
+from mediacat.sources.adapters import catalog, with_clause
+from mediacat.streaming import ingest
+
+Tables = dict[str, DataFrame]
+_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+_UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+#: Cosine thresholds of the driver's vectors, which are far apart.
+LOOSE = 0.4
+
+
+def query(sql: str | None = None):
+    """Register a function of the tables under its name, with its SQL if it has one."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def folded(column: str) -> str:
+    return f"translate({column}, {_UP}, {_LOW})"
+
+
+def _ids(df: DataFrame) -> DataFrame:
+    return df.select("id", "rating", "date_taken")
+
+
+def _ranked(df: DataFrame, c: Q) -> DataFrame:
+    return df.select("id", F.row_number().over(Window.orderBy(*ordering(c))).cast("long").alias("rank"))
+
+
+# ---------------------------------------------------------------- criteria
+
+
+@query("SELECT id, rating, date_taken FROM (SELECT * FROM media WHERE media_type = 'photo' AND rating >= 3 AND flag <> -1 AND starts_with(file_path, 'photos/1996/') ORDER BY date_taken DESC, id DESC LIMIT 50)")
+def media_rating_flag(t: Tables) -> DataFrame:
+    return _ids(run(t, Q(media_type="photo", min_rating=3, not_flag=-1, folder="photos/1996", limit=50)))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE rating <= 2 AND flag = 1 AND date_taken >= 800000000 AND date_taken <= 900000000")
+def media_date_range(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(max_rating=2, flag=1, date_from=800_000_000, date_to=900_000_000)))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE date_taken <= 0")
+def media_undated_kept(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(date_to=0)))
+
+
+@query(f"SELECT id, rating, date_taken FROM media WHERE contains({folded('camera_make')}, 'build') AND contains({folded('camera_model')}, 'nation_1')")
+def media_camera_like(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(camera_make="BUILD", camera_model="nation_1")))
+
+
+@query(
+    f"""SELECT id, rating, date_taken FROM media m WHERE contains({folded('file_name')}, 'fête 7') OR contains({folded('file_path')}, 'fête 7') OR contains({folded('caption')}, 'fête 7')
+    OR contains({folded('camera_make')}, 'fête 7') OR contains({folded('camera_model')}, 'fête 7') OR contains({folded('audio_title')}, 'fête 7')
+    OR m.id IN (SELECT media_id FROM media_tags JOIN tags ON tag_id = tags.id WHERE contains({folded('name')}, 'fête 7'))"""
+)
+def media_search_text(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(search_text="Fête 7")))
+
+
+@query(
+    f"""SELECT id, rating, date_taken FROM media m WHERE contains({folded('file_path')}, 'brand#11') OR contains({folded('caption')}, 'brand#11')
+    OR m.id IN (SELECT media_id FROM media_tags JOIN tags ON tag_id = tags.id WHERE contains({folded('name')}, 'brand#11'))"""
+)
+def media_search_tag_name(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(search_text="BRAND#11")))
+
+
+@query(f"SELECT id, rating, date_taken FROM media WHERE starts_with({folded('file_path')}, 'archive\\1997\\') OR starts_with({folded('file_path')}, '/photos/Été_1996/')")
+def media_folder(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(folders=("ARCHIVE/1997/", "photos\\Été_1996"))))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE NOT contains(file_path, '/') AND NOT contains(file_path, '\\')")
+def media_folder_root(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(folder=".")))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE id IN (SELECT media_id FROM media_tags WHERE tag_id IN (1005, 2004) GROUP BY media_id HAVING count(DISTINCT tag_id) = 2)")
+def media_tags_all(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(tag_ids=(1005, 2004))))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE id IN (SELECT media_id FROM media_tags WHERE tag_id IN (2004, 4003)) OR starts_with(file_path, 'photos/1998/02/')")
+def media_tags_or_folder(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(tag_ids=(2004, 4003), folder="photos/1998/02", match_any=True)))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE id IN (SELECT media_id FROM media_tags JOIN tags ON tag_id = tags.id WHERE lower(category) = 'people')")
+def media_tag_category(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(tag_category="PEOPLE")))
+
+
+@query("SELECT m.id, row_number() OVER (ORDER BY a.position DESC, m.id DESC) AS rank FROM media m JOIN album_media a ON a.media_id = m.id AND a.album_id = 8")
+def media_album_order(t: Tables) -> DataFrame:
+    c = Q(album_id=8, sort_by="album_order", limit=0)
+    return _ranked(run(t, c), c)
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE id % 37 = 1")
+def media_last_imported(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(last_imported=True)))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE latitude >= -10 AND latitude <= 30.5 AND longitude >= 0 AND longitude <= 60")
+def media_bbox(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(min_lat=-10.0, max_lat=30.5, min_lon=0.0, max_lon=60.0)))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE longitude >= 170 OR longitude <= -170")
+def media_bbox_antimeridian(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(min_lon=170.0, max_lon=-170.0, min_lat=float("nan"))))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE NOT has_gps")
+def media_has_gps(t: Tables) -> DataFrame:
+    return _ids(select_media(t, Q(has_gps=False)))
+
+
+@query("SELECT id, rating, date_taken FROM (SELECT * FROM media ORDER BY date_taken DESC, id DESC LIMIT 25 OFFSET 40)")
+def media_page(t: Tables) -> DataFrame:
+    return _ids(run(t, Q(limit=25, offset=40)))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE rating = 5")
+def media_page_unlimited(t: Tables) -> DataFrame:
+    return _ids(run(t, Q(min_rating=5, limit=0, offset=40)))
+
+
+@query("SELECT id, row_number() OVER (ORDER BY file_name ASC, id ASC) AS rank FROM media WHERE flag = 1 AND rating = 4")
+def media_sort_name(t: Tables) -> DataFrame:
+    c = Q(flag=1, min_rating=4, max_rating=4, sort_by="file_name", descending=False, limit=0)
+    return _ranked(run(t, c), c)
+
+
+@query("SELECT id, row_number() OVER (ORDER BY duration DESC, id DESC) AS rank FROM media WHERE media_type = 'video'")
+def media_sort_duration(t: Tables) -> DataFrame:
+    c = Q(media_type="video", sort_by="duration", limit=0)
+    return _ranked(run(t, c), c)
+
+
+@query(
+    """SELECT m.id, coalesce(string_agg(category || '/' || name || '/' || coalesce(source, 'manual'), ',' ORDER BY category, name, g.id), '') AS tags
+    FROM (SELECT * FROM media WHERE rating >= 4 ORDER BY date_taken DESC, id DESC LIMIT 100) m LEFT JOIN media_tags l ON l.media_id = m.id LEFT JOIN tags g ON g.id = l.tag_id
+    LEFT JOIN provenance p ON p.media_id = l.media_id AND p.tag_id = l.tag_id GROUP BY m.id"""
+)
+def media_hydrated(t: Tables) -> DataFrame:
+    page = with_tags(run(t, Q(min_rating=4)), t)
+    return page.select("id", F.array_join(F.transform("tags", lambda x: F.concat_ws("/", x["category"], x["name"], x["source"])), ",").alias("tags"))
+
+
+@query("SELECT id, rating, date_taken FROM media WHERE rating >= 2 AND date_taken <> 0 AND date_taken <= 850000000 AND media_type = 'photo'")
+def media_smart_album(t: Tables) -> DataFrame:
+    stored = Q(min_rating=2, media_type="photo", date_to=850_000_000).to_json()
+    return _ids(select_media(t, Q.from_json(stored)).where("date_taken <> 0"))
+
+
+# ---------------------------------------------------------------- facets
+
+
+@query(
+    """SELECT CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, count(*) AS n, CAST(greatest(10, round(100.0 * count(*) / max(count(*)) OVER ())) AS INT) AS height
+    FROM (SELECT make_timestamp(date_taken * 1000000) AS d FROM media WHERE date_taken <> 0) GROUP BY year(d), month(d)"""
+)
+def timeline(t: Tables) -> DataFrame:
+    return facets.timeline(t["media"])
+
+
+@query("SELECT CAST(year(make_timestamp(date_taken * 1000000)) AS INT) AS year, count(*) AS n FROM media WHERE date_taken <> 0 GROUP BY 1")
+def timeline_years(t: Tables) -> DataFrame:
+    return facets.years(t["media"])
+
+
+@query(
+    """SELECT count(*) AS total, CAST(sum(file_size) AS BIGINT) AS bytes, min(nullif(date_taken, 0)) AS first_date, max(nullif(date_taken, 0)) AS last_date,
+    count(*) FILTER (media_type NOT IN ('video', 'audio')) AS photos, count(*) FILTER (media_type = 'video') AS videos, count(*) FILTER (media_type = 'audio') AS audios,
+    sum(duration) FILTER (media_type IN ('video', 'audio')) AS seconds, count(*) FILTER (flag = 1) AS picks, count(*) FILTER (flag = -1) AS rejects,
+    count(*) FILTER (flag <> -1) AS not_rejects, count(*) FILTER (rating = 0) AS unrated FROM media"""
+)
+def stats(t: Tables) -> DataFrame:
+    return facets.statistics(t["media"])
+
+
+@query(
+    """, s AS (SELECT l.tag_id, count(*) AS media_count, min(d) AS first_date, max(d) AS last_date FROM media_tags l JOIN (SELECT id, coalesce(nullif(date_taken, 0), CASE WHEN created_at > 0 THEN created_at END,
+      CASE WHEN file_modified_time > 0 THEN file_modified_time END) AS d FROM media) m ON m.id = l.media_id GROUP BY l.tag_id),
+    a AS (SELECT p.tag_id, count(*) AS ai_count FROM provenance p JOIN media_tags l ON l.media_id = p.media_id AND l.tag_id = p.tag_id WHERE source = 'clip' GROUP BY p.tag_id),
+    c AS (SELECT tag_id, media_id AS cover_id FROM (SELECT l.tag_id, l.media_id, row_number() OVER (PARTITION BY l.tag_id ORDER BY (media_type = 'photo') DESC, date_taken DESC, m.id DESC) AS rn
+      FROM media_tags l JOIN media m ON m.id = l.media_id) WHERE rn = 1)
+    SELECT id, name, category, coalesce(media_count, 0) AS media_count, coalesce(ai_count, 0) AS ai_count, first_date, last_date, cover_id
+    FROM tags LEFT JOIN s ON s.tag_id = id LEFT JOIN a ON a.tag_id = id LEFT JOIN c ON c.tag_id = id"""
+)
+def tag_facets(t: Tables) -> DataFrame:
+    return facets.tag_facets(t)
+
+
+@query("SELECT id, name, count(media_id) AS n FROM albums LEFT JOIN album_media ON album_id = id GROUP BY id, name")
+def album_facets(t: Tables) -> DataFrame:
+    return facets.album_facets(t)
+
+
+@query("SELECT m.id, CAST(row_number() OVER (ORDER BY position, date_taken DESC, m.id) AS BIGINT) AS rank FROM album_media a JOIN media m ON m.id = a.media_id WHERE album_id = 12")
+def album_listing(t: Tables) -> DataFrame:
+    return facets.album_listing(t, 12).select("id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT DISTINCT regexp_extract(replace(file_path, '\\', '/'), '^(.+)/[^/]*$', 1) AS folder FROM media WHERE regexp_matches(replace(file_path, '\\', '/'), '^.+/')")
+def folders(t: Tables) -> DataFrame:
+    return facets.folders(t["media"])
+
+
+@query("SELECT rating, count(*) AS n FROM media GROUP BY rating")
+def rating_histogram(t: Tables) -> DataFrame:
+    return facets.rating_histogram(t["media"])
+
+
+@query("SELECT trim(caption) AS caption, count(*) AS n FROM media WHERE trim(caption) <> '' GROUP BY 1 ORDER BY n DESC, caption LIMIT 5")
+def top_captions(t: Tables) -> DataFrame:
+    return facets.top_captions(t["media"])
+
+
+@query("SELECT category, count(DISTINCT tag_id) AS tags, count(*) AS links, count(DISTINCT media_id) AS items FROM media_tags JOIN tags ON tag_id = id GROUP BY category")
+def category_coverage(t: Tables) -> DataFrame:
+    return facets.category_coverage(t)
+
+
+@query("SELECT min(latitude) - 1 AS min_lat, max(latitude) + 1 AS max_lat, min(longitude) - 1 AS min_lon, max(longitude) + 1 AS max_lon FROM media WHERE has_gps AND abs(latitude) <= 90 AND abs(longitude) <= 180")
+def located_bounds(t: Tables) -> DataFrame:
+    return facets.located_bounds(t["media"], 1.0)
+
+
+@query("SELECT id, name, category FROM tags WHERE id IN (SELECT tag_id FROM media_tags WHERE media_id <= 5)")
+def selection_tags(t: Tables) -> DataFrame:
+    return facets.common_tags(t["media"].where("id <= 5"), t).select("id", "name", "category")
+
+
+@query("SELECT id, CAST(row_number() OVER (ORDER BY n DESC NULLS LAST, name, id) AS BIGINT) AS rank FROM (SELECT id, name, count(media_id) AS n FROM albums LEFT JOIN album_media ON album_id = id GROUP BY id, name)")
+def tile_order(t: Tables) -> DataFrame:
+    return facets.sorted_tiles(facets.album_facets(t), "n").select("id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """SELECT user_id, max(CASE WHEN event_type = 'click' THEN value END) AS click, max(CASE WHEN event_type = 'view' THEN value END) AS view,
+    max(CASE WHEN event_type = 'purchase' THEN value END) AS purchase FROM events GROUP BY user_id"""
+)
+def eav_pivot(t: Tables) -> DataFrame:
+    return facets.eav_pivot(t["events"], "user_id", "event_type", "value", ["click", "view", "purchase"])
+
+
+@query(
+    """, r AS (SELECT *, concat('p', CAST(id % 700 AS STRING)) AS path FROM media)
+    SELECT path AS file_path, min(id) AS id, max(rating) AS rating, arg_max(caption, (length(caption), -id)) AS caption, min(flag) AS flag,
+    arg_min(latitude, id) FILTER (has_gps) AS latitude, arg_min(longitude, id) FILTER (has_gps) AS longitude, arg_min(camera_make, id) FILTER (camera_make <> '') AS camera_make FROM r GROUP BY path"""
+)
+def path_merge(t: Tables) -> DataFrame:
+    return facets.merge_by_path(t["media"].withColumn("file_path", F.concat(F.lit("p"), (F.col("id") % 700).cast("string"))))
+
+
+@query(
+    """SELECT id, CASE WHEN date_taken = 0 THEN '' ELSE strftime(make_timestamp(date_taken * 1000000), '%Y:%m:%d %H:%M:%S') END AS formatted,
+    CASE WHEN date_taken <> 0 THEN date_taken + 3600 ELSE 0 END AS shifted, date_taken AS parsed FROM media WHERE date_taken >= 0"""
+)
+def date_functions(t: Tables) -> DataFrame:
+    m = t["media"].where("date_taken >= 0")
+    text = S.format_date("date_taken")
+    return m.select("id", text.alias("formatted"), S.shift_date("date_taken", 3600).alias("shifted"), S.parse_date(text).alias("parsed"))
+
+
+@query("SELECT id, translate(file_path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, split_part(replace(file_path, '\\', '/'), '/', -1) AS base, CASE WHEN starts_with(file_path, 'photos/') THEN substring(file_path, 8) ELSE file_path END AS below FROM media")
+def path_functions(t: Tables) -> DataFrame:
+    return t["media"].select("id", S.ascii_lower("file_path").alias("low"), S.base_name("file_path").alias("base"), S.relative_to("file_path", "photos").alias("below"))
+
+
+# ---------------------------------------------------------------- duplicates
+
+
+@query("SELECT content_hash, file_size, count(*) AS n, string_agg(CAST(id AS STRING), ',' ORDER BY id) AS ids FROM media WHERE content_hash <> '' GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_exact_groups(t: Tables) -> DataFrame:
+    return dedupe.exact_groups(t["media"]).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("SELECT content_hash, file_size, count(*) AS n, string_agg(CAST(id AS STRING), ',' ORDER BY id) AS ids FROM copies WHERE content_hash <> '' GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_document_groups(t: Tables) -> DataFrame:
+    return dedupe.exact_groups(t["copies"]).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("SELECT content_hash, file_size, count(*) AS n, string_agg(CAST(id AS STRING), ',' ORDER BY id) AS ids FROM media WHERE content_hash <> '' AND rating >= 3 GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_exact_scoped(t: Tables) -> DataFrame:
+    return dedupe.exact_groups(t["media"], t["media"].where("rating >= 3")).withColumn("ids", F.array_join("ids", ","))
+
+
+_KEEPERS = """, n AS (SELECT *, count(*) OVER (PARTITION BY content_hash, file_size) AS k FROM copies),
+    r AS (SELECT *, row_number() OVER (PARTITION BY content_hash, file_size ORDER BY flag DESC, width * height DESC, file_size DESC,
+      1 + CAST(has_gps AS INT) + CAST(date_taken <> 0 AS INT) DESC, CASE WHEN id % 2 = 1 THEN 30 ELSE 1 END, id) AS rank FROM n WHERE k > 1)"""
+
+
+@query(_KEEPERS + " SELECT id, content_hash, CAST(rank AS BIGINT) AS rank FROM r")
+def dup_keeper(t: Tables) -> DataFrame:
+    return dedupe.ranked(dedupe.exact_members(t["copies"]), dedupe.GROUP).select("id", "content_hash", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_KEEPERS + " SELECT content_hash, max(id) FILTER (rank = 1) AS keeper, count(*) AS n, CAST(coalesce(sum(file_size) FILTER (rank > 1), 0) AS BIGINT) AS bytes FROM r GROUP BY content_hash, file_size")
+def dup_reclaimable(t: Tables) -> DataFrame:
+    return dedupe.reclaimable(dedupe.ranked(dedupe.exact_members(t["copies"]), dedupe.GROUP), dedupe.GROUP).select("content_hash", "keeper", "n", "bytes")
+
+
+@query("SELECT count(*) AS groups FROM (SELECT 1 FROM media WHERE content_hash <> '' GROUP BY content_hash, file_size HAVING count(*) > 1)")
+def dup_count(t: Tables) -> DataFrame:
+    return dedupe.duplicate_count(t["media"])
+
+
+@query()
+def dup_exact_dismissed(t: Tables) -> DataFrame:
+    pairs = t["media"].where("id % 4 = 0").select(F.col("id").alias("media_id_a"), (F.col("id") + 1).alias("media_id_b"))
+    return dedupe.split_dismissed(dedupe.exact_members(t["media"]), pairs)
+
+
+@query("SELECT DISTINCT least(a, b) AS media_id_a, greatest(a, b) AS media_id_b FROM (SELECT media_id_a AS a, media_id_b AS b FROM dismissals UNION ALL SELECT media_id_b + 1, media_id_a FROM dismissals) WHERE a <> b")
+def dup_dismissals(t: Tables) -> DataFrame:
+    more = t["dismissals"].select((F.col("media_id_b") + 1).alias("a"), F.col("media_id_a").alias("b"))
+    return dedupe.dismiss(t["dismissals"], more)
+
+
+_PAIRS = """, e AS (SELECT x.media_id AS a, y.media_id AS b, CAST(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS FLOAT) AS score FROM "index" x JOIN "index" y ON x.media_id < y.media_id)"""
+
+
+@query(_PAIRS + f" SELECT a, b, round(CAST(score AS DOUBLE), 5) AS score FROM e WHERE score >= CAST({LOOSE} AS FLOAT)")
+def dup_visual_pairs(t: Tables) -> DataFrame:
+    return vectors.similar_pairs(t["index"], LOOSE).select("a", "b", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+_WINDOWED = (
+    _PAIRS
+    + f""", w AS (SELECT a, b, score FROM e JOIN media ma ON ma.id = a JOIN media mb ON mb.id = b WHERE score >= CAST({LOOSE} AS FLOAT) AND (ma.date_taken = 0 OR mb.date_taken = 0 OR abs(ma.date_taken - mb.date_taken) <= 40000000)
+    AND NOT EXISTS (SELECT 1 FROM dismissals WHERE media_id_a = a AND media_id_b = b))"""
+)
+
+
+@query(_WINDOWED + " SELECT a, b, round(CAST(score AS DOUBLE), 5) AS score FROM w")
+def dup_visual_windowed(t: Tables) -> DataFrame:
+    return dedupe.visual_edges(t["index"], LOOSE, t["media"], 40_000_000, t["dismissals"]).select("a", "b", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+@query(
+    _PAIRS
+    + f""", g AS (SELECT a, b, score FROM e WHERE score >= CAST({LOOSE} AS FLOAT)), s AS (SELECT a AS x, b AS y FROM g UNION ALL SELECT b, a FROM g),
+    reach AS (SELECT DISTINCT x, x AS y FROM s UNION SELECT r.x, s.y FROM reach r JOIN s ON r.y = s.x), c AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x)
+    SELECT component, count(DISTINCT id) AS n, string_agg(DISTINCT CAST(id AS STRING), ',' ORDER BY CAST(id AS STRING)) AS ids, (SELECT round(CAST(min(score) AS DOUBLE), 3) FROM g JOIN c d ON d.id = g.a WHERE d.component = c.component) AS min_similarity
+    FROM c GROUP BY component"""
+)
+def dup_visual_groups(t: Tables) -> DataFrame:
+    out = dedupe.visual_groups(vectors.similar_pairs(t["index"], LOOSE))
+    return out.withColumn("ids", F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ","))
+
+
+@query()
+def dup_scan(t: Tables) -> DataFrame:
+    return dedupe.scan(t["media"], t["index"], LOOSE, 0, t["dismissals"])
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def _vector(k: int) -> list[float]:
+    return [((i * 37 + k) % 64 - 31.5) / 148.0 for i in range(64)]
+
+
+_QUERY_VECTOR = "[" + ", ".join(map(repr, _vector(3))) + "]"
+_SCORED = f""", s AS (SELECT media_id, CAST(list_dot_product(CAST(embedding AS DOUBLE[]), CAST({_QUERY_VECTOR} AS DOUBLE[])) AS FLOAT) AS score FROM "index")"""
+_TOP = "SELECT media_id, round(CAST(score AS DOUBLE), 5) AS score, CAST(row_number() OVER (ORDER BY score DESC, media_id) AS BIGINT) AS rank FROM s"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("media_id", F.round(F.col("score").cast("double"), 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_SCORED + f" {_TOP} QUALIFY rank <= 20")
+def vec_topk(t: Tables) -> DataFrame:
+    return _rounded(vectors.top_k(t["index"], _vector(3), 20))
+
+
+@query(_SCORED + f" {_TOP} WHERE media_id IN (SELECT id FROM media WHERE rating >= 3 AND date_taken <> 0 AND date_taken >= 850000000) QUALIFY rank <= 15")
+def vec_topk_filtered(t: Tables) -> DataFrame:
+    allowed = select_media(t, Q(min_rating=3, date_from=850_000_000)).where("date_taken <> 0")
+    return _rounded(vectors.top_k(t["index"], _vector(3), 15, allowed))
+
+
+@query(
+    """, s AS (SELECT x.media_id, CAST(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS FLOAT) AS score FROM "index" x, "index" q WHERE q.media_id = 7 AND x.media_id <> 7) """
+    + _TOP
+    + " QUALIFY rank <= 10"
+)
+def vec_similar(t: Tables) -> DataFrame:
+    return _rounded(vectors.similar(t["index"], 7, 10))
+
+
+_CENTROIDS = """, p AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place FROM "index"),
+    m AS (SELECT label, place, avg(CAST(x AS DOUBLE)) AS x FROM p GROUP BY label, place), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label),
+    c AS (SELECT m.label, place, x / norm AS x FROM m JOIN n ON n.label = m.label)"""
+
+
+@query(_CENTROIDS + " SELECT label, CAST(place - 1 AS BIGINT) AS place, round(x, 6) AS x FROM c")
+def label_centroids(t: Tables) -> DataFrame:
+    return vectors.centroids(t["index"]).select("label", F.posexplode("embedding").alias("place", "x")).select("label", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
+@query(
+    _CENTROIDS
+    + """, v AS (SELECT label, list(x ORDER BY place) AS v FROM c GROUP BY label),
+    s AS (SELECT media_id, v.label AS label_id, v.label % 4 AS grp, CAST(list_dot_product(CAST(embedding AS DOUBLE[]), v.v) AS FLOAT) AS score FROM "index" CROSS JOIN v),
+    k AS (SELECT *, row_number() OVER (PARTITION BY media_id, grp ORDER BY score DESC, label_id) AS p FROM s WHERE score >= CAST(0.1 AS FLOAT)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, label_id) AS rank FROM k WHERE p <= 2)
+    SELECT media_id, label_id, round(CAST(score AS DOUBLE), 5) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 3"""
+)
+def smart_labels(t: Tables) -> DataFrame:
+    labels = vectors.centroids(t["index"]).select(F.col("label").alias("label_id"), (F.col("label") % 4).alias("label_group"), F.lit(0.1).alias("threshold"), "embedding")
+    out = vectors.smart_labels(t["index"], labels, 0.05)
+    return out.select("media_id", "label_id", F.round(F.col("score").cast("double"), 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT id FROM media WHERE media_type = 'photo' AND NOT EXISTS (SELECT 1 FROM media s WHERE s.id = media.id AND s.id % 3 <> 0)")
+def job_candidates_index(t: Tables) -> DataFrame:
+    state = t["media"].where("id % 3 <> 0").select(F.col("id").alias("media_id"), "content_hash")
+    return vectors.stale_items(t["media"], state, ["content_hash"]).select("id")
+
+
+@query("SELECT id FROM media WHERE media_type = 'photo' AND NOT (id % 2 = 0 AND abs((rating + 1e-9) - rating) < 1e-6)")
+def job_candidates_faces(t: Tables) -> DataFrame:
+    state = t["media"].where("id % 2 = 0").select(F.col("id").alias("media_id"), "content_hash", (F.col("rating") + 1e-9).alias("confidence"))
+    photos = t["media"].where("media_type = 'photo'")
+    same = (photos.id == state.media_id) & photos.content_hash.eqNullSafe(state.content_hash) & (F.abs(state.confidence - photos.rating) < 1e-6)
+    return photos.join(state, same, "left_anti").select("id")
+
+
+# ---------------------------------------------------------------- faces
+
+
+_SUGGESTED = """, q AS (SELECT f.id AS face_id, e.person_tag_id AS tag_id, max(least(1, greatest(-1, CAST(list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS FLOAT)))) AS score
+      FROM faces f JOIN faces e ON f.person_tag_id IS NULL AND NOT f.dismissed AND e.person_tag_id IS NOT NULL AND NOT e.dismissed GROUP BY 1, 2),
+    k AS (SELECT q.*, g.name, row_number() OVER (PARTITION BY face_id ORDER BY score DESC, name, q.tag_id) AS rank FROM q JOIN tags g ON g.id = q.tag_id
+      WHERE score >= CAST(0.3 AS FLOAT) AND NOT EXISTS (SELECT 1 FROM face_rejections r WHERE r.face_id = q.face_id AND r.tag_id = q.tag_id))"""
+
+
+def _suggest(t: Tables) -> DataFrame:
+    return faces.suggestions(t["faces"], t["face_rejections"], t["tags"], 64, 0.3)
+
+
+@query(_SUGGESTED + " SELECT face_id, tag_id, name, round(CAST(score AS DOUBLE), 5) AS score, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 3")
+def face_suggestions(t: Tables) -> DataFrame:
+    return _suggest(t).select("face_id", "tag_id", "name", F.round(F.col("score").cast("double"), 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    _SUGGESTED
+    + """, f AS (SELECT f.*, top, CASE WHEN dismissed THEN 'dismissed' WHEN coalesce(person_tag_id, top) IS NOT NULL THEN 'person' ELSE 'unnamed' END AS type,
+      NOT dismissed AND person_tag_id IS NULL AND top IS NOT NULL AS suggested FROM faces f LEFT JOIN (SELECT face_id, tag_id AS top FROM k WHERE rank = 1) ON face_id = f.id),
+    g AS (SELECT type, CASE WHEN type = 'person' THEN coalesce(person_tag_id, top) END AS tag_id, count(*) AS faces, count(DISTINCT media_id) AS photos, count(*) FILTER (suggested) AS suggested_faces,
+      count(DISTINCT CASE WHEN suggested THEN media_id END) AS suggested_photos FROM f GROUP BY 1, 2)
+    SELECT type, tag_id, coalesce(name, '') AS name, faces, photos, suggested_faces, suggested_photos,
+      CAST(row_number() OVER (ORDER BY CASE type WHEN 'person' THEN 0 WHEN 'unnamed' THEN 1 ELSE 2 END, coalesce(name, ''), coalesce(tag_id, 0)) AS BIGINT) AS rank FROM g LEFT JOIN tags ON id = tag_id"""
+)
+def face_groups(t: Tables) -> DataFrame:
+    return faces.face_groups(t["faces"], _suggest(t), t["tags"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---------------------------------------------------------------- events
+
+
+_BY_USER = """, o AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events), l AS (SELECT *, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec) AS gap FROM o),
+    g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 14400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sec RANGE UNBOUNDED PRECEDING) AS k FROM l)"""
+
+
+@query(_BY_USER + " SELECT user_id, min(sec) AS island, count(*) AS n, max(sec) AS last FROM g GROUP BY user_id, k")
+def event_sessions(t: Tables) -> DataFrame:
+    rows = t["events"].select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return events.islands(rows, "at", keys=("user_id",)).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.max("at").alias("last"))
+
+
+@query(
+    """, l AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+    g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 4 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM l)
+    SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM g GROUP BY user_id, k"""
+)
+def event_windows(t: Tables) -> DataFrame:
+    return ingest.sessions(t["events"]).select("user_id", "n", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
+
+
+@query()
+def event_groups(t: Tables) -> DataFrame:
+    return events.event_members(t["media"])
+
+
+@query()
+def event_names(t: Tables) -> DataFrame:
+    return events.event_summaries(t["media"], t)
+
+
+@query("SELECT id, CASE WHEN media_type <> 'photo' THEN 'not_photo' ELSE 'invalid_date' END AS reason FROM media WHERE media_type <> 'photo' OR date_taken = 0")
+def event_skipped(t: Tables) -> DataFrame:
+    return events.skipped(t["media"])
+
+
+# ---------------------------------------------------------------- places
+
+
+_NEAREST = """, d AS (SELECT DISTINCT latitude, longitude FROM media WHERE has_gps AND abs(latitude) <= 90 AND abs(longitude) <= 180),
+    h AS (SELECT d.latitude, d.longitude, row_no, name, admin1, country, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(g.latitude - d.latitude) / 2), 2) + cos(radians(d.latitude)) * cos(radians(g.latitude)) * pow(sin(radians(g.longitude - d.longitude) / 2), 2)))) AS km
+      FROM d CROSS JOIN gazetteer g), n AS (SELECT * FROM h WHERE km <= 800 QUALIFY row_number() OVER (PARTITION BY latitude, longitude ORDER BY km, row_no) = 1)"""
+
+
+@query(_NEAREST + " SELECT latitude, longitude, row_no, round(km, 4) AS km FROM n")
+def geo_nearest(t: Tables) -> DataFrame:
+    return geo.nearest_places(t["media"].where(S.is_located()), t["gazetteer"], 800.0).withColumn("km", F.round("km", 4))
+
+
+@query(_NEAREST + " SELECT DISTINCT m.id AS media_id, u.name FROM media m JOIN n ON n.latitude = m.latitude AND n.longitude = m.longitude, unnest([n.name, n.admin1, n.country]) AS u(name) WHERE m.has_gps AND u.name <> ''")
+def geo_place_tags(t: Tables) -> DataFrame:
+    return geo.place_names(t["media"], t["gazetteer"], 800.0)
+
+
+@query(
+    """, x AS (SELECT id, CAST(floor((longitude + 180) / 360 * 2048 / 50) AS BIGINT) AS cx,
+      CAST(floor((1 - ln(tan(radians(least(85.05112878, greatest(-85.05112878, latitude)))) + 1 / cos(radians(least(85.05112878, greatest(-85.05112878, latitude))))) / pi()) / 2 * 2048 / 50) AS BIGINT) AS cy FROM media WHERE has_gps)
+    SELECT cx, cy, count(*) AS n, max(id) AS cover_id FROM x GROUP BY cx, cy"""
+)
+def map_grid(t: Tables) -> DataFrame:
+    return geo.map_grid(t["media"], 3).select("cx", "cy", "n", "cover_id")
+
+
+@query()
+def map_clusters(t: Tables) -> DataFrame:
+    return geo.map_clusters(t["media"].where("rating = 5 AND flag = 1"), 3, most=1_000_000)
+
+
+# ---------------------------------------------------------------- updates
+
+
+@query("SELECT media_id, tag_id FROM media_tags UNION SELECT id, 5000 FROM media WHERE id % 10 = 0")
+def mut_add_tag(t: Tables) -> DataFrame:
+    return mutations.add_tag(t, t["media"].where("id % 10 = 0"), 5000)["media_tags"]
+
+
+@query(
+    """SELECT media_id, tag_id, true AS manual, 'manual' AS source FROM (SELECT id AS media_id, CAST(2004 AS BIGINT) AS tag_id FROM media WHERE id % 10 = 0)
+    UNION ALL SELECT media_id, tag_id, manual, source FROM provenance WHERE NOT (tag_id = 2004 AND media_id % 10 = 0)"""
+)
+def mut_add_tag_origin(t: Tables) -> DataFrame:
+    return mutations.add_tag(t, t["media"].where("id % 10 = 0"), 2004)["provenance"]
+
+
+@query("SELECT media_id, tag_id FROM media_tags WHERE NOT (tag_id = 4003 AND media_id % 2 = 0)")
+def mut_remove_tag(t: Tables) -> DataFrame:
+    return mutations.remove_tag(t, t["media"].where("id % 2 = 0"), 4003)["media_tags"]
+
+
+@query("SELECT id, CASE WHEN person_tag_id = 4003 AND media_id % 2 = 0 AND EXISTS (SELECT 1 FROM media_tags l WHERE l.media_id = faces.media_id AND l.tag_id = 4003) THEN NULL ELSE person_tag_id END AS person_tag_id FROM faces")
+def mut_remove_person(t: Tables) -> DataFrame:
+    return mutations.remove_tag(t, t["media"].where("id % 2 = 0"), 4003)["faces"].select("id", "person_tag_id")
+
+
+@query("SELECT media_id, tag_id FROM media_tags WHERE tag_id <> 1 UNION ALL SELECT id, 1 FROM media WHERE id % 41 = 0")
+def mut_replace_tag(t: Tables) -> DataFrame:
+    return mutations.replace_members(t["media_tags"], 1, t["media"].where("id % 41 = 0"))
+
+
+@query(
+    """, old AS (SELECT media_id, tag_id FROM provenance WHERE source = 'clip' AND NOT manual AND media_id % 2 = 0), kept AS (SELECT media_id, tag_id FROM media_tags EXCEPT SELECT * FROM old)
+    SELECT * FROM kept UNION SELECT id, CAST(1001 AS BIGINT) FROM media WHERE id % 4 = 0"""
+)
+def mut_replace_smart_tags(t: Tables) -> DataFrame:
+    new = t["media"].where("id % 4 = 0").select(F.col("id").alias("media_id"), F.lit(1001).cast("long").alias("tag_id"))
+    return mutations.replace_smart_tags(t, t["media"].where("id % 2 = 0"), new)["media_tags"]
+
+
+def _merge_pairs(t: Tables) -> DataFrame:
+    return t["media"].where("id % 3 = 0").select((F.col("id") - 1).alias("keeper"), "id")
+
+
+@query(
+    """SELECT k.id, CASE WHEN k.caption = '' AND c.caption <> '' THEN c.caption ELSE k.caption END AS caption, CASE WHEN k.flag = 0 AND c.flag <> 0 THEN c.flag ELSE k.flag END AS flag,
+    CASE WHEN k.date_taken = 0 AND c.date_taken <> 0 THEN c.date_taken ELSE k.date_taken END AS date_taken, k.has_gps OR coalesce(c.has_gps, false) AS has_gps,
+    CASE WHEN NOT k.has_gps AND c.has_gps THEN c.latitude ELSE k.latitude END AS latitude FROM media k LEFT JOIN media c ON c.id = k.id + 1 AND c.id % 3 = 0 WHERE k.id % 3 <> 0"""
+)
+def mut_merge(t: Tables) -> DataFrame:
+    return mutations.merge_media(t, _merge_pairs(t))["media"].select("id", "caption", "flag", "date_taken", "has_gps", "latitude")
+
+
+@query("SELECT DISTINCT CASE WHEN media_id % 3 = 0 THEN media_id - 1 ELSE media_id END AS media_id, tag_id FROM media_tags")
+def mut_merge_links(t: Tables) -> DataFrame:
+    return mutations.merge_media(t, _merge_pairs(t))["media_tags"]
+
+
+@query(
+    """, p AS (SELECT album_id, position, media_id AS was, media_id % 3 <> 0 AS own, CASE WHEN media_id % 3 = 0 THEN media_id - 1 ELSE media_id END AS media_id FROM album_media),
+    n AS (SELECT *, row_number() OVER (PARTITION BY album_id, media_id ORDER BY own DESC, position, was) AS k FROM p), s AS (SELECT DISTINCT album_id FROM n WHERE k > 1)
+    SELECT album_id, media_id, CASE WHEN album_id IN (SELECT album_id FROM s) THEN CAST(row_number() OVER (PARTITION BY album_id ORDER BY position, media_id) - 1 AS INT) ELSE position END AS position FROM n WHERE k = 1"""
+)
+def mut_merge_albums(t: Tables) -> DataFrame:
+    return mutations.merge_media(t, _merge_pairs(t))["album_media"]
+
+
+@query("SELECT album_id, media_id, CAST(row_number() OVER (PARTITION BY album_id ORDER BY position, media_id) - 1 AS INT) AS position FROM album_media")
+def mut_reorder(t: Tables) -> DataFrame:
+    return mutations.compact(t["album_media"])
+
+
+@query("SELECT 'links' AS kind, media_id AS a, tag_id AS b FROM media_tags WHERE media_id % 5 <> 0 UNION ALL SELECT 'albums', media_id, album_id FROM album_media WHERE media_id % 5 <> 0 UNION ALL SELECT 'pairs', media_id_a, media_id_b FROM dismissals WHERE media_id_a % 5 <> 0 AND media_id_b % 5 <> 0")
+def mut_delete_cascade(t: Tables) -> DataFrame:
+    out = mutations.delete_media(t, t["media"].where("id % 5 = 0"))
+    parts = (("links", "media_tags", "media_id", "tag_id"), ("albums", "album_media", "media_id", "album_id"), ("pairs", "dismissals", "media_id_a", "media_id_b"))
+    one, two, three = (out[name].select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")) for kind, name, a, b in parts)
+    return one.unionByName(two).unionByName(three)
+
+
+@query("SELECT id, CASE WHEN person_tag_id = 4003 THEN NULL ELSE person_tag_id END AS person_tag_id FROM faces")
+def mut_delete_tag(t: Tables) -> DataFrame:
+    return mutations.delete_tag(t, 4003)["faces"].select("id", "person_tag_id")
+
+
+@query("SELECT id, file_path, CASE WHEN starts_with(file_path, '/photos/') THEN substring(file_path, 9) ELSE file_path END AS new_path FROM media")
+def mut_relativise(t: Tables) -> DataFrame:
+    return mutations.relativise(t["media"], "/photos").select("id", "file_path", "new_path")
+
+
+@query("SELECT id FROM media WHERE id % 6 = 0 AND rating <> 3")
+def mut_import_conflicts(t: Tables) -> DataFrame:
+    rows = t["media"].where("id % 6 = 0").select("id", F.lit("new").alias("caption"), F.col("file_size").alias("was_file_size"), F.lit(3).alias("was_rating"))
+    return mutations.import_rows(t["media"], rows)[1].select("id")
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 5 ELSE rating END AS rating, CASE WHEN id % 7 = 0 THEN 'new' ELSE caption END AS caption FROM media")
+def mut_update(t: Tables) -> DataFrame:
+    changes = t["media"].where("id % 7 = 0").select("id", F.lit(5).alias("rating"), F.lit("new").alias("caption"))
+    return mutations.update_fields(t["media"], changes)[0].select("id", "rating", "caption")
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 AND date_taken <> 0 THEN date_taken - 60 ELSE date_taken END AS date_taken FROM media")
+def mut_shift_dates(t: Tables) -> DataFrame:
+    return mutations.shift_dates(t["media"], t["media"].where("id % 2 = 0"), -60).select("id", "date_taken")
+
+
+@query("SELECT media_id, tag_id FROM media_tags WHERE NOT EXISTS (SELECT 1 FROM provenance p WHERE p.media_id = media_tags.media_id AND p.tag_id = media_tags.tag_id AND NOT manual AND source IN ('face', 'clip') AND p.media_id % 9 = 0)")
+def mut_invalidate(t: Tables) -> DataFrame:
+    updated = t["media"].withColumn("width", F.when(F.col("id") % 9 == 0, F.col("width") + 1).otherwise(F.col("width")))
+    return mutations.invalidate(t, updated)["media_tags"]
+
+
+@query(
+    """SELECT media_id, tag_id FROM media_tags WHERE NOT EXISTS (SELECT 1 FROM provenance p WHERE p.media_id = media_tags.media_id AND p.tag_id = media_tags.tag_id AND NOT manual AND source = 'face'
+    AND NOT EXISTS (SELECT 1 FROM faces f WHERE f.media_id = p.media_id AND f.person_tag_id = p.tag_id AND NOT dismissed))"""
+)
+def mut_sync_people(t: Tables) -> DataFrame:
+    return mutations.sync_people(t)["media_tags"]
+
+
+@query(
+    _NEAREST
+    + """, w AS (SELECT DISTINCT m.id AS media_id, u.name FROM media m JOIN n ON n.latitude = m.latitude AND n.longitude = m.longitude, unnest([n.name, n.admin1, n.country]) AS u(name) WHERE m.has_gps AND u.name <> ''),
+    named AS (SELECT l.media_id, g.name, g.category, p.source, p.manual FROM media_tags l JOIN tags g ON g.id = l.tag_id LEFT JOIN provenance p ON p.media_id = l.media_id AND p.tag_id = l.tag_id)
+    SELECT media_id, name, category FROM named WHERE NOT (coalesce(source, '') = 'gps' AND NOT manual AND NOT EXISTS (SELECT 1 FROM w WHERE w.media_id = named.media_id AND w.name = named.name AND named.category = 'places'))
+    UNION SELECT media_id, name, 'places' FROM w"""
+)
+def mut_place_tags(t: Tables) -> DataFrame:
+    out = mutations.set_place_tags(t, t["media"], geo.place_names(t["media"], t["gazetteer"], 800.0))
+    tags = out["tags"].withColumnRenamed("id", "tag_id")
+    return out["media_tags"].join(tags, "tag_id").select("media_id", "name", "category")
+
+
+@query("SELECT page_id, regexp_extract(url, '^(.+)/[^/]*$', 1) AS folder FROM pages")
+def page_folders(t: Tables) -> DataFrame:
+    return t["pages"].select("page_id", S.parent_folder("url").alias("folder"))
+
+
+# ---------------------------------------------------------------- registry
+
+
+def _bound(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(catalog(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _bound(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: f"{with_clause()}\n{text}" for name, text in _SQL.items()}

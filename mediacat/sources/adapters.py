@@ -38,13 +38,13 @@ RELATIONS = {
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     "tags": """
         SELECT CAST(1 AS BIGINT) AS id, 'Last Imported' AS name, 'keyword' AS category
-        UNION ALL SELECT DISTINCT CAST(1000 + CAST(substring(p_brand, 7) AS INT) AS BIGINT), p_brand, 'keyword' FROM {part}
+        UNION ALL SELECT DISTINCT CAST(1000 + TRY_CAST(substring(p_brand, 7) AS INT) AS BIGINT), p_brand, 'keyword' FROM {part}
         UNION ALL SELECT CAST(2000 + n_nationkey AS BIGINT), n_name, 'places' FROM {nation}
         UNION ALL SELECT CAST(3000 + row_number() OVER (ORDER BY p_type) AS BIGINT), p_type, 'events' FROM (SELECT DISTINCT p_type FROM {part}) x
         UNION ALL SELECT CAST(4000 + c_custkey AS BIGINT), c_name, 'people' FROM {customer} WHERE c_custkey < 20
         UNION ALL SELECT CAST(5000 AS BIGINT), 'Unused', 'Keyword'""",
     "media_tags": """
-        SELECT DISTINCT l_orderkey + 1 AS media_id, CAST(1000 + CAST(substring(p_brand, 7) AS INT) AS BIGINT) AS tag_id
+        SELECT DISTINCT l_orderkey + 1 AS media_id, CAST(1000 + TRY_CAST(substring(p_brand, 7) AS INT) AS BIGINT) AS tag_id
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
         UNION SELECT DISTINCT l_orderkey + 1, t.id FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {tags} t ON t.name = p_type AND t.category = 'events' WHERE l_linenumber = 2
         UNION SELECT o_orderkey + 1, CAST(2000 + c_nationkey AS BIGINT) FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey % 2 = 0
