@@ -30,13 +30,13 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], folder: Callab
     for one task, which is called with the rows as tuples in that order and sees for itself
     when a key begins. Groups stream by, so their number costs nothing and no group is held.
     """
-    kinds = dict(df.dtypes)
+    kinds, columns = dict(df.dtypes), df.columns
     rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = folder()
         for b in batches:
-            out = [machine(r) for r in zip(*(b[c].tolist() for c in df.columns), strict=True)] if len(b) else []
+            out = [machine(r) for r in zip(*(b[c].tolist() for c in columns), strict=True)] if len(b) else []
             yield b[keep].assign(**{name: pd.Series(out, index=b.index, dtype="int64")})
 
     return rows.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{name} {kind}"]))
