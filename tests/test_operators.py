@@ -152,7 +152,7 @@ def test_dismissed_members_are_kept_apart(spark):
 
 
 def test_visual_groups(spark):
-    v = [(1, [1.0, 0, 0, 0]), (2, [0.98, 0.198997, 0, 0]), (3, [0.0, 1, 0, 0]), (4, [0.0, 0.99, 0.141067, 0])]
+    v = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.98, 0.198997, 0.0, 0.0]), (3, [0.0, 1.0, 0.0, 0.0]), (4, [0.0, 0.99, 0.141067, 0.0])]
     index = spark.createDataFrame(v, "media_id long, embedding array<float>")
     m = media(spark, [{"date_taken": 1000}] * 3 + [{"date_taken": 200_000}])
     pairs = lambda df: {(r.a, r.b) for r in df.collect()}
