@@ -89,6 +89,36 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
+SQL_OP6 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS text FROM documents
+), marked AS (
+  SELECT row_no, 0 AS rank, 'assign' AS kind, regexp_replace(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', chr(1) || '\0' || chr(2), 'g') AS m FROM d
+  UNION ALL SELECT row_no, 1, 'access', regexp_replace(text, 'AKIA[A-Z0-9]+', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 2, 'hex', regexp_replace(text, '[0-9a-f]+', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 3, 'github', regexp_replace(text, 'gh[oprsu]_[A-Za-z0-9]{36,}', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 4, 'slack', regexp_replace(text, 'xox[abprs]-[A-Za-z0-9-]{10,}', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 5, 'google', regexp_replace(text, 'AIza[0-9A-Za-z_-]{35}', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 6, 'jwt', regexp_replace(text, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 7, 'pem', regexp_replace(text, '-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----', chr(1) || '\0' || chr(2), 'g') FROM d
+), pieces AS (
+  SELECT row_no, rank, kind, unnest(string_split(m, chr(1))) AS piece, generate_subscripts(string_split(m, chr(1)), 1) AS k FROM marked WHERE contains(m, chr(1))
+), placed AS (
+  SELECT *, split_part(piece, chr(2), 1) AS match,
+         coalesce(sum(length(piece) - (k > 1)::INT) OVER (PARTITION BY row_no, rank ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM pieces
+), kept AS (
+  SELECT row_no, rank, kind, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(match) AS BIGINT) AS span FROM placed
+  WHERE k > 1 AND CASE kind WHEN 'assign' THEN length(regexp_replace(match, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', '')) >= 6
+                            WHEN 'access' THEN length(match) >= 20 WHEN 'hex' THEN length(match) >= 24 ELSE true END
+), a AS (
+  SELECT row_no, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM kept GROUP BY row_no
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (row_no)
+"""
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -125,4 +155,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5, "op7_decontaminate": SQL_OP7}
+    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5, "op6_secrets": SQL_OP6, "op7_decontaminate": SQL_OP7}
