@@ -2,6 +2,8 @@
 
 import math
 import random
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from mediacat.operators import dedupe, events, faces, geo, mutations, vectors
 from mediacat.operators.criteria import QueryCriteria as Q
 from mediacat.operators.criteria import parse_folders, parse_ids, run, select_media, total
 from mediacat.operators.graph import connected_components
-from mediacat.sources import files
+from mediacat.sources import exif, files
 from mediacat.streaming import ingest
 
 MEDIA = "id long, file_path string, rating int, flag int, camera_make string, date_taken long, media_type string, has_gps boolean, latitude double, longitude double, caption string, width int, height int, file_size long, content_hash string, audio_title string"
@@ -304,3 +306,46 @@ def test_files_taxonomy_and_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == ["b.jpg"]
+
+
+def tiff(order, south):
+    """A block with make, orientation 9, an original date and a place."""
+    entries, heap, heap_at = {}, b"", 200
+    pack = lambda fmt, *v: struct.pack(order + fmt, *v)
+
+    def entry(tag, kind, n, data):
+        nonlocal heap
+        if len(data) <= 4:
+            return pack("HHI", tag, kind, n) + data.ljust(4, b"\0")
+        heap += data
+        return pack("HHII", tag, kind, n, heap_at + len(heap) - len(data))
+
+    angle = lambda d, m: pack("IIIIII", d, 1, m, 1, 0, 1)
+    main = [entry(0x010F, 2, 6, b"Canon\0"), entry(0x0112, 3, 1, pack("H", 9)), entry(0x8769, 4, 1, pack("I", 80)), entry(0x8825, 4, 1, pack("I", 130))]
+    photo = [entry(0x9003, 2, 20, b"2024:02:03 04:05:06\0"), entry(0x829A, 5, 1, pack("II", 1, 250)), entry(0x8827, 3, 1, pack("H", 400))]
+    gps = [entry(1, 2, 2, b"S\0" if south else b"N\0"), entry(2, 5, 3, angle(52, 30)), entry(3, 2, 2, b"E\0"), entry(4, 5, 3, angle(13, 15))]
+    out = (b"II" if order == "<" else b"MM") + pack("HI", 42, 8)
+    for at, rows in ((8, main), (80, photo), (130, gps)):
+        out = out.ljust(at, b"\0") + pack("H", len(rows)) + b"".join(rows) + pack("I", 0)
+    return out.ljust(heap_at, b"\0") + heap
+
+
+def jpeg(block):
+    body = b"Exif\0\0" + block
+    return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xd9"
+
+
+def png(block):
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"eXIf", block)
+
+
+def test_exif(spark):
+    whole = jpeg(tiff("<", True))
+    contents = [whole, png(tiff(">", False)), None, b"", b"\xff\xd8\xff", jpeg(b"II*\0\xff\xff\xff\xff"), *(whole[:k] + b"\xff" * 40 for k in range(20, len(whole), 17))]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(contents)], "id long, content binary").select("id", exif.exif(F.col("content")).alias("x")).orderBy("id").collect()
+    assert len(rows) == len(contents)
+    for r, lat in zip(rows, (-52.5, 52.5)):
+        assert (r.x.camera_make, r.x.orientation, r.x.date_taken, r.x.exposure_time, r.x.iso, r.x.has_gps, r.x.latitude, r.x.longitude) == ("Canon", 1, 1706933106, 0.004, 400, True, lat, 13.25)
+    for r in rows[2:6]:
+        assert (r.x.camera_make, r.x.orientation, r.x.date_taken, r.x.has_gps, r.x.latitude) == ("", 1, 0, False, 0.0)
