@@ -138,10 +138,8 @@ def _of_kind(kind: str):
 
 
 def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The counts, the hash of the base spans and all spans of :func:`personal_data`."""
+    """The counts, the hash of the base spans, all spans and their scores of :func:`personal_data`."""
     base = F.filter("found", lambda x: x["kind"].isin(*BASE_KINDS))
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.size(F.filter("found", _of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return df.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.transform("found", lambda x: x["score"]).alias("scores"))
-
-
+    return df.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.array_join(F.transform("found", lambda x: x["score"].cast("string")), ",").alias("scores"))

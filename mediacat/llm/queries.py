@@ -123,6 +123,53 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+SQL_OP10 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS text FROM documents
+), marked AS (
+  SELECT row_no, 0 AS rank, 'email' AS kind, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', chr(1) || '\0' || chr(2), 'g') AS m FROM d
+  UNION ALL SELECT row_no, 1, 'ip', regexp_replace(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 2, 'card', regexp_replace(text, '[0-9]([\x20-]?[0-9])+', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 3, 'phone', regexp_replace(text, '\+[0-9][\x20().0-9-]+[0-9]', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 4, 'iban', regexp_replace(translate(text, '_', chr(3)), '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b', chr(1) || '\0' || chr(2), 'g') FROM d
+  UNION ALL SELECT row_no, 5, 'ssn', regexp_replace(translate(regexp_replace(text, '[^0-9-]', ' ', 'g'), '-', '_'), '\b[0-9]{3}_[0-9]{2}_[0-9]{4}\b', chr(1) || '\0' || chr(2), 'g') FROM d
+), pieces AS (
+  SELECT row_no, rank, kind, unnest(string_split(m, chr(1))) AS piece, generate_subscripts(string_split(m, chr(1)), 1) AS k FROM marked WHERE contains(m, chr(1))
+), placed AS (
+  SELECT *, split_part(piece, chr(2), 1) AS match, regexp_replace(split_part(piece, chr(2), 1), '[^0-9]', '', 'g') AS digits,
+         CAST(coalesce(sum(length(piece) - (k > 1)::INT) OVER (PARTITION BY row_no, rank ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM pieces
+), checked AS (
+  SELECT *, s + length(match) AS e, replace(match, ' ', '') AS code FROM placed
+  WHERE k > 1 AND CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(match, '.'), lambda x: length(ltrim(x, '0')) < 4 AND coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) <= 255))
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(digits), i, 1) AS INT)
+           ELSE 2 * CAST(substr(reverse(digits), i, 1) AS INT) - 9 * (CAST(substr(reverse(digits), i, 1) AS INT) > 4)::INT END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+    WHEN 'iban' THEN length(replace(match, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_concat([0], list_transform(string_split(substr(replace(match, ' ', ''), 5) || substr(replace(match, ' ', ''), 1, 4), ''), lambda c: ascii(c))),
+           lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1
+    ELSE substr(digits, 1, 3) NOT IN ('000', '666') AND substr(digits, 1, 1) <> '9' AND substr(digits, 4, 2) <> '00' AND substr(digits, 6) <> '0000' END
+), rules(kind, prior, up, down) AS (
+  VALUES ('email', 0.8::DOUBLE, ['email', 'e-mail', 'mail', 'contact'], ['example', 'noreply']), ('ip', 0.5, ['ip', 'address', 'host', 'server'], ['version', 'release']),
+         ('card', 0.8, ['card', 'visa', 'mastercard', 'payment', 'credit'], ['isbn', 'order', 'serial']), ('phone', 0.6, ['phone', 'tel', 'call', 'mobile', 'fax'], ['id', 'version']),
+         ('iban', 0.7, ['iban', 'account', 'bank', 'konto'], ['sku', 'serial']), ('ssn', 0.4, ['ssn', 'social', 'security'], ['order', 'part', 'isbn'])
+), near AS (
+  SELECT c.row_no, c.rank, c.kind, c.s, c.e, r.prior, r.up, r.down,
+         regexp_extract_all(lower(substr(d.text, greatest(0, c.s - 40) + 1, c.s - greatest(0, c.s - 40)) || ' ' || substr(d.text, c.e + 1, 40)), '[a-z][a-z-]*') AS words
+  FROM checked c JOIN d USING (row_no) JOIN rules r USING (kind)
+), scored AS (
+  SELECT *, round(least(1, greatest(0, prior + 0.3 * list_has_any(words, up)::INT - 0.2 * list_has_any(words, down)::INT)), 2)::DOUBLE AS score, kind || ':' || s || ':' || e AS span FROM near
+), a AS (
+  SELECT row_no, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         string_agg(span, ',' ORDER BY rank, s) FILTER (rank < 4) AS base, string_agg(span, ',' ORDER BY rank, s) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY rank, s) AS scores
+  FROM scored WHERE rank < 4 OR score >= 0.6 GROUP BY row_no
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN a USING (row_no)
+"""
+
+
 SQL_OP2 = """
 WITH p AS (
   SELECT page_id, url, coalesce(html, '') AS html FROM pages
@@ -155,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5, "op6_secrets": SQL_OP6, "op7_decontaminate": SQL_OP7}
+    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5, "op6_secrets": SQL_OP6, "op7_decontaminate": SQL_OP7, "op10_pii": SQL_OP10}
