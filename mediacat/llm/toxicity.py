@@ -43,15 +43,19 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS
 
 
+def _names(word: str) -> tuple[str, ...]:
+    return (word, word[:4] + "*", word[:5] + "*") if len(word) > 4 else (word,)
+
+
+def _hash(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "replace"))
+
+
 def features(text: str | None) -> np.ndarray:
     """The distinct hashed features of a whole text, sorted; none of an empty one."""
     words = set(_WORD.findall(text.lower())) if text else ()
-    names = set(words)
-    for w in words:
-        if len(w) > 4:
-            names.add(w[:4] + "*")
-            names.add(w[:5] + "*")
-    return np.unique(np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) for x in names), dtype=np.int64, count=len(names)))
+    names = {x for w in words for x in _names(w)}
+    return np.unique(np.fromiter(map(_hash, names), dtype=np.int64, count=len(names)))
 
 
 @dataclass(frozen=True)
@@ -169,12 +173,11 @@ class _Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.index = {h: k for k, h in enumerate(model.hashes.tolist())}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _places(self, word: str) -> tuple[int, ...]:
-        of, names = features(word), self.model.hashes
-        at = np.minimum(np.searchsorted(names, of), len(names) - 1)
-        return tuple(at[names[at] == of].tolist())
+        return tuple(self.index[h] for h in map(_hash, _names(word)) if h in self.index)
 
     def score(self, text: str | None) -> float:
         if not len(self.model.hashes):
