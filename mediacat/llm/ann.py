@@ -29,6 +29,8 @@ QUERY_BLOCK = 1024
 M = 12
 EF_BUILD = 64
 EF_SEARCH = 96
+#: Most tasks of a step; its groups are few bytes and much work, so they aren't coalesced by size.
+MOST_TASKS = 4096
 
 
 class Graph:
@@ -182,7 +184,8 @@ def build_index(rows: DataFrame, k: int) -> DataFrame:
     """The materialized index of :func:`usable` rows, one row a shard."""
     vectors = materialize(distinct_vectors(rows, k))
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    return materialize(vectors.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards))).groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards))).repartition(min(MOST_TASKS, 2 * shards), "dim", "shard")
+    return materialize(dealt.groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX))
 
 
 _FOUND = "query_id bigint, vec_id bigint, score double"
@@ -227,6 +230,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     asked = materialize(asked.select("dim", "block", F.col("q.id").alias("query_ids"), F.col("q.vector").alias("query_vectors")))
     shards = index.select("dim", "shard").join(asked.select("dim", "block"), "dim")  # names of blocks only
     pairs = shards.join(index, ["dim", "shard"]).join(asked, ["dim", "block"])
-    found = pairs.groupBy("dim", "shard", "block").applyInPandas(_search_block(k), _FOUND)
+    tasks = min(MOST_TASKS, 2 * blocks * index.count())
+    found = pairs.repartition(max(1, tasks), "dim", "shard", "block").groupBy("dim", "shard", "block").applyInPandas(_search_block(k), _FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
