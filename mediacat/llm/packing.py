@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import text_or_empty
+from mediacat.llm.common import materialize, text_or_empty
 
 MAX_BINS = 4096
 LANE_ROWS = 100_000
@@ -79,7 +79,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     by. A row above the budget is a batch of its own. Null and empty texts are one token;
     rows with equal counts and ids are packed like any others.
     """
-    sized = df.select(F.col(id_col), (byte_tokens(text_col) if tokens is None else tokens).cast("long").alias("n_tokens"))
+    # Four passes follow; the texts are read, and tokens counted, in this one only.
+    sized = materialize(df.select(F.col(id_col), (byte_tokens(text_col) if tokens is None else tokens).cast("long").alias("n_tokens")))
     bounds = bucket_boundaries(sized.select("n_tokens"), buckets)
     if not bounds:
         bounds = [1]
