@@ -206,7 +206,7 @@ def test_events_equal_the_fold(spark):
     rng, at, rows = random.Random(9), 86_000 * 3, []
     for k in range(600):
         at += rng.choice([0, 60, 3000, 7200, 14_400, 14_401, 20_000]) if k % 40 else 900_000
-        rows.append({"id": k + 1, "date_taken": at, "has_gps": rng.random() < 0.5, "latitude": 50 + rng.choice([0, 0, 0, 0.1, 0.5]), "longitude": 8.0})
+        rows.append({"id": k + 1, "date_taken": at, "has_gps": rng.random() < 0.5, "latitude": 50.0 + rng.choice([0, 0, 0, 0.1, 0.5]), "longitude": 8.0})
     got = {}
     for r in events.event_members(media(spark, rows)).collect():
         got.setdefault(r.event, []).append(r.id)
