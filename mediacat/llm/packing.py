@@ -1,12 +1,14 @@
 """Packing into optimal length buckets.
 
-A global histogram of token counts (each bin with its rows, tokens and largest count) goes
-to a dynamic program that places the boundaries of the buckets so that padding every row
+A global histogram of token counts (each distinct count with its rows and tokens) goes to a
+dynamic program that places the boundaries of the buckets so that padding every row
 to the largest count of its bucket adds as few tokens as possible. Inside each bucket,
 rows form batches under a token budget: as many rows as fit when padded, at least one.
 
-The histogram's bins are as wide as keeps their number at ``MAX_BINS`` at most, one token
-where counts are small, so the driver's share is bounded. A bucket that holds more rows
+The histogram is exact. Rows of d distinct counts hold at least d * d / 2 tokens, so it has
+some 245,000 rows at 30 GB of bytes at most. The program's costs satisfy the quadrangle
+inequality, so the best starts of last buckets never move back, and each bucket's round
+takes d log d steps by divide and conquer. A bucket that holds more rows
 than ``LANE_ROWS`` is dealt into lanes by a hash of the row, and each lane numbers its own
 rows, so no task sorts a whole bucket; a lane ends with at most one batch that isn't full.
 """
@@ -19,10 +21,33 @@ from pyspark.sql import functions as F
 
 from mediacat.llm.common import materialize, text_or_empty
 
-MAX_BINS = 4096
 LANE_ROWS = 100_000
 
 
+def _one_more(best: np.ndarray, largest: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least padding of the first j bins with one more bucket, and the first bin of the last.
+
+    All middles of a level are searched at once, each between its neighbours' choices.
+    """
+    n = len(largest)
+    now, choice = np.zeros(n + 1), np.zeros(n + 1, dtype=int)
+    lo, hi, first, last = (np.array([x]) for x in (1, n, 0, n - 1))
+    while len(lo):
+        j = (lo + hi) // 2
+        size = np.minimum(last, j - 1) - first + 1
+        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(j)), size)
+        i = np.arange(size.sum()) - start[of] + first[of]
+        cost = best[i] + largest[j[of] - 1] * (r[j[of]] - r[i]) - (t[j[of]] - t[i])
+        now[j] = np.minimum.reduceat(cost, start)
+        hits = np.flatnonzero(cost == now[j][of])
+        choice[j] = i[hits[np.searchsorted(hits, start)]]
+        lo, hi, first, last = (np.concatenate(x) for x in ((lo, j + 1), (j - 1, hi), (first, choice[j]), (choice[j], last)))
+        order = np.flatnonzero(lo <= hi)
+        lo, hi, first, last = lo[order], hi[order], first[order], last[order]
+    return now, choice
+
+
 def optimal_boundaries(largest: np.ndarray, rows: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
     """The largest counts of at most ``buckets`` buckets with the least padding.
 
@@ -32,20 +57,13 @@ def optimal_boundaries(largest: np.ndarray, rows: np.ndarray, tokens: np.ndarray
     if n == 0:
         return []
     r, t = np.concatenate([[0], np.cumsum(rows)]), np.concatenate([[0], np.cumsum(tokens)])
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
-    choices = []
-    for _ in range(min(buckets, n)):
-        now, choice = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        now[0] = 0
-        for j in range(1, n + 1):  # the last bucket holds the bins i..j-1
-            cost = best[:j] + largest[j - 1] * (r[j] - r[:j]) - (t[j] - t[:j])
-            choice[j] = int(cost.argmin())
-            now[j] = cost[choice[j]]
-        choices.append(choice)
+    best = np.concatenate([[0], largest * r[1:] - t[1:]])  # of one bucket
+    choices = [np.zeros(n + 1, dtype=int)]
+    for _ in range(min(buckets, n) - 1):
+        now, choice = _one_more(best, largest, r, t)
         if now[n] == best[n]:
-            choices.pop()
             break
+        choices.append(choice)
         best = now
     bounds, j = [], n
     for choice in reversed(choices):
@@ -62,12 +80,8 @@ def byte_tokens(text_col: str = "text"):
 
 def bucket_boundaries(lengths: DataFrame, buckets: int) -> list[int]:
     """Boundaries for all rows of the one column ``n_tokens``."""
-    most = lengths.agg(F.max("n_tokens")).first()[0]
-    if most is None:
-        return []
-    width = -(-most // MAX_BINS)
-    histogram = lengths.groupBy(F.expr(f"(n_tokens + {width - 1}) div {width}").alias("bin")).agg(F.max("n_tokens").alias("largest"), F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
-    found = histogram.orderBy("bin").collect()
+    histogram = lengths.groupBy(F.col("n_tokens").alias("largest")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+    found = histogram.orderBy("largest").collect()
     return optimal_boundaries(*(np.array([x[c] for x in found], dtype=float) for c in ("largest", "n", "tokens")), buckets)
 
 

@@ -173,3 +173,22 @@ def test_packing_of_odd_rows(spark):
     out = packing.pack(df).collect()
     assert sorted(r.n_tokens for r in out) == [1, 1, 1, 100_001]
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_boundaries_with_one_very_long_text(spark):
+    short = [100, 101, 103, 150, 152, 160, 300, 301, 399, 400] * 3
+    df = spark.createDataFrame([(x,) for x in [*short, 20_000_000]], "n_tokens long")
+    bounds = packing.bucket_boundaries(df, 5)
+    pad = lambda bounds: sum(min(b for b in bounds if b >= x) - x for x in [*short, 20_000_000])
+    assert pad(bounds) == min(pad((*c, 20_000_000)) for c in itertools.combinations(sorted(set(short)), 4))
+    rng = np.random.default_rng(3)
+    for _ in range(30):  # against a program that tries every start
+        values = np.unique(np.concatenate([rng.integers(1, 400, 120), [10**7]])).astype(float)
+        rows, k = rng.integers(1, 9, len(values)).astype(float), int(rng.integers(1, 9))
+        cost = lambda i, j: float((rows[i:j] * (values[j - 1] - values[i:j])).sum())
+        least = [cost(0, j) if j else 0.0 for j in range(len(values) + 1)]
+        for _ in range(k - 1):
+            least = [0.0, *(min(least[i] + cost(i, j) for i in range(j)) for j in range(1, len(values) + 1))]
+        got = packing.optimal_boundaries(values, rows, rows * values, k)
+        at = np.searchsorted(got, values)
+        assert len(got) <= k and float((rows * (np.array(got)[at] - values)).sum()) == least[-1]
