@@ -12,7 +12,9 @@ core, and the densest node of every other branch that reaches the threshold, are
 
 What no article contains is taken out of the tree before that: scripts, styles, forms,
 menus, page headers and footers, sidebars, notices, adverts and reader comments, known by
-element, role, visibility, or words of class and id.
+element, role, visibility, or a class or id that consists of such names. Names and forms
+don't drop an element around an article or main, nor a form around the core (just its
+controls), nor all text of the page.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that can hold an article; a paragraph or a list is part of one.
-CONTAINERS = frozenset("html body main article section div center table tbody tr td details dir".split())
+CONTAINERS = frozenset("html body main article section div form center table tbody tr td details dir".split())
 HEAD = frozenset("base head link meta noscript script style template title".split())
 #: An open element of the key is closed by a start tag of the values.
 _CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option optgroup".split())
@@ -50,7 +52,7 @@ CLOSED_BY = {
 #: Up to which a search for an element to close goes.
 _SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"]), "option": frozenset(["select"])}
 
-DROPPED = frozenset("head nav footer aside form button select svg canvas audio video object applet dialog menu label input".split()) | RAW
+DROPPED = frozenset("head nav footer aside button select svg canvas audio video object applet dialog menu label input".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROPPED_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall "
@@ -66,8 +68,6 @@ def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not DROPPED_NAMES.isdisjoint(_NAME_PARTS.findall(value)):
-            return True
         if name == "role" and value in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
@@ -75,6 +75,21 @@ def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def _named(tag: str, attributes: str) -> bool:
+    """Whether an element is a form, or a whole class or id consists of the names to drop."""
+    if tag == "form":
+        return True
+    if not attributes or tag in KEPT:
+        return False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in value.strip("\"'").lower().split():
+                parts = _NAME_PARTS.findall(token)
+                if parts and DROPPED_NAMES.issuperset(parts):
+                    return True
+    return False
+
+
 class Page:
     """The tree of a page as flat arrays: a node's parent comes before it."""
 
@@ -84,7 +99,39 @@ class Page:
         self.pieces: list[tuple[int, str]] = []
         self._open = [0]
         self._count = {"html": 1}
+        self._named: list[int] = []
         self._parse(html)
+        self._drop_named()
+
+    def _drop_named(self) -> None:
+        """Drop named elements and forms, but none around an article or main, no form around
+        the core, and no named element around it if there is no text elsewhere."""
+        if not self._named:
+            return
+        holds = set()
+        for k, tag in enumerate(self.tags):
+            if tag in ("article", "main") and not self.drop[k]:
+                while k and k not in holds:
+                    holds.add(k)
+                    k = self.parents[k]
+        named = set(self._named) - holds
+        _, sums = self.densities()
+        core = max(range(len(sums)), key=lambda k: (sums[k], -k))
+        around = set()
+        while core:
+            around.add(core)
+            core = self.parents[core]
+        named = {k for k in named if self.tags[k] != "form" or k not in around}
+        drop = self._dropped_with(named)
+        if named & around and not any(node >= 0 and not drop[node] and text.strip() for node, text in self.pieces):
+            drop = self._dropped_with(named - around)
+        self.drop = drop
+
+    def _dropped_with(self, named: set[int]) -> list[bool]:
+        drop = self.drop[:]
+        for k in range(1, len(drop)):
+            drop[k] = drop[k] or drop[self.parents[k]] or k in named
+        return drop
 
     def _push(self, tag: str, attributes: str) -> None:
         top = self._open[-1]
@@ -92,6 +139,8 @@ class Page:
         self.tags.append(tag)
         self.parents.append(top)
         self.drop.append(self.drop[top] or _dropped(tag, attributes, inside))
+        if not self.drop[-1] and _named(tag, attributes):
+            self._named.append(len(self.tags) - 1)
         if tag in BLOCK:
             self.pieces.append((-1, ""))
         elif tag == "br":

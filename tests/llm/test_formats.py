@@ -192,3 +192,19 @@ def test_boundaries_with_one_very_long_text(spark):
         got = packing.optimal_boundaries(values, rows, rows * values, k)
         at = np.searchsorted(got, values)
         assert len(got) <= k and float((rows * (np.array(got)[at] - values)).sum()) == least[-1]
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [f'<div {x}>%s</div>' for x in ("class='content with-sidebar'", "class='page has-ads'", "class='layout no-comments'", "class='side-by-side'", "id='notice-text'", "class='sidebar'")] + ["<form>%s<input value=x><button>Send</button></form>"],
+)
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<div>%s</div>"])
+def test_layout_names_and_forms_keep_the_text(wrap, inner):
+    text = "A long sentence of the article, with enough words to count as its text."
+    assert html_text.main_text("<body>" + wrap % (inner % f"<p>{text}</p><p>{text}</p>") + "</body>") == f"{text}\n{text}"
+
+
+def test_named_elements_beside_the_text_are_dropped():
+    text = "A long sentence of the article, with enough words to count as its text."
+    for extra in ("<div class='cookie-banner'>Cookies here</div>", "<div id=sidebar>Short</div>", "<form>Search here <input></form>"):
+        assert html_text.main_text(f"<body>{extra}<div><p>{text}</p><p>{text}</p></div></body>") == f"{text}\n{text}"
