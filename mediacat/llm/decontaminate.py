@@ -10,10 +10,14 @@ So the partitions are of the items' sizes, and the sketch length follows from th
 item of q shingles keeps its floor((1 - threshold) * u) + 1 smallest hashes, u being the
 upper bound of its partition. A document that contains the item lacks at most
 floor((1 - threshold) * q) of its shingles, so it has one of the sketch: no containment is
-missed. Candidates are then verified by their exact shingles, as strings.
-
-The hashes of all document shingles are probed against the sketches in one pass with no
-shuffle of the texts. The sketches are broadcast while their number is proven small.
+missed. The documents' side of the search is every hash of theirs: that is the only sketch
+of a long text which can't miss a short item.
+
+Texts are never shuffled, whatever the number of items or hits. One pass probes the hashes of
+all document shingles: sketches are broadcast while their number is proven small, and beyond
+that a filter of bounded size lets few other hashes through to a join. The texts that are hit
+fill a second filter, and a second pass in place takes the shingles of those, as strings, and
+keeps the ones that an item has. Counted by text and item they are the exact containment.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import broadcast_if_small, materialize, text_or_empty
+from mediacat.llm.common import join_in_place, materialize, narrowed, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -78,26 +82,31 @@ def contained_items(
     and repeated rows are reported like others.
     """
     bench = items.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("item_text")).withColumn("item", F.xxhash64("item_text"))
-    sketches = materialize(item_sketches(bench.dropDuplicates(["item"]), threshold))
     texts = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    held = _containments(texts, bench.select("item", "item_text").dropDuplicates(["item"]), threshold)
+    named = materialize(held.join(bench.select("item", "item_id"), "item"))
+    rows = narrowed(texts.select("doc", "key"), held, ["key"])
+    out = rows.join(named, "key").select(F.col("doc").alias(id_col), F.col("item_id").alias(item_col), "item_shingles", "shared_shingles")
+    return out.withColumn("containment", F.round(F.col("shared_shingles") / F.col("item_shingles"), 6))
+
+
+def _containments(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """``(key, item, item_shingles, shared_shingles)`` of each distinct text that contains an
+    item. ``texts``: ``(key, text)``; ``items``: ``(item, item_text)``, distinct. Materialized."""
+    sketches = materialize(item_sketches(items, threshold).groupBy("hash").agg(F.count("*").alias("n")))
     probes = texts.select("key", F.explode(shingle_hashes(words(F.col("text")))).alias("hash"))
-    pairs = probes.join(broadcast_if_small(sketches), "hash").select("key", "item").distinct()
-    found = materialize(pairs.groupBy("key").agg(F.collect_set("item").alias("items")))
-    exact = materialize(bench.select("item_id", "item", shingle_texts(words(F.col("item_text"))).alias("of_item")))
-    shared = F.size(F.array_intersect("of_item", "of_doc")).cast("long")
-    return (
-        texts.join(broadcast_if_small(found), "key")
-        .select("doc", shingle_texts(words(F.col("text"))).alias("of_doc"), "items")
-        .select("doc", "of_doc", F.explode("items").alias("item"))
-        .join(broadcast_if_small(exact, 10_000), "item")
-        .select(F.col("doc").alias(id_col), F.col("item_id").alias(item_col), F.size("of_item").cast("long").alias("item_shingles"), shared.alias("shared_shingles"))
-        .withColumn("containment", F.round(F.col("shared_shingles") / F.col("item_shingles"), 6))
-        .where(F.col("shared_shingles") >= F.round(threshold * F.col("item_shingles"), 9))
-    )
+    hit = materialize(join_in_place(probes, sketches, ["hash"], "inner").select("key").distinct())
+    of_items = materialize(items.select("item", F.explode(shingle_texts(words(F.col("item_text")))).alias("shingle")))
+    sizes = of_items.groupBy("item").agg(F.count("*").alias("item_shingles"))
+    asked = materialize(of_items.select("shingle").distinct())
+    of_docs = narrowed(texts, hit, ["key"]).select("key", F.explode(shingle_texts(words(F.col("text")))).alias("shingle"))
+    of_docs = materialize(join_in_place(of_docs, asked, ["shingle"], "inner").distinct())
+    shared = of_docs.join(of_items, "shingle").groupBy("key", "item").agg(F.count("*").alias("shared_shingles"))
+    return materialize(shared.join(sizes, "item").where(F.col("shared_shingles") >= F.round(threshold * F.col("item_shingles"), 9)).select("key", "item", "item_shingles", "shared_shingles"))
 
 
 def contained_texts(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """``(key)``: the hashes ``xxhash64(text)``, nulls as empty, of the texts that contain an item. Materialized."""
-    texts = docs.select(F.xxhash64(text_or_empty(text_col)).alias("id"), text_or_empty(text_col).alias("text"))
-    bench = items.select(F.lit(0).alias("item"), text_or_empty(item_text_col).alias("text"))
-    return materialize(contained_items(texts, bench, threshold, "id", "text", "item", "text").select(F.col("id").alias("key")).distinct())
+    texts = docs.select(text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    bench = items.select(text_or_empty(item_text_col).alias("item_text")).withColumn("item", F.xxhash64("item_text")).dropDuplicates(["item"])
+    return materialize(_containments(texts, bench, threshold).select("key").distinct())

@@ -6,8 +6,10 @@
 2. The inverted index maps each trigram that some query names to its postings, the keys
    of the texts that contain it (lower-cased). Texts are keyed by a hash of the
    text, so copies are indexed once; a collision only adds a candidate.
-3. Postings are intersected per alternative by counting, and the candidates of each rule
-   are verified by its expression, which yields spans.
+3. Postings are intersected per alternative by counting. The keys of the candidates fill a
+   filter of bounded size, against which the texts are read again, in place and in the same
+   way at every size; on those that it lets through, each rule is verified by its
+   expression, which yields spans. A text that passes by chance costs time and has no span.
 
 Rule kinds in the order in which they are listed: ``assign``, ``access``, ``hex`` (the base
 kinds) and those that the method adds. Offsets are in code points, ends exclusive.
@@ -23,7 +25,7 @@ from re import _parser as P
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import broadcast_if_small, materialize, text_or_empty
+from mediacat.llm.common import materialize, text_or_empty, with_maybe
 
 
 @dataclass(frozen=True)
@@ -108,20 +110,57 @@ def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``(key, kinds)``: the texts that satisfy the query of a rule with mandatory trigrams."""
+    """``(key)``, distinct: the texts that satisfy the query of a rule with mandatory trigrams."""
     spark = texts.sparkSession
     parts = [(r.kind, k, t, len(a)) for r in rules for k, a in enumerate(trigram_query(r.pattern)) for t in sorted(a)]
     if not parts:
-        return spark.createDataFrame([], "key bigint, kinds array<string>")
+        return spark.createDataFrame([], "key bigint")
     named = spark.createDataFrame(parts, "kind string, alternative int, trigram string, of int")
     index = postings(texts, sorted({t for _, _, t, _ in parts}))
     whole = index.join(F.broadcast(named), "trigram").groupBy("key", "kind", "alternative").agg(F.count("*").alias("n"), F.first("of").alias("of")).where("n = of")
-    return whole.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    return whole.select("key").distinct()
 
 
 # ---------------------------------------------------------------- verification
 
 
+#: Items of a block of :func:`_emitted`.
+_BLOCK = 64
+
+
+def _emitted(items: Column, first: Column, move, emit, kind: str) -> Column:
+    """What ``emit(state, item)``, an array, gives over a left fold of the array ``items``, joined.
+
+    The state, an int, starts as ``first`` and ``move(state, item)`` follows it. A fold that
+    appends to one array copies it at every item, so items are folded in blocks, each from
+    the state before it.
+    """
+    none = F.from_json(F.lit("[]"), kind)
+    at = lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK))
+    blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / _BLOCK).cast("int"))
+    marks = F.aggregate(
+        blocks,
+        F.struct(first.alias("at"), F.from_json(F.lit("[]"), "array<struct<block:int,at:int>>").alias("found")),
+        lambda acc, b: F.struct(F.aggregate(at(b), acc["at"], move).alias("at"), F.concat(acc["found"], F.array(F.struct(b.alias("block"), acc["at"].alias("at")))).alias("found")),
+        lambda acc: acc["found"],
+    )
+    block = lambda m: F.aggregate(
+        at(m["block"]),
+        F.struct(m["at"].alias("at"), none.alias("out")),
+        lambda acc, p: F.struct(move(acc["at"], p).alias("at"), F.concat(acc["out"], emit(acc["at"], p)).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return F.flatten(F.transform(marks, block))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once even where lambdas use it again and again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_SPANS = "array<struct<start:int,end:int,kind:string,rank:int>>"
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     """The spans of a rule as an array of ``(start, end, kind, rank)``.
 
@@ -129,26 +168,21 @@ def _spans(text: Column, rule: Rule) -> Column:
     replaced first, one for one); the text is split there, and places are sums of lengths.
     """
     marked = F.regexp_replace(text, F.lit(rule.pattern), F.lit("\u0001$0\u0002"))
-    pieces = F.split(marked, "\u0001")
     rank = KINDS.index(rule.kind)
-    # Each piece but the first is a match, the second fence and the text up to the next match.
-    match = lambda p: F.substring_index(p, "\u0002", 1)
-    size = lambda p: F.length(p)
-
-    def step(acc: Column, p: Column) -> Column:
-        m = match(p)
-        end = acc["at"] + size(m)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rank).alias("rank"))
-        if rule.least:
-            kept = F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least
-            found = F.when(kept, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        else:
-            found = F.concat(acc["found"], F.array(span))
-        return F.struct((acc["at"] + size(p) - 1).alias("at"), found.alias("found"))
 
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string,rank:int>>")
-    first = F.struct(size(F.element_at(pieces, 1)).alias("at"), none.alias("found"))
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, step, lambda acc: acc["found"])
+    def emit(at: Column, p: Column) -> Column:
+        # A piece is a match, the second fence and the text up to the next match.
+        m = F.substring_index(p, "\u0002", 1)
+        span = F.array(F.struct(at.alias("start"), (at + F.length(m)).alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rank).alias("rank")))
+        if not rule.least:
+            return span
+        return F.when(F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least, span).otherwise(F.from_json(F.lit("[]"), _SPANS))
+
+    def spans(pieces: Column) -> Column:
+        matches = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return _let(F.struct(F.length(F.element_at(pieces, 1)).alias("at"), matches.alias("m")), lambda x: _emitted(x["m"], x["at"], lambda at, p: at + F.length(p) - 1, emit, _SPANS))
+
+    return _let(F.split(marked, "\u0001"), spans)
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -159,14 +193,14 @@ def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     fenced = F.contains(text, F.lit("\u0001")) | F.contains(text, F.lit("\u0002"))
     plain = F.when(fenced, F.translate(text, "\u0001\u0002", "\u0003\u0003")).otherwise(text)
     texts = df.select(plain.alias("text"))
-    known = broadcast_if_small(materialize(candidates(texts, rules)))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string,rank:int>>")
+    known = materialize(candidates(texts, rules))
+    none = F.from_json(F.lit("[]"), _SPANS)
     own = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    rows = df.select(own.alias("row"), plain.alias("text"), _key(plain).alias("key")).join(known, "key", "left")
+    rows = with_maybe(df.select(own.alias("row"), plain.alias("text"), _key(plain).alias("key")), known, ["key"], "known")
     parts = []
     for r in rules:
-        wanted = F.array_contains("kinds", r.kind) if trigram_query(r.pattern) else F.regexp_like("text", F.lit(r.pattern))
-        parts.append(F.when(wanted, _spans(F.col("text"), r)).otherwise(none))
+        wanted = F.col("known") if trigram_query(r.pattern) else F.lit(True)
+        parts.append(F.when(wanted & F.regexp_like("text", F.lit(r.pattern)), _spans(F.col("text"), r)).otherwise(none))
     found = F.array_sort(F.flatten(F.array(*parts)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
     return rows.select("row", found.alias("mediacat_found")).select(*(F.col("row")[c].alias(c) for c in df.columns if c != "found"), F.col("mediacat_found").alias("found"))
 
@@ -190,12 +224,8 @@ def redact(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
     """The rows of :func:`find_secrets` with every span of ``text_col``, overlapping ones
     merged, replaced by ``mark``, and without ``found``; rows without spans stay as they are."""
     text = text_or_empty(text_col)
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        kept = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    kept = lambda at, x: F.when(x["start"] >= at, F.array(F.substring(text, at + 1, x["start"] - at), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+    pieces = _emitted(F.col("found"), F.lit(0), lambda at, x: F.greatest(at, x["end"]), kept, "array<string>")
+    rest = F.substring(text, F.array_max(F.transform("found", lambda x: x["end"])) + 1, F.length(text))
+    whole = F.concat(F.array_join(pieces, ""), rest)
     return found.withColumn(text_col, F.when(F.size("found") > 0, whole).otherwise(F.col(text_col))).drop("found")

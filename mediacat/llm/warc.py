@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediacat.llm.common import broadcast_if_small, materialize, shared_dir, text_or_empty
+from mediacat.llm.common import BROADCAST_ROWS, join_in_place, materialize, shared_dir, text_or_empty
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 #: Payloads below this size are always stored in full.
@@ -188,8 +188,18 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     with an equal payload of at least ``min_bytes`` bytes, null where no other row has it."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
     p = p.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
-    repeated = p.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return p.join(broadcast_if_small(materialize(repeated)), "digest", "left")
+    repeated = p.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(repeated)
+    # Payloads of more than that share of the rows are fewer than the bound: broadcast, so hot ones stay in place.
+    often = repeated.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * BROADCAST_ROWS > often
+    met = p.join(F.broadcast(repeated.where(hot).drop("n")), "digest", "left")
+    rest = repeated.where(~hot).select("digest", F.col("keeper").alias("other"))
+    columns = ["page_id", "url", "html", "digest", "n_bytes", "keeper"]
+    if rest.isEmpty():
+        return met.select(*columns)
+    met = join_in_place(met, materialize(rest), ["digest"], "left")
+    return met.withColumn("keeper", F.coalesce("keeper", "other")).select(*columns)
 
 
 def write_packages(pages: DataFrame, folder: str, zip64: bool = False) -> DataFrame:
