@@ -5,32 +5,34 @@ bits, which in a sorted array is an interval, so the traversal takes pairs of
 intervals, adds up the bits in which the two paths differ, and prunes a pair as soon
 as the budget is exceeded. Pairs of small nodes are compared leaf by leaf.
 
-Distribution. With a budget of ``k`` bits and ``k + 1`` blocks of bits, two linked
-fingerprints agree in one whole block. Each fingerprint therefore enters ``k + 1``
-tries, the t-th with block t rotated to the top, and within that block the budget is
-zero. The leading bits of a rotated fingerprint name the sub-trie, which is one task's
-group; their number follows the number of distinct fingerprints, so a group keeps
-about ``GROUP_ROWS`` rows at every size. A sub-trie that is nevertheless larger than
-``CHUNK_ROWS`` is dealt into chunks, and every pair of chunks is traversed in its own
-group: nothing is dropped and no task holds more than two chunks. A group returns the
-spanning forest of its links (at most one edge per fingerprint), never all pairs.
-Components are then found by alternating large-star and small-star steps over a
-checkpointed edge table.
+Distribution. With a budget of ``k`` bits and ``k + m`` blocks of bits, two linked
+fingerprints agree in ``m`` whole blocks. Each fingerprint therefore enters a trie for every
+choice of ``m`` blocks, which are moved to the top, and within those the budget is zero.
+The leading bits name the sub-trie, which is one task's group. Their number follows the
+number of distinct fingerprints, and ``m`` grows where the blocks of fewer would be too
+short for it (at 4 bits: 5 tries with up to 12 bits, 15 with 20, 35 with 27, 70 with 32),
+so a group of evenly spread fingerprints keeps about ``GROUP_ROWS`` rows up to 10^13 of them.
+A sub-trie that is nevertheless larger than ``CHUNK_ROWS``, by uneven fingerprints, is dealt
+into chunks, and every pair of chunks is traversed in its own group: nothing is dropped and
+no task holds more than two chunks, but rows are copied once per chunk of their sub-trie.
+A group returns the spanning forest of its links (at most one edge per fingerprint), never
+all pairs. Components are then found by alternating large-star and small-star steps over a
+checkpointed edge table, whose hubs are dealt into parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import materialize
+from mediacat.llm.common import broadcast_if_small, materialize, salted_join
 
 SEED = 42
 GROUP_ROWS = 4096
@@ -38,6 +40,8 @@ CHUNK_ROWS = 8192
 #: Pairs of nodes held at once, and the product of sizes from which leaves are compared.
 FRONTIER = 1 << 16
 LEAF_PAIRS = 256
+#: Blocks that a trie may fix; more need too many tries.
+MOST_AGREE = 4
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -52,7 +56,12 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     else:
         n = len(words) - shingle + 1
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n)
+    return majority_bits(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in more than half of the hashes; zero for none."""
+    n = len(hashes)
     places = hashes.view(np.uint8).reshape(-1, 8).astype(np.int64) + 256 * np.arange(8)
     counts = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
     bits = np.packbits((2 * counts.ravel() > n).astype(np.uint8), bitorder="little")
@@ -144,21 +153,53 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int, exact_bits: int)
             stack.append((depth + 1, below))
 
 
-def _links_of_group(budget: int, exact: list[int], starts: list[int]):
+#: Blocks of a fingerprint as ``(start, bits)``, counted from the top, in the order of a trie.
+Layout = list[tuple[int, int]]
+
+
+def layouts(budget: int, agree: int) -> tuple[list[Layout], int]:
+    """For every choice of ``agree`` of ``budget + agree`` blocks, the layout that begins with
+    them, and the least number of bits that such a choice has."""
+    n = budget + agree
+    blocks = [(64 * t // n, 64 * (t + 1) // n - 64 * t // n) for t in range(n)]
+    chosen = list(combinations(blocks, agree))
+    return [[*c, *(x for x in blocks if x not in c)] for c in chosen], min(sum(bits for _, bits in c) for c in chosen)
+
+
+def moved(fp: Column, layout: Layout) -> Column:
+    """The bits of ``fp`` in the order of ``layout``."""
+    out, at = F.lit(0).cast("bigint"), 0
+    for start, bits in layout:
+        block = F.shiftrightunsigned(F.shiftleft(fp, start), 64 - bits)
+        at += bits
+        out = out.bitwiseOR(F.shiftleft(block, 64 - at))
+    return out
+
+
+def moved_back(values: np.ndarray, layout: Layout) -> np.ndarray:
+    """The fingerprints, signed, whose bits ``moved`` has put in the order of ``layout``."""
+    out, at = np.zeros(len(values), dtype=np.uint64), 0
+    for start, bits in layout:
+        block = (values << np.uint64(at)) >> np.uint64(64 - bits)
+        out |= block << np.uint64(64 - start - bits)
+        at += bits
+    return out.view(np.int64)
+
+
+def _links_of_group(budget: int, agree: int, order: list[Layout]):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        t, i, j = int(key[0]), int(key[2]), int(key[3])
+        layout, i, j = order[int(key[0])], int(key[2]), int(key[3])
+        exact = sum(bits for _, bits in layout[:agree])
         rot = rows["rot"].to_numpy().view(np.uint64)
         side = rows["chunk"].to_numpy()
         a = np.unique(rot[side == i])
         b = None if i == j else np.unique(rot[side == j])
         values = a if b is None else np.concatenate([a, b])
         forest, shift = Forest(len(values)), 0 if b is None else len(a)
-        for x, y in trie_join(a, b, budget, exact[t]):
+        for x, y in trie_join(a, b, budget, exact):
             forest.merge(x, y + shift)
         linked = np.flatnonzero(forest.root != np.arange(len(values)))
-        s = np.uint64(starts[t])
-        back = lambda v: ((v >> s) | (v << (np.uint64(64) - s)) if s else v).view(np.int64)
-        return pd.DataFrame({"u": back(values[linked]), "v": back(values[forest.root[linked]])})
+        return pd.DataFrame({"u": moved_back(values[linked], layout), "v": moved_back(values[forest.root[linked]], layout)})
 
     return run
 
@@ -166,21 +207,13 @@ def _links_of_group(budget: int, exact: list[int], starts: list[int]):
 def hamming_links(nodes: DataFrame, budget: int = 4) -> DataFrame:
     """``(u, v)``: edges whose components are those of all pairs of the distinct ``nodes.fp``
     that differ in at most ``budget`` bits. ``nodes`` should be materialized."""
-    blocks = budget + 1
-    starts = [64 * t // blocks for t in range(blocks)]
-    exact = [64 * (t + 1) // blocks - 64 * t // blocks for t in range(blocks)]
-    n = nodes.count()
-    top = min(min(exact), max(0, (n // GROUP_ROWS).bit_length()))
-    rotated = nodes.select(
-        F.explode(
-            F.array(
-                *(
-                    F.struct(F.lit(t).alias("t"), (F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp")).alias("rot"))
-                    for t, s in enumerate(starts)
-                )
-            )
-        ).alias("x")
-    ).select("x.t", "x.rot")
+    wanted = (nodes.count() // GROUP_ROWS).bit_length()
+    agree = 1
+    while layouts(budget, agree)[1] < wanted and agree < MOST_AGREE:
+        agree += 1
+    order, least = layouts(budget, agree)
+    top = min(least, wanted)
+    rotated = nodes.select(F.explode(F.array(*(F.struct(F.lit(t).alias("t"), moved(F.col("fp"), layout).alias("rot")) for t, layout in enumerate(order)))).alias("x")).select("x.t", "x.rot")
     rotated = rotated.withColumn("sub", F.shiftrightunsigned("rot", 64 - top) if top else F.lit(0).cast("bigint"))
     large = materialize(rotated.groupBy("t", "sub").count().where(F.col("count") > CHUNK_ROWS))
     zero = F.lit(0).cast("bigint")
@@ -189,12 +222,12 @@ def hamming_links(nodes: DataFrame, budget: int = 4) -> DataFrame:
     else:
         chunks = F.coalesce(F.ceil(F.col("count") / CHUNK_ROWS), F.lit(1)).cast("bigint")
         dealt = (
-            rotated.join(large, ["t", "sub"], "left")
+            rotated.join(broadcast_if_small(large), ["t", "sub"], "left")
             .withColumn("chunk", F.pmod(F.xxhash64("rot"), chunks))
             .withColumn("other", F.explode(F.sequence(zero, chunks - 1)))
             .select("t", "sub", "rot", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
         )
-    return dealt.groupBy("t", "sub", "i", "j").applyInPandas(_links_of_group(budget, exact, starts), "u bigint, v bigint")
+    return dealt.groupBy("t", "sub", "i", "j").applyInPandas(_links_of_group(budget, agree, order), "u bigint, v bigint")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -208,9 +241,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        small = salted_join(large, least, "u", "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = materialize(small.select("x.u", "x.v").where("u <> v").distinct())
         if (now := state(e)) == seen:
             break
@@ -229,5 +262,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = connected_components(hamming_links(nodes, budget))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = labelled.join(ids, "root").select("fp", "component_id")
+    named = materialize(salted_join(labelled, ids, "root", "fp").select("fp", "component_id"))
     return docs.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,11 +1,13 @@
 """Near duplicates, containment, neighbours, toxicity and the pipeline against brute force."""
 
+import math
 import re
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mediacat.llm import ann, decontaminate, simhash, toxicity
@@ -51,8 +53,19 @@ def test_fingerprints_of_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [(4096, 8192, 256), (16, 24, 4)])
-def test_trie_join_finds_every_link(spark, monkeypatch, sizes):
+def test_layouts_move_all_bits_and_back(spark):
+    values = np.random.default_rng(5).integers(0, 2**63, 50, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    for agree, bits in ((1, 12), (2, 20), (3, 27), (4, 32)):
+        order, least = simhash.layouts(4, agree)
+        assert len(order) == math.comb(4 + agree, agree) and least >= bits
+        for layout in order[::9]:
+            out = np.array([r[0] for r in df.select(simhash.moved(F.col("fp"), layout)).collect()], dtype=np.int64)
+            assert (simhash.moved_back(out.view(np.uint64), layout) == values.view(np.int64)).all()
+
+
+@pytest.mark.parametrize(("sizes", "agree"), [((4096, 8192, 256), 1), ((16, 24, 4), 1), ((4096, 8192, 256), 2), ((1, 24, 4), 3)])
+def test_trie_join_finds_every_link(spark, monkeypatch, sizes, agree):
     for name, v in zip(("GROUP_ROWS", "CHUNK_ROWS", "LEAF_PAIRS"), sizes, strict=True):
         monkeypatch.setattr(simhash, name, v)
     rng = np.random.default_rng(1)
@@ -64,6 +77,9 @@ def test_trie_join_finds_every_link(spark, monkeypatch, sizes):
     fps = {v - (v >> 63 << 64): v for v in values}
     least = plain_components(fps)
     nodes = spark.createDataFrame([(k,) for k in fps], "fp long")
+    if agree > 1:  # as if there were too many for the blocks of fewer
+        real = simhash.layouts
+        monkeypatch.setattr(simhash, "layouts", lambda budget, m: real(budget, max(m, agree)))
     roots = {r.node: r.root for r in simhash.connected_components(simhash.hamming_links(nodes)).collect()}
     assert {k: roots.get(k, k) for k in fps} == least
 
