@@ -1,31 +1,36 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard.
 
-Vectors are dealt into shards of about ``SHARD_ROWS`` rows by a hash of the vector. Each
-shard builds a hierarchical navigable small-world graph (Malkov and Yashunin, 2016), kept as
-flat neighbour arrays: one int32 matrix of neighbours a layer, filled up with -1. A shard
-is one row of the index: its ids, vectors and arrays. Queries are cut into blocks, each block
-meets each shard in a task of its own, and the shards' results are merged by score. Scores
-of what a graph finds are computed again in double precision on the original vectors.
-
-Equal vectors are indexed once with the smallest ids that can matter, k + 1 of them (one may
-be the query's own): further copies come after those in every result, as ties go to the
-smaller id. So a vector that a third of the rows share can't wreck a graph.
+Vectors are dealt into shards by a hash of their direction; a shard has ``SHARD_ROWS`` rows
+and more in large tables (:func:`shard_rows`), as each query visits every shard. Each shard
+builds a hierarchical navigable small-world graph (Malkov and Yashunin, 2016), kept as flat
+neighbour arrays: one int32 matrix of neighbours a layer, filled up with -1. A shard is one
+row of the index: its ids, directions and arrays. To search, only queries are repeated, once
+for each shard; a task reads its shard's row once and streams the queries past it. The shards'
+results are merged by score, which is the cosine in double precision.
+
+Directions are vectors divided by their largest component, so squares neither overflow nor
+vanish, and vectors that are multiples of each other are equal. Those are indexed once with
+the smallest ids that can matter, k + 1 of them (one may be the query's own): further ones come
+after those in every result, as ties go to the smaller id. So a vector that a third of the
+rows share can't wreck a graph.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import materialize
+from mediacat.llm.common import broadcast_if_small, materialize
 
 SHARD_ROWS = 4096
-QUERY_BLOCK = 1024
+MOST_SHARD_ROWS = 65_536
 M = 12
 EF_BUILD = 64
 EF_SEARCH = 96
@@ -145,22 +150,28 @@ class Graph:
         return [y for _, y in self._search(q, [(float(self.vectors[at] @ q), at)], ef, 0)]
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    v = vectors.astype(np.float64)
-    v /= np.abs(v).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+def _unit(directions: np.ndarray) -> np.ndarray:
+    return (directions / np.linalg.norm(directions, axis=1, keepdims=True)).astype(np.float32)
+
+
+def shard_rows(n: int) -> int:
+    """Rows of a shard: they grow with the root of the table's, so that shards do too."""
+    return min(MOST_SHARD_ROWS, max(SHARD_ROWS, 16 * math.isqrt(n)))
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(id, vector, dim)`` of the rows that take part: id and vector not null, the vector
-    not zero, its components finite and not null."""
+    not zero, its components finite and not null. ``vector`` is the direction, the vector
+    divided by its component of largest size."""
     v = F.col("vector")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & good).withColumn("dim", F.size("vector"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & good)
+    rows = rows.withColumn("most", F.array_max(F.transform(v, F.abs)))
+    return rows.select("id", F.transform(v, lambda x: x / F.col("most") + 0.0).alias("vector"), F.size(v).alias("dim"))
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """``(vector, dim, ids)``: the k + 1 smallest distinct ids of each distinct vector."""
+    """``(vector, dim, ids)``: the k + 1 smallest distinct ids of each distinct direction."""
     w = Window.partitionBy("vector").orderBy("id")
     first = rows.dropDuplicates(["id", "vector"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
     return first.groupBy("vector").agg(F.first("dim").alias("dim"), F.sort_array(F.collect_list("id")).alias("ids"))
@@ -171,46 +182,68 @@ _INDEX = "dim int, shard bigint, n int, ids binary, offsets binary, vectors bina
 
 def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.assign(least=rows["ids"].map(lambda x: x[0])).sort_values("least", kind="stable")
-    vectors = np.stack(rows["vector"].to_numpy())
+    vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)
     graph = Graph.build(_unit(vectors))
     ids = np.concatenate(rows["ids"].to_numpy()).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(rows["ids"].map(len))]).astype(np.int64)
     layers = b"".join(x.tobytes() for x in graph.layers)
-    row = (int(rows["dim"].iloc[0]), int(rows["shard"].iloc[0]), len(rows), ids.tobytes(), offsets.tobytes(), vectors.astype(np.float64).tobytes(), layers, len(graph.layers), int(graph.entry))
+    row = (int(rows["dim"].iloc[0]), int(rows["shard"].iloc[0]), len(rows), ids.tobytes(), offsets.tobytes(), vectors.tobytes(), layers, len(graph.layers), int(graph.entry))
     return pd.DataFrame([row], columns=["dim", "shard", "n", "ids", "offsets", "vectors", "layers", "depth", "entry"])
 
 
 def build_index(rows: DataFrame, k: int) -> DataFrame:
     """The materialized index of :func:`usable` rows, one row a shard."""
     vectors = materialize(distinct_vectors(rows, k))
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
+    n = vectors.count()
+    shards = max(1, -(-n // shard_rows(n)))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards))).repartition(min(MOST_TASKS, 2 * shards), "dim", "shard")
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX))
 
 
-_FOUND = "query_id bigint, vec_id bigint, score double"
+class _Shard:
+    """A row of the index, opened."""
 
+    def __init__(self, row: dict):
+        n = row["n"]
+        self.key = (row["dim"], row["shard"])
+        self.ids, self.offsets = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["offsets"], dtype=np.int64)
+        self.exact = np.frombuffer(row["vectors"], dtype=np.float64).reshape(n, row["dim"])
+        flat, layers = np.frombuffer(row["layers"], dtype=np.int32), []
+        for depth in range(row["depth"]):
+            width = 2 * M if depth == 0 else M
+            layers.append(flat[: n * width].reshape(n, width))
+            flat = flat[n * width :]
+        self.norms = np.sqrt((self.exact * self.exact).sum(1))
+        self.graph = Graph(_unit(self.exact), layers, row["entry"])
 
-def _search_block(k: int):
-    def run(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pair.itertuples():
-            ids, offsets = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.offsets, dtype=np.int64)
-            exact = np.frombuffer(r.vectors, dtype=np.float64).reshape(r.n, r.dim)
-            flat, layers = np.frombuffer(r.layers, dtype=np.int32), []
-            for depth in range(r.depth):
-                width = 2 * M if depth == 0 else M
-                layers.append(flat[: r.n * width].reshape(r.n, width))
-                flat = flat[r.n * width :]
-            graph = Graph(_unit(exact), layers, r.entry)
-            queries = np.stack(r.query_vectors)
-            for query, q, unit in zip(r.query_ids, queries, _unit(queries), strict=True):
-                near = np.array(graph.search(unit))
-                v = exact[near]
-                scores = (v @ q) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))
-                found = [(-float(s), int(i)) for s, y in zip(scores, near, strict=True) for i in ids[offsets[y] : offsets[y + 1]] if i != query]
-                out += [(query, i, -s) for s, i in heapq.nsmallest(k, found)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    def nearest(self, query: int, q: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``(-score, id)`` of the k nearest found, nearest first, ties to the smaller id."""
+        near = np.array(self.graph.search(_unit(q[None])[0]))
+        scores = (self.exact[near] @ q) / (self.norms[near] * math.sqrt(q @ q))
+        return heapq.nsmallest(k, ((-float(s), int(i)) for s, y in zip(scores, near, strict=True) for i in self.ids[self.offsets[y] : self.offsets[y + 1]] if i != query))
+
+
+_FOUND = "query_id bigint, vec_id bigint, score double"
+_SHARD = ["n", "ids", "offsets", "vectors", "layers", "depth", "entry"]
+
+
+def _search(k: int):
+    """Over rows sorted by shard, that of the index before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for b in batches:
+            names, out = b.schema.names, []
+            indexed = b.column(names.index("n")).is_valid().to_pylist()
+            dims, shards, ids, vectors = (b.column(names.index(c)) for c in ("dim", "shard", "id", "vector"))
+            for j, opens in enumerate(indexed):
+                if opens:
+                    shard = _Shard({c: b.column(names.index(c))[j].as_py() for c in ("dim", "shard", *_SHARD)})
+                elif shard is not None and shard.key == (dims[j].as_py(), shards[j].as_py()):
+                    query = ids[j].as_py()
+                    out += [(query, i, -s) for s, i in shard.nearest(query, vectors[j].values.to_numpy(), k)]
+            found = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -221,16 +254,14 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     Rows of ``df`` with the query's own id aren't candidates. Null ids and vectors that
     :func:`usable` rejects take no part on either side; vectors of different lengths never
-    meet. Rows repeated with id and vector count once.
+    meet. Rows repeated with id and direction count once.
     """
     index = build_index(usable(df, id_col, vector_col), k)
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["id", "vector"])
-    blocks = max(1, -(-materialize(asked.select("id")).count() // QUERY_BLOCK))
-    asked = asked.groupBy("dim", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "vector"))).alias("q"))
-    asked = materialize(asked.select("dim", "block", F.col("q.id").alias("query_ids"), F.col("q.vector").alias("query_vectors")))
-    shards = index.select("dim", "shard").join(asked.select("dim", "block"), "dim")  # names of blocks only
-    pairs = shards.join(index, ["dim", "shard"]).join(asked, ["dim", "block"])
-    tasks = min(MOST_TASKS, 2 * blocks * index.count())
-    found = pairs.repartition(max(1, tasks), "dim", "shard", "block").groupBy("dim", "shard", "block").applyInPandas(_search_block(k), _FOUND)
+    shards = materialize(index.select("dim", "shard"))
+    asked = usable(queries, id_col, vector_col).dropDuplicates(["id", "vector"]).join(broadcast_if_small(shards), "dim")
+    both = index.unionByName(asked.select("dim", "shard", "id", "vector"), allowMissingColumns=True)
+    tasks = min(MOST_TASKS, max(1, 2 * shards.count()))
+    dealt = both.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("n").isNull())
+    found = dealt.mapInArrow(_search(k), _FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

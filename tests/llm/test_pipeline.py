@@ -124,6 +124,37 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert ann.nearest(df.limit(0), df).count() == 0
 
 
+def test_neighbours_of_extreme_and_parallel_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-9, 10, (200, 6)).astype(float) + 0.5
+    rows = [(k, (x * 10.0 ** (200 if k % 3 else -200)).tolist(), "x", 1, 0.5) for k, x in enumerate(v)]
+    rows += [(500 + k, (v[50] * (k + 2)).tolist(), "x", 1, 0.5) for k in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, dim int, score double")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert [x[1] for x in sorted(got[500])] == [501, 502, 503, 504, 505] or [x[1] for x in sorted(got[500])][0] in (50, 501)
+    assert all(np.isfinite(x[2]) and -1.000001 <= x[2] <= 1.000001 for found in got.values() for x in found)
+    assert len({x[2] for x in got[500]}) == 1
+
+
+def test_recall_on_the_whole_query(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in table.collect()]
+    ids, v = np.array([x[0] for x in rows]), np.stack([x[1] for x in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    got = {}
+    for r in ann.nearest(table, table.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q, found in got.items():
+        scores = np.where(ids == q, -9, v @ v[np.flatnonzero(ids == q)[0]])
+        fifth = np.sort(scores)[-5]
+        hits += sum(s >= fifth - 1e-12 for _, s in found)
+        assert all(abs(s - scores[np.flatnonzero(ids == i)[0]]) < 1e-12 for i, s in found)
+    assert len(got) == (ids % 50 == 0).sum() and hits >= 0.9 * 5 * len(got)
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score(docs.withColumn("score", docs.n_chars), labels).join(labels, "doc_id").where("held_out").collect()
