@@ -12,10 +12,13 @@ the first four and five letters of longer words, hashed; a text's score is the l
 function of its features' weights and a bias, without division by length, so that one
 passage in a long text counts.
 
-Fitting is bounded: at most ``MOST_POSITIVE`` positive and ``MOST_UNLABELLED`` unlabelled
-texts, chosen by a hash of their ids, and ``FEATURES`` features, those that mark toxic texts
-by the same class prior. Features are counted by Spark; only the places of the chosen ones
-reach the driver. Scoring covers every whole text.
+Positives are a sample of at most ``MOST_POSITIVE`` labelled rows, chosen by a hash of id and
+text, repeated rows once. All else covers all rows: the unlabelled texts with each feature are
+counted by Spark, and the features kept are all that mark toxic texts by the same class
+prior. Then the unlabelled rows, as places of their features with a count for each pattern,
+are dealt into parts of about ``PART_ROWS`` rows. On each part and the positives a classifier
+is trained in numpy, and the model is the mean of their weights by rows. Scoring covers
+every whole text.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediacat.llm.common import join_in_place, materialize
+
 MOST_POSITIVE = 4000
-MOST_UNLABELLED = 12_000
-FEATURES = 2048
+PART_ROWS = 12_000
 MARKS = 0.4
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -71,126 +75,150 @@ def _logistic(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def select_features(counts: DataFrame, n_positive: int, n_unlabelled: int, prior: float, most: int = FEATURES) -> np.ndarray:
-    """The features that mark toxic texts, from ``(feature, p, u)``: how many positive and
-    unlabelled texts have each. By Bayes' rule a text with a feature is toxic with probability
-    prior * share of positives / share of unlabelled; kept are features for which this, with
-    the first share lowered by its standard error, is above ``MARKS``, at most ``most`` of
-    them, the commonest among positives first; ties go to the smaller hash."""
-    p = F.col("p") / n_positive
-    toxic = prior * (p - F.sqrt(p * (1 - p) / n_positive)) / ((F.col("u") + 1) / (n_unlabelled + 1))
-    found = counts.where((F.col("p") > 1) & (toxic > MARKS)).orderBy(F.desc("p"), "feature").limit(most).collect()
-    return np.sort(np.array([r["feature"] for r in found], dtype=np.int64))
-
-
-def fit(names: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, batches: int = 8, rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> Model:
-    """Minimise the non-negative risk of the sigmoid loss l(+) = 1 - score, l(-) = score,
-    whose bound keeps single texts from ruling the estimate, with Adam over mini-batches.
-    Deterministic. Texts are given as places of their features in ``names``. Without features of toxic texts the model rejects nothing."""
-    if not len(names) or not positive or not unlabelled:
-        return Model(np.array([], dtype=np.int64), np.array([]), -3.0)
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(names)), dtype=np.uint8)
-        for k, r in enumerate(rows):
-            x[k, r] = 1
-        return x
-
-    xp, xu = matrix(positive), matrix(unlabelled)
-    rng = np.random.default_rng(seed)
-    w, b = np.zeros(len(names)), -1.0
-    m, v, t = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0
-    for _ in range(epochs):
-        for ip, iu in zip(np.array_split(rng.permutation(len(xp)), batches), np.array_split(rng.permutation(len(xu)), batches), strict=True):
-            if not len(ip) or not len(iu):
-                continue
-            p, u, w32 = xp[ip].astype(np.float32), xu[iu].astype(np.float32), w.astype(np.float32)
-            sp, su = _logistic(p @ w32 + b), _logistic(u @ w32 + b)
-            negative = su.mean() - prior * sp.mean()
-            # Gradients by score of mean_U l(-), of p mean_P l(-), and of p mean_P l(+).
-            gu, gn, gp = su * (1 - su) / len(iu), -prior * sp * (1 - sp) / len(ip), -prior * sp * (1 - sp) / len(ip)
-            if negative >= 0:
-                g = np.append(gu.astype(np.float32) @ u + (gn + gp).astype(np.float32) @ p, gu.sum() + (gn + gp).sum())
-            else:
-                g = -np.append(gu.astype(np.float32) @ u + gn.astype(np.float32) @ p, gu.sum() + gn.sum())
-            g[:-1] += decay * w
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
-    return Model(names, w, float(b))
-
-
-def _counts(positive: DataFrame, unlabelled: DataFrame) -> DataFrame:
-    """``(feature, p, u)``: the texts of each sample that have each feature."""
+def select_features(names: np.ndarray, p: np.ndarray, u: np.ndarray, n_positive: int, n_unlabelled: int, prior: float) -> np.ndarray:
+    """The features that mark toxic texts; ``p`` and ``u`` say how many positive and unlabelled
+    texts have each. By Bayes' rule a text with a feature is toxic with probability prior *
+    share of positives / share of unlabelled; kept are all features for which this, with the
+    first share lowered by its standard error, is above ``MARKS``."""
+    share = p / n_positive
+    toxic = prior * (share - np.sqrt(share * (1 - share) / n_positive)) / ((u + 1) / (n_unlabelled + 1))
+    return np.sort(names[(p > 1) & (toxic > MARKS)])
 
-    @F.pandas_udf("array<bigint>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return texts.map(features, na_action=None)
 
-    both = positive.select("text", F.lit(1).alias("y")).unionByName(unlabelled.select("text", F.lit(0).alias("y")))
-    return both.select("y", F.explode(hashed("text")).alias("feature")).groupBy("feature").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u"))
+class Rows:
+    """Texts as places of their features, flat, each with the number of texts that are like it."""
 
+    def __init__(self, places: list, counts: np.ndarray | None = None):
+        self.share = np.ones(len(places)) if counts is None else np.asarray(counts, dtype=float)
+        self.share = self.share / self.share.sum()
+        self.places = np.concatenate([np.asarray(x, dtype=np.int64) for x in places])
+        self.row = np.repeat(np.arange(len(places)), [len(x) for x in places])
 
-def _places(df: DataFrame, names: np.ndarray) -> list[np.ndarray]:
-    """For each ``text`` of a bounded sample, the places of its features in ``names``."""
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        return _logistic(np.bincount(self.row, weights=w[self.places], minlength=len(self.share)) + b)
 
-    def places(text: str | None) -> np.ndarray:
-        return np.flatnonzero(np.isin(names, features(text), assume_unique=True)).astype(np.int32)
+    def gradient(self, g: np.ndarray, n: int) -> np.ndarray:
+        """Of the weights and the bias, from the gradient by each row's sum."""
+        return np.append(np.bincount(self.places, weights=g[self.row], minlength=n), g.sum())
 
-    @F.pandas_udf("array<int>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(places, na_action=None)
 
-    return [np.array(r[0], dtype=np.int64) for r in df.select(found("text")).collect()]
+def risk(w: np.ndarray, b: float, positive: Rows, unlabelled: Rows, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of the sigmoid loss l(+) = 1 - score, l(-) = score, whose bound
+    keeps single texts from ruling the estimate, and the direction of the step: its gradient,
+    or that of the negated second part where that part is negative."""
+    sp, su = positive.scores(w, b), unlabelled.scores(w, b)
+    dp, du = positive.share * sp * (1 - sp), unlabelled.share * su * (1 - su)
+    negative = float(unlabelled.share @ su - prior * (positive.share @ sp))
+    of_negative = unlabelled.gradient(du, len(w)) - prior * positive.gradient(dp, len(w))
+    value = prior * float(positive.share @ (1 - sp)) + max(0.0, negative)
+    return value, of_negative - prior * positive.gradient(dp, len(w)) if negative >= 0 else -of_negative
 
 
-def _by_hash(df: DataFrame, col: str, rows: int, most: int) -> DataFrame:
-    """About ``most`` of the ``rows`` rows, or all if they are fewer: those of small hash."""
-    return df if rows <= most else df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(col)), F.lit(1 << 30)) < int(most / rows * (1 << 30)))
+def fit(n: int, positive: Rows, unlabelled: Rows, prior: float, steps: int = 320, rate: float = 0.05, decay: float = 1e-5) -> np.ndarray:
+    """Weights of the n features and the bias, by Adam on :func:`risk`. Deterministic."""
+    x, m, v = np.append(np.zeros(n), -1.0), np.zeros(n + 1), np.zeros(n + 1)
+    for t in range(1, steps + 1):
+        g = risk(x[:-1], x[-1], positive, unlabelled, prior)[1]
+        g[:-1] += decay * x[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return x
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
-    """Fit on rows outside the held-out fold. The class prior is the share of positives among
-    the labelled ids of those folds; an id with several labels counts with the largest.
-    Without positives or texts the model has no features and rejects nothing."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where((fold("id") != 0) & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
-    n, n_positive = known.agg(F.count("*"), F.count_if(F.col("y") == 1)).first()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(fold("id") != 0)
-    rows = texts.count()
-    if not n_positive or not rows:
-        return fit(np.array([]), [], [], 0.5)
-    ids = _by_hash(known.where("y = 1").select("id"), "id", n_positive, most_positive)
-    positive, unlabelled = texts.join(F.broadcast(ids), "id", "left_semi"), _by_hash(texts, "id", rows, most_unlabelled)
-    names = select_features(_counts(positive, unlabelled), min(n_positive, most_positive), min(rows, most_unlabelled), n_positive / n)
-    return fit(names, _places(positive, names), _places(unlabelled, names), n_positive / n)
-
-
-class _Scorer:
-    """Scores texts with a bounded cache of the features that a word has in the model."""
+class _Places:
+    """The places of texts' features among some hashes; a word's are kept in a bounded cache."""
 
     MOST_WORDS = 200_000
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.index = {h: k for k, h in enumerate(model.hashes.tolist())}
+    def __init__(self, hashes: np.ndarray):
+        self.index = {h: k for k, h in enumerate(hashes.tolist())}
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def _places(self, word: str) -> tuple[int, ...]:
-        return tuple(self.index[h] for h in map(_hash, _names(word)) if h in self.index)
-
-    def score(self, text: str | None) -> float:
-        if not len(self.model.hashes):
-            return float(_logistic(self.model.bias))
+    def of(self, text: str | None) -> list[int]:
+        if not text or not self.index:
+            return []
         if len(self.cache) > self.MOST_WORDS:
             self.cache.clear()
         found: set[int] = set()
-        for w in set(_WORD.findall(text.lower())) if text else ():
+        for w in set(_WORD.findall(text.lower())):
             places = self.cache.get(w)
             if places is None:
-                places = self.cache[w] = self._places(w)
+                places = self.cache[w] = tuple(self.index[h] for h in map(_hash, _names(w)) if h in self.index)
             found.update(places)
-        return float(_logistic(self.model.bias + float(self.model.weights[sorted(found)].sum() if found else 0.0)))
+        return sorted(found)
+
+
+def _places(hashes: np.ndarray):
+    """A function of a text column that gives the places of its features in ``hashes``."""
+
+    @F.pandas_udf("array<int>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _Places(hashes)
+        for texts in batches:
+            yield texts.map(known.of, na_action=None)
+
+    return found
+
+
+def _sampled(rows: DataFrame, most: int) -> DataFrame:
+    """``(features)``: at most ``most`` of the distinct rows ``(id, text)``, those of small hash. Materialized."""
+
+    @F.pandas_udf("array<bigint>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return texts.map(features, na_action=None)
+
+    drawn = rows.select(hashed("text").alias("features"), F.xxhash64(F.lit("sample"), "id", "text").alias("place"))
+    return materialize(drawn.groupBy("place").agg(F.first("features").alias("features")).orderBy("place").limit(most).select("features"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE) -> Model:
+    """Fit on rows outside the held-out fold. The class prior is the share of positives among
+    the labelled ids of those folds; an id with several labels counts with the largest.
+    Without positives or texts the model has no features and rejects nothing. Rows with one
+    id, and rows without one, are counted like others; a repeated row is one positive.
+    """
+    empty = Model(np.array([], dtype=np.int64), np.array([]), -3.0)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where((fold("id") != 0) & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
+    known = materialize(known)
+    n, n_labelled = known.agg(F.count("*"), F.count_if(F.col("y") == 1)).first()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(fold("id") != 0)
+    rows = texts.count()
+    if not n_labelled or not rows:
+        return empty
+    prior = n_labelled / n
+    ids = known.where("y = 1").select("id")
+    if n_labelled > 2 * most_positive:  # about twice the sample; the rest couldn't be in it often
+        ids = ids.where(F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1 << 30)) < int(2 * most_positive / n_labelled * (1 << 30)))
+    sample = _sampled(join_in_place(texts, materialize(ids), ["id"], "inner").select("id", "text"), most_positive)
+    n_positive = sample.count()
+    counts = sample.select(F.explode("features").alias("feature")).groupBy("feature").count().where("count > 1").toPandas().sort_values("feature")
+    if not len(counts):
+        return empty
+    candidates, p = counts["feature"].to_numpy(np.int64), counts["count"].to_numpy(float)
+    found = texts.select(F.explode(_places(candidates)("text")).alias("place")).groupBy("place").count().collect()  # a row a candidate
+    u = np.zeros(len(candidates))
+    u[[r[0] for r in found]] = [r[1] for r in found]
+    names = select_features(candidates, p, u, n_positive, rows, prior)
+    if not len(names):
+        return empty
+
+    @F.pandas_udf("array<int>")
+    def kept(found: pd.Series) -> pd.Series:
+        return found.map(lambda x: np.flatnonzero(np.isin(names, x)).tolist())
+
+    positive = [r[0] for r in sample.select(kept("features")).collect()]
+    parts = -(-rows // PART_ROWS)
+    dealt = texts.select(_places(names)("text").alias("places"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("part"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = fit(len(names), Rows(positive), Rows(part["places"].tolist(), part["n"].to_numpy()), prior)
+        return pd.DataFrame({"place": np.arange(len(x)), "weight": x * part["n"].sum()})
+
+    fitted = dealt.groupBy("part", "places").agg(F.count("*").alias("n")).groupBy("part").applyInPandas(run, "place int, weight double")
+    x = np.zeros(len(names) + 1)
+    for place, weight in fitted.groupBy("place").agg(F.sum("weight")).collect():  # a row a feature
+        x[place] = weight / rows
+    return Model(names, x[:-1], float(x[-1]))
 
 
 def toxicity_score(model: Model):
@@ -198,9 +226,9 @@ def toxicity_score(model: Model):
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = _Scorer(model)
+        known = _Places(model.hashes)
         for texts in batches:
-            yield texts.map(scorer.score, na_action=None).astype("float64")
+            yield texts.map(lambda t: float(_logistic(model.bias + model.weights[known.of(t)].sum())), na_action=None).astype("float64")
 
     return scored
 

@@ -163,10 +163,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(toxic) > 0.75 and np.mean(clean) < 0.02
 
 
+def test_risk_equals_a_plain_loop():
+    rng = np.random.default_rng(11)
+    pos = [sorted(set(rng.integers(0, 6, rng.integers(0, 5)).tolist())) for _ in range(7)]
+    unl = [sorted(set(rng.integers(0, 6, rng.integers(0, 5)).tolist())) for _ in range(9)]
+    counts = rng.integers(1, 4, 9)
+    sig = lambda t, w, b: 1 / (1 + math.exp(-(b + sum(w[k] for k in t))))
+
+    def parts(x, prior):
+        w, b = x[:-1], x[-1]
+        many = [t for t, c in zip(unl, counts, strict=True) for _ in range(c)]
+        mean = lambda rows, f: sum(f(sig(t, w, b)) for t in rows) / len(rows)
+        return prior * mean(pos, lambda s: 1 - s), mean(many, lambda s: s) - prior * mean(pos, lambda s: s)
+
+    for scale, prior in ((0.5, 0.2), (3.0, 0.9), (3.0, 0.05)):
+        x = rng.normal(size=7) * scale
+        value, g = toxicity.risk(x[:-1], x[-1], toxicity.Rows(pos), toxicity.Rows(unl, counts), prior)
+        first, second = parts(x, prior)
+        assert abs(value - first - max(0, second)) < 1e-12
+        target = (lambda y: sum(parts(y, prior))) if second >= 0 else (lambda y: -parts(y, prior)[1])
+        for k in range(7):
+            d = np.eye(7)[k] * 1e-6
+            assert abs((target(x + d) - target(x - d)) / 2e-6 - g[k]) < 1e-6
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "bad word"), (3, "bad word")], "doc_id long, text string")
     labels = spark.createDataFrame([(3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
     assert toxicity.score(docs, labels).count() == 5
+    hot = docs.unionByName(spark.createDataFrame([(None, "x")] * 50 + [(3, "bad word")] * 50, docs.schema))
+    assert toxicity.score(hot, labels).count() == 105
     assert toxicity.score(docs.limit(0), labels).count() == 0
     assert all(r.predicted == 0 for r in toxicity.score(docs, labels.limit(0)).collect())
 
