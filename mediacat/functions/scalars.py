@@ -119,11 +119,19 @@ def relative_to(c: str | Column, root: str) -> Column:
     return F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 30)).otherwise(_col(c))
 
 
+#: What cameras write as a caption. Fixed values.
+CAMERA_CAPTIONS = ("DCF 1.0", "CAMERA", "Exif_JPEG_PICTURE", "OLYMPUS DIGITAL CAMERA", "MINOLTA DIGITAL CAMERA", "SONY DSC", "SAMSUNG DIGITAL CAMERA", "DIGITAL CAMERA", "NIKON DIGITAL CAMERA", "--------", "+", ",")
+
+
 def is_usable_caption(c: str | Column) -> Column:
     """Captions of two characters or more that hold a letter or digit and aren't what cameras write."""
     t = trim_space(c)
-    known = F.rlike(ascii_lower(t), F.lit(r"^(olympus digital camera|digital camera|dcim|camera|untitled|sony dsc|samsung|kodak.*camera|minolta digital camera)$"))
-    return (F.length(t) >= 2) & F.rlike(t, F.lit(r"[\p{L}\p{N}]")) & ~known
+    return (F.length(t) >= 2) & F.rlike(t, F.lit(r"[\p{L}\p{N}]")) & ~t.isin(*CAMERA_CAPTIONS)
+
+
+def valid_text(c: str | Column) -> Column:
+    """Bytes as text, each invalid part of UTF-8 replaced by U+FFFD."""
+    return F.make_valid_utf8(_col(c).cast("string"))
 
 
 # ---------------------------------------------------------------- dates
@@ -165,6 +173,11 @@ def parse_exif_date(c: str | Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
+def parse_compact_date(c: str | Column) -> Column:
+    """Seconds of ``YYYYMMDDThhmmss``, taken as UTC, whatever follows; null unless it is a calendar date."""
+    return F.unix_timestamp(F.try_to_timestamp(F.substring(_col(c), 1, 15), F.lit("yyyyMMdd'T'HHmmss")))
+
+
 def shift_date(c: str | Column, seconds: int) -> Column:
     return F.when(_col(c) != 0, _col(c) + seconds).otherwise(F.lit(0).cast("long"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mediacat.functions.scalars import path_penalty
 from mediacat.operators.graph import connected_components
-from mediacat.operators.tables import fold_sorted
+from mediacat.operators.mutations import delete_media, merge_media
+from mediacat.operators.tables import checkpointed, fold_sorted, numbered
 from mediacat.operators.vectors import similar_pairs
 
 GROUP = ["content_hash", "file_size"]
@@ -55,6 +56,28 @@ def reclaimable(ranked_members: DataFrame, by: list[str]) -> DataFrame:
     return ranked_members.groupBy(*by).agg(F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("keeper"), F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("rank") > 1, F.col("file_size"))), F.lit(0).cast("long")).alias("bytes"))
 
 
+def group_order(groups: DataFrame) -> DataFrame:
+    """Exact groups ``(content_hash, file_size, n)`` with ``place``: most members first, then larger files, then hash."""
+    return numbered(groups, [F.desc("n"), F.desc("file_size"), F.col("content_hash")], "place")
+
+
+def resolve(tables: dict[str, DataFrame], reviewed: DataFrame, merge: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``(tables, conflicts)`` after duplicates were reviewed: ``(keeper, id, content_hash)`` names
+    each copy to delete, its keeper and the hash that the reviewer saw.
+
+    A group is resolved while keeper and copies still have that hash; the copies of other groups
+    are the conflicts, and nothing of theirs changes. What is known of copies goes to the keeper
+    if ``merge``. Files on disk aren't touched.
+    """
+    now = tables["media"].select(F.col("id").alias("at"), F.col("content_hash").alias("hash"))
+    seen = reviewed.join(now, F.col("id") == F.col("at"), "left").withColumn("ok", F.coalesce(F.col("hash") == F.col("content_hash"), F.lit(False))).drop("at", "hash")
+    seen = seen.join(now, F.col("keeper") == F.col("at"), "left").withColumn("ok", F.col("ok") & F.coalesce(F.col("hash") == F.col("content_hash"), F.lit(False)))
+    good = checkpointed(seen.groupBy("keeper").agg(F.min("ok").alias("ok")).where("ok").select("keeper"))
+    pairs = checkpointed(reviewed.join(good, "keeper", "left_semi").select("keeper", "id"))
+    out = tables | (merge_media(tables, pairs) if merge else {})
+    return out | delete_media(out, pairs.select("id")), reviewed.join(good, "keeper", "left_anti")
+
+
 def dismiss(dismissals: DataFrame, pairs: DataFrame) -> DataFrame:
     """Dismissals with more pairs ``(a, b)``, each stored once with the smaller id first."""
     new = pairs.where("a <> b").select(F.least("a", "b").alias("media_id_a"), F.greatest("a", "b").alias("media_id_b"))

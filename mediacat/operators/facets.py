@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.scalars import month_of, parent_folder, trim_space, year_of
+from mediacat.operators.tables import numbered
 
 
 def timeline(media: DataFrame) -> DataFrame:
@@ -40,6 +41,26 @@ def statistics(media: DataFrame) -> DataFrame:
     )
 
 
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many items, tags and albums a catalog has."""
+    counts = [tables[name].agg(F.count("*").alias(name)) for name in ("media", "tags", "albums")]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # a row each
+
+
+def label_status(tables: dict[str, DataFrame], state: DataFrame, taxonomy: str) -> DataFrame:
+    """One row: photos with a vector of their present content, those of them labelled under
+    ``taxonomy`` since, and the links that the label model has set on photos.
+
+    ``index`` and ``state`` (media_id, content_hash, taxonomy_version) say which content they saw.
+    """
+    photos = tables["media"].where("media_type = 'photo'").select(F.col("id").alias("media_id"), "content_hash")
+    indexed = photos.join(tables["index"].select("media_id", "content_hash"), ["media_id", "content_hash"], "left_semi")
+    labelled = indexed.join(state.where(F.col("taxonomy_version") == taxonomy), ["media_id", "content_hash"], "left_semi")
+    links = tables["provenance"].where("source = 'clip'").join(photos, "media_id", "left_semi").join(tables["media_tags"], ["media_id", "tag_id"], "left_semi")
+    counts = [df.agg(F.count("*").alias(name)) for name, df in (("indexed", indexed), ("labelled", labelled), ("assignments", links))]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # a row each
+
+
 def tag_dates():
     """An item's date for tag statistics: taken, else created, else modified; null if none is known."""
     return F.coalesce(F.nullif(F.col("date_taken"), F.lit(0)), F.when(F.col("created_at") > 0, F.col("created_at")), F.when(F.col("file_modified_time") > 0, F.col("file_modified_time")))
@@ -112,8 +133,7 @@ def common_tags(items: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 def sorted_tiles(facets: DataFrame, by: str = "last_date", descending: bool = True) -> DataFrame:
     """Facets with ``rank`` by a date, count or name; those without a value last either way."""
     c = F.col(by)
-    w = Window.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), "name", "id")
-    return facets.withColumn("rank", F.row_number().over(w))
+    return numbered(facets, [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col("name"), F.col("id")])
 
 
 def eav_pivot(rows: DataFrame, entity: str, attribute: str, value: str, attributes: list[str]) -> DataFrame:

@@ -53,40 +53,59 @@ def map_grid(media: DataFrame, zoom: int, cell_px: int = 50) -> DataFrame:
     return cells.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.max("id").alias("cover_id"))
 
 
-def map_clusters(media: DataFrame, zoom: int, radius_px: float = 50.0, most: int = 20_000) -> DataFrame:
-    """Clusters as the map draws them: in the order of date and id, both descending, an item
-    joins the nearest cluster whose running centre is less than ``radius_px`` away, or starts one.
-
-    The order runs over the whole view, so this is for views of up to ``most`` items, which
-    one task takes; ``ValueError`` beyond. :func:`map_grid` has no such bound.
+def map_clusters(media: DataFrame, zoom: int, radius_px: float = 50.0, tile_px: int = 512) -> DataFrame:
+    """``(tile_x, tile_y, cluster_id, n, x, y)``: clusters as the map draws them, tile by tile.
+
+    In the order of date and id, both descending, an item joins the nearest cluster of its
+    tile whose running centre is less than ``radius_px`` away, or starts one, which goes by its
+    id. A cluster never crosses the edge of a tile, so tiles are tasks of their own. Items of
+    one pixel are reduced before the shuffle to their mean and their first item, with which
+    they enter, so a tile has at most ``tile_px`` squared points however many items it has.
     """
     x, y = mercator_pixel("latitude", "longitude", zoom)
-    items = checkpointed(media.where(is_located()).select("id", "date_taken", x.alias("x"), y.alias("y")))
-    if items.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} items; use map_grid")
+    items = media.where(is_located()).select("id", "date_taken", x.alias("x"), y.alias("y"))
+    first = F.max(F.struct("date_taken", "id"))
+    points = items.groupBy(F.floor("x").alias("px"), F.floor("y").alias("py")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), first.alias("first"))
+    points = points.select(F.floor(F.col("px") / tile_px).alias("tile_x"), F.floor(F.col("py") / tile_px).alias("tile_y"), "x", "y", "n", "first.date_taken", "first.id")
 
     def cluster(g: pd.DataFrame) -> pd.DataFrame:
         grid: dict[tuple[int, int], list[int]] = {}
-        cx, cy, n, members = [], [], [], []
+        cx, cy, n, ids = [], [], [], []
+        cell = lambda x, y: (int(x // radius_px), int(y // radius_px))
         for r in g.sort_values(["date_taken", "id"], ascending=False).itertuples():
-            cell, best, near = (int(r.x // radius_px), int(r.y // radius_px)), radius_px, None
-            for k in (k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in grid.get((cell[0] + i, cell[1] + j), ())):
+            (i, j), best, near = cell(r.x, r.y), radius_px, None
+            for k in (k for di in (-1, 0, 1) for dj in (-1, 0, 1) for k in grid.get((i + di, j + dj), ())):
                 d = ((cx[k] - r.x) ** 2 + (cy[k] - r.y) ** 2) ** 0.5
                 if d < best:
                     best, near = d, k
             if near is None:
-                grid.setdefault(cell, []).append(len(n))
-                cx.append(r.x), cy.append(r.y), n.append(1), members.append([r.id])
+                grid.setdefault((i, j), []).append(len(n))
+                cx.append(r.x), cy.append(r.y), n.append(r.n), ids.append(r.id)
                 continue
-            old = (int(cx[near] // radius_px), int(cy[near] // radius_px))
-            cx[near] += (r.x - cx[near]) / (n[near] + 1)
-            cy[near] += (r.y - cy[near]) / (n[near] + 1)
-            n[near] += 1
-            members[near].append(r.id)
-            new = (int(cx[near] // radius_px), int(cy[near] // radius_px))
+            old = cell(cx[near], cy[near])
+            cx[near] += (r.x - cx[near]) * r.n / (n[near] + r.n)
+            cy[near] += (r.y - cy[near]) * r.n / (n[near] + r.n)
+            n[near] += r.n
+            new = cell(cx[near], cy[near])
             if new != old:
                 grid[old].remove(near)
                 grid.setdefault(new, []).append(near)
-        return pd.DataFrame({"cluster_id": [m[0] for m in members], "n": n, "x": cx, "y": cy})
-
-    return items.withColumn("view", F.lit(0)).groupBy("view").applyInPandas(cluster, "cluster_id long, n long, x double, y double")
+        return pd.DataFrame({"tile_x": g["tile_x"].iloc[0], "tile_y": g["tile_y"].iloc[0], "cluster_id": ids, "n": n, "x": cx, "y": cy})
+
+    return points.groupBy("tile_x", "tile_y").applyInPandas(cluster, "tile_x long, tile_y long, cluster_id long, n long, x double, y double")
+
+
+def place_report(media: DataFrame, gazetteer: DataFrame, max_km: float = MAX_KM, top: int = 10) -> DataFrame:
+    """``(kind, name, photos)``: located photos, those with a place, and the ``top`` cities and
+    countries by photos, ties by name. Coordinates are looked up once, to 6 digits."""
+    photos = media.where((F.col("media_type") == "photo") & is_located()).select("id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+    found = nearest_places(photos, gazetteer, max_km).join(gazetteer.select("row_no", F.col("name").alias("city"), "country"), "row_no")
+    of = checkpointed(photos.join(found, ["latitude", "longitude"], "left").select("row_no", "city", "country"))
+    parts = [of.agg(F.count("*").alias("photos")).select(F.lit("located").alias("kind"), F.lit("").alias("name"), "photos"), of.where("row_no IS NOT NULL").agg(F.count("*").alias("photos")).select(F.lit("matched"), F.lit(""), "photos")]
+    for kind in ("city", "country"):
+        counts = of.where(F.col(kind) != "").groupBy(F.col(kind).alias("name")).agg(F.count("*").alias("photos"))
+        parts.append(counts.orderBy(F.desc("photos"), "name").limit(top).select(F.lit(kind), "name", "photos"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.scalars import base_name, relative_to
+from mediacat.operators.geo import MAX_KM, place_names
 
 Tables = dict[str, DataFrame]
 LINK = ["media_id", "tag_id"]
 DERIVED = ["content_hash", "width", "height", "orientation", "media_type"]
-SNAPSHOT = ["file_path", "file_size", "file_modified_time", "content_hash", "rating", "flag", "caption", "date_taken"]
+#: What an import expects to find unchanged, beside the id.
+SNAPSHOT = ["file_path", "file_size", "file_modified_time", "content_hash", "rating", "flag", "caption", "date_taken", "has_gps", "latitude", "longitude", "media_type"]
 
 
 def update_fields(media: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -195,6 +197,44 @@ def compact(members: DataFrame) -> DataFrame:
     return members.withColumn("position", (F.row_number().over(w) - 1).cast(dict(members.dtypes)["position"])).select(members.columns)
 
 
+def create_album(albums: DataFrame, name: str) -> DataFrame:
+    """Albums with a new one under the next id; ``ValueError`` if the name is blank or taken."""
+    if not name.strip() or not albums.where(F.col("name") == name).isEmpty():
+        raise ValueError("the name is blank or taken")
+    new = albums.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast(dict(albums.dtypes)["id"]).alias("id")).withColumn("name", F.lit(name))
+    return albums.unionByName(new, allowMissingColumns=True)
+
+
+def set_cover(albums: DataFrame, members: DataFrame, media: DataFrame, covers: DataFrame) -> DataFrame:
+    """Albums with the covers ``(album_id, media_id)`` that are photos and members of theirs."""
+    photos = media.where("media_type = 'photo'").select(F.col("id").alias("media_id"))
+    good = covers.select("album_id", "media_id").join(members, ["album_id", "media_id"], "left_semi").join(photos, "media_id", "left_semi")
+    new = good.groupBy("album_id").agg(F.max("media_id").alias("new"))
+    old = albums if "cover_media_id" in albums.columns else albums.withColumn("cover_media_id", F.lit(None).cast("long"))
+    return old.join(new, old.id == new.album_id, "left").withColumn("cover_media_id", F.coalesce("new", "cover_media_id")).select(old.columns)
+
+
+def remove_from_album(albums: DataFrame, members: DataFrame, album_id: int, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(albums, members)`` without the items in an album; a cover among them becomes null."""
+    gone = items.select(F.col("id").alias("media_id")).distinct()
+    own = F.col("album_id") == album_id
+    left = members.where(~own).unionByName(members.where(own).join(gone, "media_id", "left_anti").select(members.columns))
+    if "cover_media_id" not in albums.columns:
+        return albums, left
+    hit = gone.select(F.col("media_id").alias("hit"))
+    cleared = albums.join(hit, (albums.id == album_id) & (albums.cover_media_id == F.col("hit")), "left")
+    return cleared.withColumn("cover_media_id", F.when(F.col("hit").isNull(), F.col("cover_media_id"))).select(albums.columns), left
+
+
+def set_location(tables: Tables, places: DataFrame, gazetteer: DataFrame, max_km: float = MAX_KM) -> Tables:
+    """Items at the new ``(id, latitude, longitude)``, and the tags of their places derived again."""
+    new = places.select("id", F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
+    media = tables["media"].join(new, "id", "left").withColumn("has_gps", F.col("has_gps") | F.col("la").isNotNull())
+    media = media.withColumn("latitude", F.coalesce("la", "latitude")).withColumn("longitude", F.coalesce("lo", "longitude")).select(tables["media"].columns)
+    moved = media.join(places.select("id"), "id", "left_semi")
+    return {"media": media} | set_place_tags(tables, moved, place_names(moved, gazetteer, max_km))
+
+
 def add_to_album(members: DataFrame, album_id: int, items: DataFrame) -> DataFrame:
     """The items (id, position) in an album; those already there move to the new position."""
     new = items.select(F.lit(album_id).cast("long").alias("album_id"), F.col("id").alias("media_id"), F.col("position").cast(dict(members.dtypes)["position"]).alias("position"))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.scalars import cosine, normalise
+from mediacat.operators.tables import checkpointed
 
 #: A cell of the similarity join holds about as many vectors, a task at most two such chunks.
 CELL_ROWS = 4096
+LABEL_BLOCK = 4096
 MOST_PIVOTS = 256
 
 
@@ -111,11 +114,14 @@ def centroids(index: DataFrame, group: str = "label") -> DataFrame:
 def smart_labels(index: DataFrame, labels: DataFrame, min_score: float = 0.23, most: int = 3, most_per_group: int = 2, rejections: DataFrame | None = None) -> DataFrame:
     """``(media_id, label_id, score, rank)``: an item's best labels, at most so many a group.
 
-    ``labels``: (label_id, label_group, threshold, embedding), a taxonomy of bounded size,
-    which is broadcast. The best within each group come first, then the best of those.
+    ``labels``: (label_id, label_group, threshold, embedding), a stated set that all items are
+    scored against; it is broadcast in blocks of about ``LABEL_BLOCK`` rows. The best within
+    each group come first, then the best of those.
     """
-    lb = F.broadcast(labels.select("label_id", "label_group", "threshold", F.col("embedding").alias("of_label")))
-    scored = index.join(lb).select("media_id", "label_id", "label_group", cosine("embedding", "of_label").alias("score"), "threshold")
+    named = checkpointed(labels.select("label_id", "label_group", "threshold", F.col("embedding").alias("of_label")))
+    blocks = max(1, -(-named.count() // LABEL_BLOCK))
+    parts = [named.where(F.pmod(F.xxhash64("label_id"), F.lit(blocks)) == k) for k in range(blocks)]
+    scored = reduce(DataFrame.unionByName, (index.join(F.broadcast(p)).select("media_id", "label_id", "label_group", cosine("embedding", "of_label").alias("score"), "threshold") for p in parts))
     scored = scored.where(F.col("score") >= F.greatest(F.lit(min_score).cast("float"), F.col("threshold").cast("float")))
     if rejections is not None:
         scored = scored.join(rejections.select("media_id", "label_id"), ["media_id", "label_id"], "left_anti")
@@ -125,13 +131,19 @@ def smart_labels(index: DataFrame, labels: DataFrame, min_score: float = 0.23, m
     return ranked.select("media_id", "label_id", "score", "rank")
 
 
-def stale_items(media: DataFrame, state: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
-    """Photos with no up-to-date row in a state table; all photos if forced."""
+def stale_items(media: DataFrame, state: DataFrame, keys: list[str], force: bool = False, near: dict[str, Column] | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """Photos with no up-to-date row in a state table; all photos if forced.
+
+    A row is up to date if it has the photo's id and ``keys`` (nulls alike), and if its columns
+    in ``near`` are within ``tolerance`` of what is given there for the photo.
+    """
     photos = media.where("media_type = 'photo'")
     if force:
         return photos
-    fresh = state.select(F.col("media_id").alias("id"), *keys)
-    return photos.join(fresh, ["id", *keys], "left_anti")
+    fresh = state.select(F.col("media_id").alias("id"), *keys, *(near or {}))
+    fresh = fresh.select(*(F.col(c).alias(f"mediacat_{c}") for c in fresh.columns))
+    same = [photos["id"] == F.col("mediacat_id"), *(photos[c].eqNullSafe(F.col(f"mediacat_{c}")) for c in keys), *(F.abs(F.col(f"mediacat_{c}") - at) < tolerance for c, at in (near or {}).items())]
+    return photos.join(fresh, reduce(lambda a, b: a & b, same), "left_anti")
 
 
 def encode(items: DataFrame, encoder, schema: str) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.functions import scalars as S
-from mediacat.operators import dedupe, events, facets, faces, geo, mutations, vectors
+from mediacat.operators import dedupe, events, facets, faces, geo, mutations, review, search, vectors
 from mediacat.operators.criteria import QueryCriteria as Q
 from mediacat.operators.criteria import ordering, run, select_media, with_tags
+from mediacat.operators.tables import numbered
 from mediacat.sources.adapters import catalog, with_clause
 from mediacat.streaming import ingest
 
@@ -43,7 +44,7 @@ def _ids(df: DataFrame) -> DataFrame:
 
 
 def _ranked(df: DataFrame, c: Q) -> DataFrame:
-    return df.select("id", F.row_number().over(Window.orderBy(*ordering(c))).cast("long").alias("rank"))
+    return numbered(df, ordering(c)).select("id", "rank")
 
 
 # ---------------------------------------------------------------- criteria
@@ -278,12 +279,23 @@ def path_merge(t: Tables) -> DataFrame:
 
 @query(
     """SELECT id, CASE WHEN date_taken = 0 THEN '' ELSE strftime(make_timestamp(date_taken * 1000000), '%Y:%m:%d %H:%M:%S') END AS formatted,
-    CASE WHEN date_taken <> 0 THEN date_taken + 3600 ELSE 0 END AS shifted, date_taken AS parsed FROM media WHERE date_taken >= 0"""
+    CASE WHEN date_taken <> 0 THEN date_taken + 3600 ELSE 0 END AS shifted, date_taken AS parsed, CASE WHEN date_taken <> 0 THEN date_taken END AS compact FROM media"""
 )
 def date_functions(t: Tables) -> DataFrame:
-    m = t["media"].where("date_taken >= 0")
     text = S.format_date("date_taken")
-    return m.select("id", text.alias("formatted"), S.shift_date("date_taken", 3600).alias("shifted"), S.parse_date(text).alias("parsed"))
+    compact = S.parse_compact_date(F.concat(F.translate(F.translate(text, ":", ""), " ", "T"), F.lit("000")))
+    return t["media"].select("id", text.alias("formatted"), S.shift_date("date_taken", 3600).alias("shifted"), S.parse_date(text).alias("parsed"), compact.alias("compact"))
+
+
+@query(
+    """, x AS (SELECT id, CASE id % 5 WHEN 0 THEN ' Exif_JPEG_PICTURE ' WHEN 1 THEN 'untitled' WHEN 2 THEN caption WHEN 3 THEN '--------' ELSE '7' END AS text FROM media)
+    SELECT id, length(trim(text)) >= 2 AND regexp_matches(text, '[\\p{L}\\p{N}]') AND trim(text) NOT IN ('DCF 1.0', 'CAMERA', 'Exif_JPEG_PICTURE', 'OLYMPUS DIGITAL CAMERA', 'MINOLTA DIGITAL CAMERA', 'SONY DSC',
+      'SAMSUNG DIGITAL CAMERA', 'DIGITAL CAMERA', 'NIKON DIGITAL CAMERA', '--------', '+', ',') AS usable FROM x"""
+)
+def caption_functions(t: Tables) -> DataFrame:
+    kind = F.col("id") % 5
+    text = F.when(kind == 0, " Exif_JPEG_PICTURE ").when(kind == 1, "untitled").when(kind == 2, F.col("caption")).when(kind == 3, "--------").otherwise("7")
+    return t["media"].select("id", S.is_usable_caption(text).alias("usable"))
 
 
 @query("SELECT id, translate(file_path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, split_part(replace(file_path, '\\', '/'), '/', -1) AS base, CASE WHEN starts_with(file_path, 'photos/') THEN substring(file_path, 8) ELSE file_path END AS below FROM media")
@@ -329,7 +341,25 @@ def dup_count(t: Tables) -> DataFrame:
     return dedupe.duplicate_count(t["media"])
 
 
-@query()
+@query("SELECT content_hash, file_size, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, file_size DESC, content_hash) AS BIGINT) AS place FROM media WHERE content_hash <> '' GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_group_order(t: Tables) -> DataFrame:
+    return dedupe.group_order(dedupe.exact_groups(t["media"]).drop("ids"))
+
+
+@query("SELECT id FROM media m WHERE NOT EXISTS (SELECT 1 FROM media k WHERE m.id % 3 = 0 AND m.id % 4 <> 0 AND k.id = m.id - 1 AND k.content_hash = m.content_hash)")
+def dup_resolved(t: Tables) -> DataFrame:
+    seen = F.when(F.col("id") % 4 == 0, "changed since").otherwise(F.col("content_hash"))
+    reviewed = t["media"].where("id % 3 = 0").select((F.col("id") - 1).alias("keeper"), "id", seen.alias("content_hash"))
+    return dedupe.resolve(t, reviewed)[0]["media"].select("id")
+
+
+@query(
+    """, g AS (SELECT content_hash, file_size, list(id ORDER BY id) AS ids FROM media WHERE content_hash <> '' GROUP BY 1, 2 HAVING count(*) > 1),
+    x AS (SELECT *, ids[1] AS a, ids[2] AS b, ids[3] AS c FROM g), y AS (SELECT *, CASE WHEN a % 4 = 0 AND b = a + 1 THEN b ELSE a END AS kb FROM x),
+    z AS (SELECT *, CASE WHEN NOT (a % 4 = 0 AND c = a + 1) AND NOT (kb = a AND b % 4 = 0 AND c = b + 1) THEN a WHEN kb = b AND NOT (b % 4 = 0 AND c = b + 1) THEN b ELSE c END AS kc FROM y),
+    p AS (SELECT content_hash, file_size, a AS id, a AS cluster FROM z UNION ALL SELECT content_hash, file_size, b, kb FROM z UNION ALL SELECT content_hash, file_size, c, kc FROM z WHERE c IS NOT NULL)
+    SELECT content_hash, file_size, id, cluster FROM p QUALIFY count(*) OVER (PARTITION BY content_hash, file_size, cluster) > 1"""
+)
 def dup_exact_dismissed(t: Tables) -> DataFrame:
     pairs = t["media"].where("id % 4 = 0").select(F.col("id").alias("media_id_a"), (F.col("id") + 1).alias("media_id_b"))
     return dedupe.split_dismissed(dedupe.exact_members(t["media"]), pairs)
@@ -424,6 +454,17 @@ def label_centroids(t: Tables) -> DataFrame:
     return vectors.centroids(t["index"]).select("label", F.posexplode("embedding").alias("place", "x")).select("label", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
+@query(
+    _SCORED
+    + f""", k AS ({_TOP} WHERE media_id IN (SELECT id FROM media WHERE media_type = 'photo' AND rating >= 3 AND date_taken <> 0 AND date_taken <= 850000000) QUALIFY rank <= 15)
+    SELECT k.media_id AS id, max(k.score) AS score, max(k.rank) AS rank, coalesce(string_agg(category || '/' || name, ',' ORDER BY category, name, g.id), '') AS tags
+    FROM k LEFT JOIN media_tags l ON l.media_id = k.media_id LEFT JOIN tags g ON g.id = l.tag_id GROUP BY k.media_id"""
+)
+def vec_search(t: Tables) -> DataFrame:
+    out = search.semantic_search(t, _vector(3), 15, Q(min_rating=3, date_to=850_000_000))
+    return out.select("id", F.round(F.col("score").cast("double"), 5).alias("score"), F.col("rank").cast("long").alias("rank"), F.array_join(F.transform("tags", lambda x: F.concat_ws("/", x["category"], x["name"])), ",").alias("tags"))
+
+
 @query(
     _CENTROIDS
     + """, v AS (SELECT label, list(x ORDER BY place) AS v FROM c GROUP BY label),
@@ -447,9 +488,23 @@ def job_candidates_index(t: Tables) -> DataFrame:
 @query("SELECT id FROM media WHERE media_type = 'photo' AND NOT (id % 2 = 0 AND abs((rating + 1e-9) - rating) < 1e-6)")
 def job_candidates_faces(t: Tables) -> DataFrame:
     state = t["media"].where("id % 2 = 0").select(F.col("id").alias("media_id"), "content_hash", (F.col("rating") + 1e-9).alias("confidence"))
-    photos = t["media"].where("media_type = 'photo'")
-    same = (photos.id == state.media_id) & photos.content_hash.eqNullSafe(state.content_hash) & (F.abs(state.confidence - photos.rating) < 1e-6)
-    return photos.join(state, same, "left_anti").select("id")
+    return vectors.stale_items(t["media"], state, ["content_hash"], near={"confidence": F.col("rating")}).select("id")
+
+
+@query("SELECT count(*) AS media, (SELECT count(*) FROM tags) AS tags, (SELECT count(*) FROM albums) AS albums FROM media")
+def catalog_totals(t: Tables) -> DataFrame:
+    return facets.totals(t)
+
+
+@query(
+    """SELECT count(*) FILTER (id <= (SELECT max(media_id) FROM "index") AND id % 3 <> 0) AS indexed, count(*) FILTER (id <= (SELECT max(media_id) FROM "index") AND id % 6 IN (2, 4)) AS labelled,
+    (SELECT count(*) FROM provenance p JOIN media_tags l ON l.media_id = p.media_id AND l.tag_id = p.tag_id JOIN media m ON m.id = p.media_id AND m.media_type = 'photo' WHERE p.source = 'clip') AS assignments
+    FROM media WHERE media_type = 'photo'"""
+)
+def label_status(t: Tables) -> DataFrame:
+    seen = t["media"].where("id % 3 <> 0").select(F.col("id").alias("media_id"), "content_hash")
+    state = seen.select("media_id", "content_hash", F.when(F.col("media_id") % 2 == 0, "v2").otherwise("v1").alias("taxonomy_version"))
+    return facets.label_status(t | {"index": t["index"].select("media_id").join(seen, "media_id")}, state, "v2")
 
 
 # ---------------------------------------------------------------- faces
@@ -483,6 +538,31 @@ def face_groups(t: Tables) -> DataFrame:
     return faces.face_groups(t["faces"], _suggest(t), t["tags"]).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'done' END ELSE 'unscanned' END AS state FROM media WHERE media_type = 'photo'")
+def face_states(t: Tables) -> DataFrame:
+    analysis = t["media"].where("id % 2 = 0").select(F.col("id").alias("media_id"), F.when(F.col("id") % 3 == 0, "failed").otherwise("done").alias("state"))
+    return review.analysis_states(t["media"], analysis)
+
+
+@query("SELECT id FROM faces WHERE media_id IN (SELECT id FROM media WHERE rating >= 3) ORDER BY id LIMIT 200 OFFSET 20")
+def face_page(t: Tables) -> DataFrame:
+    job = t["media"].where("rating >= 3").select(F.lit(1).alias("job_id"), F.col("id").alias("media_id"))
+    return review.page_of(review.in_job(t["faces"], job, 1, "media_id"), 5000, 20, review.REVIEW_PAGE).select("id")
+
+
+@query(
+    _PAIRS
+    + f""", x AS (SELECT a AS face_id, b % 10 AS tag_id, b AS example_id, score FROM e WHERE score >= CAST({LOOSE} AS FLOAT)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY face_id, tag_id ORDER BY score DESC, example_id) AS place FROM x),
+    p AS (SELECT face_id, tag_id, max(score) FILTER (place = 1) AS score, max(example_id) FILTER (place = 1) AS example_id, max(example_id) FILTER (place = 2) AS second_id FROM r GROUP BY face_id, tag_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY score DESC, tag_id) AS rank FROM p)
+    SELECT face_id, tag_id, example_id, second_id, CAST(rank AS BIGINT) AS rank, (SELECT max(o.tag_id) FROM k o WHERE o.face_id = k.face_id AND o.rank = 5) IS NOT NULL AS omitted FROM k WHERE rank <= 4"""
+)
+def face_examples(t: Tables) -> DataFrame:
+    scores = vectors.similar_pairs(t["index"], LOOSE).select(F.col("a").alias("face_id"), (F.col("b") % 10).alias("tag_id"), F.col("b").alias("example_id"), "score")
+    return review.best_examples(scores).select("face_id", "tag_id", "example_id", "second_id", F.col("rank").cast("long").alias("rank"), F.col("omitted").isNotNull().alias("omitted"))
+
+
 # ---------------------------------------------------------------- events
 
 
@@ -505,7 +585,16 @@ def event_windows(t: Tables) -> DataFrame:
     return ingest.sessions(t["events"]).select("user_id", "n", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
 
 
-@query()
+@query(
+    """, f AS (SELECT id, date_taken, latitude, longitude, has_gps AS located FROM media WHERE media_type = 'photo' AND date_taken <> 0),
+    l AS (SELECT *, date_taken - lag(date_taken) OVER (ORDER BY date_taken, id) AS gap FROM f), i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 14400 THEN 1 ELSE 0 END) OVER (ORDER BY date_taken, id) AS island FROM l),
+    s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY island ORDER BY date_taken, id) AS pos FROM i),
+    w AS (SELECT island, pos, id, id AS event, date_taken AS began, CASE WHEN located THEN latitude END AS la, CASE WHEN located THEN longitude END AS lo FROM s WHERE pos = 1
+      UNION ALL SELECT island, pos, id, CASE WHEN cut THEN id ELSE event END, CASE WHEN cut THEN date_taken ELSE began END, CASE WHEN located THEN latitude WHEN NOT cut THEN la END, CASE WHEN located THEN longitude WHEN NOT cut THEN lo END
+      FROM (SELECT s.*, w.event, w.began, w.la, w.lo, s.date_taken - w.began > 43200 OR coalesce(s.located AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.latitude - w.la) / 2), 2)
+        + cos(radians(w.la)) * cos(radians(s.latitude)) * pow(sin(radians(s.longitude - w.lo) / 2), 2)))) > 25, false) AS cut FROM w JOIN s ON s.island = w.island AND s.pos = w.pos + 1))
+    SELECT id, event FROM w"""
+)
 def event_groups(t: Tables) -> DataFrame:
     return events.event_members(t["media"])
 
@@ -533,6 +622,21 @@ def geo_nearest(t: Tables) -> DataFrame:
     return geo.nearest_places(t["media"].where(S.is_located()), t["gazetteer"], 800.0).withColumn("km", F.round("km", 4))
 
 
+@query(_NEAREST.replace("km <= 800", "km <= 100") + " SELECT latitude, longitude, row_no, round(km, 4) AS km FROM n")
+def geo_nearest_default(t: Tables) -> DataFrame:
+    return geo.nearest_places(t["media"].where(S.is_located()), t["gazetteer"]).withColumn("km", F.round("km", 4))
+
+
+@query(
+    _NEAREST
+    + """, m AS (SELECT row_no, name, country FROM media LEFT JOIN n USING (latitude, longitude) WHERE has_gps AND media_type = 'photo')
+    SELECT 'located' AS kind, '' AS name, count(*) AS photos FROM m UNION ALL SELECT 'matched', '', count(*) FROM m WHERE row_no IS NOT NULL
+    UNION ALL (SELECT 'city', name, count(*) AS k FROM m WHERE name <> '' GROUP BY name ORDER BY k DESC, name LIMIT 10) UNION ALL (SELECT 'country', country, count(*) AS k FROM m WHERE country <> '' GROUP BY country ORDER BY k DESC, country LIMIT 10)"""
+)
+def geo_report(t: Tables) -> DataFrame:
+    return geo.place_report(t["media"], t["gazetteer"], 800.0)
+
+
 @query(_NEAREST + " SELECT DISTINCT m.id AS media_id, u.name FROM media m JOIN n ON n.latitude = m.latitude AND n.longitude = m.longitude, unnest([n.name, n.admin1, n.country]) AS u(name) WHERE m.has_gps AND u.name <> ''")
 def geo_place_tags(t: Tables) -> DataFrame:
     return geo.place_names(t["media"], t["gazetteer"], 800.0)
@@ -549,12 +653,24 @@ def map_grid(t: Tables) -> DataFrame:
 
 @query()
 def map_clusters(t: Tables) -> DataFrame:
-    return geo.map_clusters(t["media"].where("rating = 5 AND flag = 1"), 3, most=1_000_000)
+    return geo.map_clusters(t["media"], 3)
 
 
 # ---------------------------------------------------------------- updates
 
 
+@query("SELECT a.id, max(CASE WHEN m.media_type = 'photo' THEN l.media_id END) AS cover_media_id FROM albums a LEFT JOIN album_media l ON l.album_id = a.id AND l.media_id % 3 = 0 LEFT JOIN media m ON m.id = l.media_id GROUP BY a.id")
+def mut_album_cover(t: Tables) -> DataFrame:
+    covers = t["media"].where("id % 3 = 0").select(F.col("id").alias("media_id")).join(t["album_media"].select("album_id", "media_id"), "media_id")
+    return mutations.set_cover(t["albums"], t["album_media"], t["media"], covers).select("id", "cover_media_id")
+
+
+@query("SELECT id, has_gps OR id % 15 = 0 AS has_gps, CASE WHEN id % 15 = 0 THEN 10.5 ELSE latitude END AS latitude, CASE WHEN id % 15 = 0 THEN CAST(id % 100 AS DOUBLE) ELSE longitude END AS longitude FROM media")
+def mut_set_location(t: Tables) -> DataFrame:
+    places = t["media"].where("id % 15 = 0").select("id", F.lit(10.5).alias("latitude"), (F.col("id") % 100).cast("double").alias("longitude"))
+    return mutations.set_location(t, places, t["gazetteer"], 800.0)["media"].select("id", "has_gps", "latitude", "longitude")
+
+
 @query("SELECT media_id, tag_id FROM media_tags UNION SELECT id, 5000 FROM media WHERE id % 10 = 0")
 def mut_add_tag(t: Tables) -> DataFrame:
     return mutations.add_tag(t, t["media"].where("id % 10 = 0"), 5000)["media_tags"]
@@ -659,15 +775,19 @@ def mut_shift_dates(t: Tables) -> DataFrame:
     return mutations.shift_dates(t["media"], t["media"].where("id % 2 = 0"), -60).select("id", "date_taken")
 
 
-@query("SELECT media_id, tag_id FROM media_tags WHERE NOT EXISTS (SELECT 1 FROM provenance p WHERE p.media_id = media_tags.media_id AND p.tag_id = media_tags.tag_id AND NOT manual AND source IN ('face', 'clip') AND p.media_id % 9 = 0)")
+@query(
+    """, l AS MATERIALIZED (SELECT * FROM media_tags), p AS MATERIALIZED (SELECT media_id, tag_id FROM provenance WHERE NOT manual AND source IN ('face', 'clip') AND media_id % 9 = 0)
+    SELECT media_id, tag_id FROM l ANTI JOIN p USING (media_id, tag_id)"""
+)
 def mut_invalidate(t: Tables) -> DataFrame:
     updated = t["media"].withColumn("width", F.when(F.col("id") % 9 == 0, F.col("width") + 1).otherwise(F.col("width")))
     return mutations.invalidate(t, updated)["media_tags"]
 
 
 @query(
-    """SELECT media_id, tag_id FROM media_tags WHERE NOT EXISTS (SELECT 1 FROM provenance p WHERE p.media_id = media_tags.media_id AND p.tag_id = media_tags.tag_id AND NOT manual AND source = 'face'
-    AND NOT EXISTS (SELECT 1 FROM faces f WHERE f.media_id = p.media_id AND f.person_tag_id = p.tag_id AND NOT dismissed))"""
+    """, l AS MATERIALIZED (SELECT * FROM media_tags), f AS MATERIALIZED (SELECT DISTINCT media_id, person_tag_id AS tag_id FROM faces WHERE NOT dismissed AND person_tag_id IS NOT NULL),
+    p AS MATERIALIZED (SELECT media_id, tag_id FROM (SELECT media_id, tag_id FROM provenance WHERE NOT manual AND source = 'face') ANTI JOIN f USING (media_id, tag_id))
+    SELECT media_id, tag_id FROM l ANTI JOIN p USING (media_id, tag_id)"""
 )
 def mut_sync_people(t: Tables) -> DataFrame:
     return mutations.sync_people(t)["media_tags"]
