@@ -145,7 +145,8 @@ def visual_edges(index: DataFrame, threshold: float, media: DataFrame | None = N
 
 def visual_groups(edges: DataFrame) -> DataFrame:
     """``(component, n, min_similarity, ids)``: components of the edges with their weakest edge, to 3 digits."""
-    members = connected_components(edges)
+    edges = checkpointed(edges)  # the similarity join is taken once
+    members = checkpointed(connected_components(edges))
     weakest = edges.join(members, edges.a == members.id).groupBy("component").agg(F.round(F.min("score").cast("double"), 3).alias("min_similarity"))
     return members.groupBy("component").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids")).join(weakest, "component")
 

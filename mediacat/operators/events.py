@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.scalars import EARTH_RADIUS_KM, ascii_lower, is_generic_folder, is_located, slashes, trim_space
-from mediacat.operators.tables import fold_sorted
+from mediacat.operators.tables import checkpointed, fold_sorted
 
 MAX_GAP_S = 4 * 3600
 MAX_SPAN_S = 12 * 3600
@@ -93,7 +93,7 @@ def event_summaries(media: DataFrame, tables: dict[str, DataFrame], members: Dat
     the photos, else the first common place, else a folder that all share and that isn't a
     camera's; ``name_source`` says which, or ``date``.
     """
-    members = event_members(media) if members is None else members
+    members = checkpointed(event_members(media) if members is None else members)  # ten branches follow
     photos = members.join(media.select("id", "date_taken", "caption", "file_path"), "id")
     sizes = members.groupBy("event").agg(F.count("*").alias("n"))
     links, tags = tables["media_tags"], tables["tags"]

@@ -591,7 +591,7 @@ def event_windows(t: Tables) -> DataFrame:
     s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY island ORDER BY date_taken, id) AS pos FROM i),
     w AS (SELECT island, pos, id, id AS event, date_taken AS began, CASE WHEN located THEN latitude END AS la, CASE WHEN located THEN longitude END AS lo FROM s WHERE pos = 1
       UNION ALL SELECT island, pos, id, CASE WHEN cut THEN id ELSE event END, CASE WHEN cut THEN date_taken ELSE began END, CASE WHEN located THEN latitude WHEN NOT cut THEN la END, CASE WHEN located THEN longitude WHEN NOT cut THEN lo END
-      FROM (SELECT s.*, w.event, w.began, w.la, w.lo, s.date_taken - w.began > 43200 OR coalesce(s.located AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.latitude - w.la) / 2), 2)
+      FROM (SELECT s.*, w.event, w.began, w.la, w.lo, s.date_taken - w.began > 43200 OR coalesce(s.located AND w.la IS NOT NULL AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.latitude - w.la) / 2), 2)
         + cos(radians(w.la)) * cos(radians(s.latitude)) * pow(sin(radians(s.longitude - w.lo) / 2), 2)))) > 25, false) AS cut FROM w JOIN s ON s.island = w.island AND s.pos = w.pos + 1))
     SELECT id, event FROM w"""
 )

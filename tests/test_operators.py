@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediacat.functions import scalars as S
-from mediacat.operators import dedupe, events, faces, geo, mutations, vectors
+from mediacat.operators import dedupe, events, faces, geo, mutations, review, search, vectors
 from mediacat.operators.criteria import QueryCriteria as Q
 from mediacat.operators.criteria import parse_folders, parse_ids, run, select_media, total
 from mediacat.operators.graph import connected_components
+from mediacat.operators.tables import numbered
 from mediacat.sources import exif, files
 from mediacat.streaming import ingest
 
@@ -239,6 +240,73 @@ def test_places(spark, tmp_path):
     assert got == {(52.52, 13.405): rows["Berlin"], (52.97, 13.40): rows["Berlin"], (0.0, -179.8): rows["Edge"]}
 
 
+def test_clusters_by_tile_and_pixel(spark):
+    rng = random.Random(3)
+    spots = [(rng.uniform(-60, 60), rng.uniform(-170, 170)) for _ in range(40)]
+    rows = [{"id": k + 1, "date_taken": rng.randrange(10**6), "has_gps": True, "latitude": la + rng.choice([0, 0, 2.5]), "longitude": lo} for k in range(300) for la, lo in [rng.choice(spots)]]
+    m = media(spark, rows)
+    x, y = S.mercator_pixel("latitude", "longitude", 3)
+    points = {}
+    for r in m.select("id", "date_taken", x.alias("x"), y.alias("y")).collect():
+        points.setdefault((int(r.x // 512), int(r.y // 512)), {}).setdefault((math.floor(r.x), math.floor(r.y)), []).append(r)
+    want = []
+    for tile, pixels in points.items():
+        clusters = []
+        for group in sorted(pixels.values(), key=lambda g: max((r.date_taken, r.id) for r in g), reverse=True):
+            k, px, py = len(group), sum(r.x for r in group) / len(group), sum(r.y for r in group) / len(group)
+            near = min(clusters, key=lambda c: math.hypot(c[2] - px, c[3] - py), default=None)
+            if near is None or math.hypot(near[2] - px, near[3] - py) >= 50:
+                clusters.append([max((r.date_taken, r.id) for r in group)[1], k, px, py])
+            else:
+                near[1] += k
+                near[2] += (px - near[2]) * k / near[1]
+                near[3] += (py - near[3]) * k / near[1]
+        want += [(*tile, c[0], c[1]) for c in clusters]
+    assert sorted((r.tile_x, r.tile_y, r.cluster_id, r.n) for r in geo.map_clusters(m, 3).collect()) == sorted(want)
+    assert geo.map_clusters(m.limit(0), 3).count() == 0
+
+
+def test_places_in_an_order_over_ranges(spark):
+    df = spark.range(1000).select("id", (F.col("id") * 37 % 11).alias("k")).repartition(7)
+    got = {r.id: r.rank for r in numbered(df, [F.desc("k"), F.col("id")]).collect()}
+    assert got == {i: n + 1 for n, i in enumerate(sorted(range(1000), key=lambda i: (-(i * 37 % 11), i)))}
+    assert numbered(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_search_guards(spark, tables):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0]), (99, [1.0, 0.0])], "media_id long, embedding array<float>")
+    t = tables | {"index": index}
+    assert [r.id for r in search.semantic_search(t, [1.0, 0.0], 2).orderBy("rank").collect()] == [1]  # 99 is taken, then falls away
+    assert search.semantic_search(t, [1.0, 0.0], 2, Q(media_type="video")).count() == 0
+    undated = t | {"media": t["media"].withColumn("date_taken", F.when(F.col("id") == 1, 0).otherwise(F.col("date_taken")))}
+    assert [r.id for r in search.semantic_search(undated, [1.0, 0.0], 3, Q(date_to=10**9)).orderBy("rank").collect()] == [2, 3]
+
+
+def test_resolve_albums_and_dismissal(spark, tables):
+    m = media(spark, [{"content_hash": "h", "caption": ""}, {"content_hash": "h", "caption": "kept"}, {"content_hash": "g"}, {"content_hash": "g"}])
+    t = tables | {"media": m}
+    reviewed = spark.createDataFrame([(1, 2, "h"), (3, 4, "old")], "keeper long, id long, content_hash string")
+    out, conflicts = dedupe.resolve(t, reviewed)
+    assert {r.id: r.caption for r in out["media"].select("id", "caption").collect() if r.id < 3} == {1: "kept"}
+    assert out["media"].count() == 3 and [r.id for r in conflicts.collect()] == [4]
+    albums = spark.createDataFrame([(1, "A", 5)], "id long, name string, cover_media_id long")
+    assert [(r.id, r.name) for r in mutations.create_album(albums, "B").orderBy("id").collect()] == [(1, "A"), (2, "B")]
+    with pytest.raises(ValueError):
+        mutations.create_album(albums, "A")
+    members = spark.createDataFrame([(1, 5, 0), (1, 6, 1), (2, 5, 0)], "album_id long, media_id long, position int")
+    left, rest = mutations.remove_from_album(albums, members, 1, spark.createDataFrame([(5,)], "id long"))
+    assert left.first().cover_media_id is None and sorted((r.album_id, r.media_id) for r in rest.collect()) == [(1, 6), (2, 5)]
+    f = spark.createDataFrame([(1, False, 7, 0), (2, False, 8, 3)], "id long, dismissed boolean, person_tag_id long, revision int")
+    chosen = spark.createDataFrame([(1, True, 0), (2, True, 1)], "face_id long, dismissed boolean, expected_revision int")
+    assert sorted(tuple(r) for r in review.set_dismissed(f, chosen).collect()) == [(1, True, None, 1), (2, False, 8, 3)]
+
+
+def test_text_and_compact_dates(spark):
+    assert one(spark, S.parse_compact_date(F.lit("20240229T010203xyz"))) == 1709168523
+    assert one(spark, S.parse_compact_date(F.lit("20230229T010203"))) is None and one(spark, S.parse_compact_date(F.lit("2024"))) is None
+    assert one(spark, S.valid_text(F.unhex(F.lit("61FF62")))) == "a\ufffdb"
+
+
 def test_smart_labels_caps(spark):
     index = spark.createDataFrame([(1, [1.0, 0.0])], "media_id long, embedding array<float>")
     labels = [("n1", "n", 0.2, [0.9, 0.0]), ("n2", "n", 0.2, [0.8, 0.0]), ("n3", "n", 0.2, [0.7, 0.0]), ("a1", "a", 0.2, [0.5, 0.0]), ("b1", "b", 0.9, [0.6, 0.0])]
