@@ -9,8 +9,10 @@ The histogram is exact. Rows of d distinct counts hold at least d * d / 2 tokens
 some 245,000 rows at 30 GB of bytes at most. The program's costs satisfy the quadrangle
 inequality, so the best starts of last buckets never move back, and each bucket's round
 takes d log d steps by divide and conquer. A bucket that holds more rows
-than ``LANE_ROWS`` is dealt into lanes by a hash of the row, and each lane numbers its own
-rows, so no task sorts a whole bucket; a lane ends with at most one batch that isn't full.
+than ``LANE_ROWS`` is dealt into lanes by a hash of the row's number, repeated rows like any
+others, and each lane numbers its own rows, so no task sorts a whole bucket; a lane ends with
+at most one batch that isn't full. Batches name rows and their token counts; token
+sequences aren't built, as a tokenizer's output would only be carried along.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     rows with equal counts and ids are packed like any others.
     """
     # Four passes follow; the texts are read, and tokens counted, in this one only.
-    sized = materialize(df.select(F.col(id_col), (byte_tokens(text_col) if tokens is None else tokens).cast("long").alias("n_tokens")))
+    sized = materialize(df.select(F.col(id_col), (byte_tokens(text_col) if tokens is None else tokens).cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("mediacat_row")))
     bounds = bucket_boundaries(sized.select("n_tokens"), buckets)
     if not bounds:
         bounds = [1]
@@ -103,9 +105,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     placed = sized.withColumn("bucket", place).withColumn("bucket_tokens", F.element_at(steps, F.col("bucket") + 1))
     counts = {r["bucket"]: r["count"] for r in placed.groupBy("bucket").count().collect()}  # one row a bucket
     lanes = F.element_at(F.array(*(F.lit(-(-counts.get(k, 0) // LANE_ROWS) or 1).cast("long") for k in range(len(bounds)))), F.col("bucket") + 1)
-    placed = placed.withColumn("lane", F.pmod(F.xxhash64(id_col, "n_tokens"), lanes))
+    placed = placed.withColumn("lane", F.pmod(F.xxhash64("mediacat_row"), lanes))
     room = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget} div bucket_tokens"))
-    w = Window.partitionBy("bucket", "lane").orderBy("n_tokens", id_col)
+    w = Window.partitionBy("bucket", "lane").orderBy("n_tokens", id_col, "mediacat_row")
     numbered = placed.withColumn("room", room).withColumn("n", F.row_number().over(w) - 1).withColumn("n", F.expr("n div room")).withColumn("batch", F.concat_ws("-", F.col("bucket"), F.col("lane"), F.col("n")))
     size = Window.partitionBy("bucket", "lane", "n")
     return numbered.select(id_col, "n_tokens", "bucket", "bucket_tokens", "batch", F.count("*").over(size).alias("batch_rows"), (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"))

@@ -3,8 +3,11 @@
 A package is a ZIP file whose members are all stored, not deflated:
 
 * ``archive/data.warc.gz``: one gzip member per WARC/1.1 record;
-* ``indexes/index.jsonl``: one line per record with its offset and length inside the
-  archive member.
+* ``indexes/index.jsonl``: one line per record with the archive member's name below
+  ``archive/`` and the record's offset and length inside it.
+
+The reader takes any number of archives and of indexes (``.jsonl``) under these folders. A line
+that names no archive is about the only one.
 
 The reader never extracts a member. It reads the end-of-central-directory record from
 the tail (with its ZIP64 locator and record where sizes or counts need them), walks the
@@ -230,7 +233,7 @@ def write_packages(pages: DataFrame, folder: str, zip64: bool = False) -> DataFr
         package.end()
         package.begin(INDEX)
         for offset, length in places:
-            package.write(json.dumps({"offset": offset, "length": length}).encode() + b"\n")
+            package.write(json.dumps({"filename": ARCHIVE.partition("/")[2], "offset": offset, "length": length}).encode() + b"\n")
         package.end()
         package.close()
         out.close()
@@ -244,6 +247,23 @@ def _opened(path: str):
     return store.open_input_file(name)
 
 
+def record_places(members: dict[str, Member], read) -> list[tuple[int, int]]:
+    """``(offset, length)`` in the file of every record that the indexes of a package list.
+
+    ``read(member)`` returns a member's bytes. ``ValueError`` for a line about an archive that
+    the package doesn't hold, or about none of several.
+    """
+    archives = {n.removeprefix("archive/"): m for n, m in members.items() if n.startswith("archive/") and m.size}
+    out = []
+    for name in sorted(n for n in members if n.startswith("indexes/") and n.endswith(".jsonl")):
+        for line in map(json.loads, read(members[name]).splitlines()):
+            archive = archives.get(line["filename"]) if "filename" in line else next(iter(archives.values())) if len(archives) == 1 else None
+            if archive is None:
+                raise ValueError(f"{name}: a line names no archive of the package")
+            out.append((archive.offset + int(line["offset"]), int(line["length"])))
+    return out
+
+
 def locate_records(manifest: DataFrame, batch: int = 10_000) -> DataFrame:
     """``(path, offset, length)`` of every record, from each package's directory and index;
     offsets count from the start of the file."""
@@ -253,11 +273,10 @@ def locate_records(manifest: DataFrame, batch: int = 10_000) -> DataFrame:
             for path in b.column(0).to_pylist():
                 with _opened(path) as f:
                     members = zip_directory(lambda at, n: f.read_at(n, at), f.size())
-                    index, base = members[INDEX], members[ARCHIVE].offset
-                    lines = [json.loads(x) for x in f.read_at(index.size, index.offset).splitlines()]
-                for k in range(0, len(lines), batch):
-                    part = lines[k : k + batch]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([base + x["offset"] for x in part], pa.int64()), pa.array([x["length"] for x in part], pa.int64())], names=["path", "offset", "length"])
+                    places = record_places(members, lambda m: f.read_at(m.size, m.offset))  # noqa: B023
+                for k in range(0, len(places), batch):
+                    part = places[k : k + batch]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64())], names=["path", "offset", "length"])
 
     return manifest.select("path").mapInArrow(run, _PLACES)
 

@@ -4,6 +4,7 @@ import hashlib
 import html as H
 import io
 import itertools
+import json
 import re
 import zipfile
 
@@ -62,6 +63,29 @@ def test_directory_of_a_foreign_package_with_comment():
     assert raw[m.offset : m.offset + m.size] == b"abc"
 
 
+def test_records_of_several_archives():
+    out = io.BytesIO()
+    z = warc.StoredZipWriter(out)
+    lines = []
+    for name in ("a.warc.gz", "b.warc.gz"):
+        z.begin(f"archive/{name}")
+        for k in range(3):
+            raw = f"{name}{k}".encode()
+            lines.append(json.dumps({"filename": name, "offset": z.write(raw), "length": len(raw)}).encode())
+        z.end()
+    for k, part in enumerate((lines[:2], lines[2:])):
+        z.begin(f"indexes/{k}.jsonl")
+        z.write(b"\n".join(part))
+        z.end()
+    z.close()
+    raw = out.getvalue()
+    members = warc.zip_directory(lambda at, n: raw[at : at + n], len(raw))
+    places = warc.record_places(members, lambda m: raw[m.offset : m.offset + m.size])
+    assert [raw[a : a + n].decode() for a, n in places] == [f"{x}.warc.gz{k}" for x in "ab" for k in range(3)]
+    with pytest.raises(ValueError):
+        warc.record_places(members, lambda m: b'{"offset": 0, "length": 1}')
+
+
 # ---------------------------------------------------------------- HTML
 
 
@@ -97,6 +121,30 @@ def test_html_on_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_density_decides_without_declared_elements(monkeypatch):
+    text = "This sentence belongs to the article and is long enough to be counted as text of it."
+    links = "".join(f"<li><a href='/{k}'>Link number {k}</a></li>" for k in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><div><p>{text}</p><p>{text}</p><p>{text}</p></div><div><a href='/x'>Next story</a> <a href='/y'>Last story</a></div></div></body>"
+    want = "\n".join([text] * 3)
+    assert html_text.main_text(page) == want
+    real = html_text.Page.densities
+
+    def constant(self):
+        density, sums = real(self)
+        return [1.0] * len(density), [1.0 if s else 0.0 for s in sums]
+
+    monkeypatch.setattr(html_text.Page, "densities", constant)
+    assert html_text.main_text(page) != want
+
+
+def test_pages_with_null_repeated_and_clashing_rows(spark):
+    text = "Some words of an article that is long enough."
+    page = f"<div><p>{text}</p></div>"
+    df = spark.createDataFrame([(1, "u", page, "t", 9), (1, "u", page, "t", 9), (None, None, None, "t", 9), (2, "v", "<p>" + "word " * 200_000, "t", 9)], "page_id long, url string, html string, text string, n_chars long")
+    rows = sorted(((r.page_id or 0, r.n_chars, len(r.text)) for r in html_text.extract(df).collect()))
+    assert rows == [(0, 0, 0), (1, len(text), len(text)), (1, len(text), len(text)), (2, 999_999, 999_999)]
+
+
 def test_hostile_pages_end():
     for page in ("<div>" * 20000 + "x", '<a href="' * 20000, "<" * 50000, "<p>" * 20000 + "x", "<!--" * 20000, "<b>" * 20000 + "</p>" * 20000):
         html_text.main_text(page)
