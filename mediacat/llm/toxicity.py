@@ -8,9 +8,9 @@ the class prior p, the scores of positives P and of the unlabelled U, and a loss
 estimates the risk over labelled negatives without having any; where the second part turns
 negative (the model starts to fit single unlabelled texts), the step goes against it
 instead, after Kiryo et al. (2017). Features of a text are the presence of its words and of
-the first four and five letters of longer words, hashed; a text's score is the logistic
-function of its features' weights and a bias, without division by length, so that one
-passage in a long text counts.
+the first four and five letters of longer words; a text's score is the logistic function of
+its features' weights and a bias, without division by length, so that one passage in a long
+text counts.
 
 Positives are a sample of at most ``MOST_POSITIVE`` labelled rows, chosen by a hash of id and
 text, repeated rows once. All else covers all rows: the unlabelled texts with each feature are
@@ -24,12 +24,12 @@ every whole text.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,10 @@ MOST_POSITIVE = 4000
 PART_ROWS = 12_000
 MARKS = 0.4
 FOLDS = 5
+#: Most tasks that train; each takes its parts one after the other.
+MOST_TASKS = 4096
 _WORD = re.compile(r"[^\W\d_]+")
+_NO_LETTER = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -47,26 +50,27 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS
 
 
-def _names(word: str) -> tuple[str, ...]:
-    return (word, word[:4] + "*", word[:5] + "*") if len(word) > 4 else (word,)
+def _words(text: str | None) -> set[str]:
+    """The distinct runs of letters of a whole text in lower case; none of an empty one."""
+    if not text:
+        return set()
+    text = text.lower()
+    return set(text.translate(_NO_LETTER).split()) if text.isascii() else set(_WORD.findall(text))
 
 
-def _hash(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "replace"))
-
-
-def features(text: str | None) -> np.ndarray:
-    """The distinct hashed features of a whole text, sorted; none of an empty one."""
-    words = set(_WORD.findall(text.lower())) if text else ()
-    names = {x for w in words for x in _names(w)}
-    return np.unique(np.fromiter(map(_hash, names), dtype=np.int64, count=len(names)))
+def features(text: str | None) -> list[str]:
+    """The distinct features of a whole text: its words, and as ``abcd*`` and ``abcde*`` the
+    beginnings of those with more than four letters."""
+    words = _words(text)
+    long = [w for w in words if len(w) > 4]
+    return sorted(words | {w[:4] + "*" for w in long} | {w[:5] + "*" for w in long})
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of hashed features, in ascending order of the hashes."""
+    """Weights of features, in ascending order of their names."""
 
-    hashes: np.ndarray
+    names: np.ndarray
     weights: np.ndarray
     bias: float
 
@@ -126,48 +130,60 @@ def fit(n: int, positive: Rows, unlabelled: Rows, prior: float, steps: int = 320
 
 
 class _Places:
-    """The places of texts' features among some hashes; a word's are kept in a bounded cache."""
+    """The places of texts' features among some names."""
 
-    MOST_WORDS = 200_000
-
-    def __init__(self, hashes: np.ndarray):
-        self.index = {h: k for k, h in enumerate(hashes.tolist())}
-        self.cache: dict[str, tuple[int, ...]] = {}
+    def __init__(self, names: np.ndarray):
+        place = {x: k for k, x in enumerate(names)}
+        self.word = {x: k for x, k in place.items() if not x.endswith("*")}
+        self.begin = [{x[:-1]: k for x, k in place.items() if x.endswith("*") and len(x) == n + 1} for n in (4, 5)]
+        self.known = [frozenset(x) for x in (self.word, *self.begin)]
 
     def of(self, text: str | None) -> list[int]:
-        if not text or not self.index:
-            return []
-        if len(self.cache) > self.MOST_WORDS:
-            self.cache.clear()
-        found: set[int] = set()
-        for w in set(_WORD.findall(text.lower())):
-            places = self.cache.get(w)
-            if places is None:
-                places = self.cache[w] = tuple(self.index[h] for h in map(_hash, _names(w)) if h in self.index)
-            found.update(places)
+        words = _words(text)
+        long = [w for w in words if len(w) > 4]
+        found = [self.word[w] for w in words & self.known[0]]
+        found += [self.begin[0][w] for w in {w[:4] for w in long} & self.known[1]]
+        found += [self.begin[1][w] for w in {w[:5] for w in long} & self.known[2]]
         return sorted(found)
 
 
-def _places(hashes: np.ndarray):
-    """A function of a text column that gives the places of its features in ``hashes``."""
+def _places(names: np.ndarray):
+    """A function of a text column that gives the places of its features in ``names``."""
 
     @F.pandas_udf("array<int>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _Places(hashes)
+        known = _Places(names)
         for texts in batches:
             yield texts.map(known.of, na_action=None)
 
     return found
 
 
+def _texts_with(texts: DataFrame, names: np.ndarray) -> np.ndarray:
+    """How many of the texts have each of some features, summed in each task and then over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = _Places(names), np.zeros(len(names), dtype=np.int64)
+        for b in batches:
+            for text in b.column(0):
+                n[known.of(text.as_py())] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["place", "n"])
+
+    out = np.zeros(len(names))
+    for place, n in texts.select("text").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n")).collect():  # a row a feature
+        out[place] = n
+    return out
+
+
 def _sampled(rows: DataFrame, most: int) -> DataFrame:
     """``(features)``: at most ``most`` of the distinct rows ``(id, text)``, those of small hash. Materialized."""
 
-    @F.pandas_udf("array<bigint>")
-    def hashed(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<string>")
+    def named(texts: pd.Series) -> pd.Series:
         return texts.map(features, na_action=None)
 
-    drawn = rows.select(hashed("text").alias("features"), F.xxhash64(F.lit("sample"), "id", "text").alias("place"))
+    drawn = rows.select(named("text").alias("features"), F.xxhash64(F.lit("sample"), "id", "text").alias("place"))
     return materialize(drawn.groupBy("place").agg(F.first("features").alias("features")).orderBy("place").limit(most).select("features"))
 
 
@@ -177,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Without positives or texts the model has no features and rejects nothing. Rows with one
     id, and rows without one, are counted like others; a repeated row is one positive.
     """
-    empty = Model(np.array([], dtype=np.int64), np.array([]), -3.0)
+    empty = Model(np.array([], dtype=object), np.array([]), -3.0)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where((fold("id") != 0) & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     known = materialize(known)
     n, n_labelled = known.agg(F.count("*"), F.count_if(F.col("y") == 1)).first()
@@ -194,17 +210,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = sample.select(F.explode("features").alias("feature")).groupBy("feature").count().where("count > 1").toPandas().sort_values("feature")
     if not len(counts):
         return empty
-    candidates, p = counts["feature"].to_numpy(np.int64), counts["count"].to_numpy(float)
-    found = texts.select(F.explode(_places(candidates)("text")).alias("place")).groupBy("place").count().collect()  # a row a candidate
-    u = np.zeros(len(candidates))
-    u[[r[0] for r in found]] = [r[1] for r in found]
-    names = select_features(candidates, p, u, n_positive, rows, prior)
+    candidates, p = counts["feature"].to_numpy(object), counts["count"].to_numpy(float)
+    names = select_features(candidates, p, _texts_with(texts, candidates), n_positive, rows, prior)
     if not len(names):
         return empty
 
     @F.pandas_udf("array<int>")
     def kept(found: pd.Series) -> pd.Series:
-        return found.map(lambda x: np.flatnonzero(np.isin(names, x)).tolist())
+        place = {x: k for k, x in enumerate(names)}
+        return found.map(lambda x: [place[f] for f in x if f in place])
 
     positive = [r[0] for r in sample.select(kept("features")).collect()]
     parts = -(-rows // PART_ROWS)
@@ -214,7 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x = fit(len(names), Rows(positive), Rows(part["places"].tolist(), part["n"].to_numpy()), prior)
         return pd.DataFrame({"place": np.arange(len(x)), "weight": x * part["n"].sum()})
 
-    fitted = dealt.groupBy("part", "places").agg(F.count("*").alias("n")).groupBy("part").applyInPandas(run, "place int, weight double")
+    # A set number of tasks: parts are small in bytes but not in work, and mustn't be coalesced.
+    patterns = dealt.groupBy("part", "places").agg(F.count("*").alias("n")).repartition(min(parts, MOST_TASKS), "part")
+    fitted = patterns.groupBy("part").applyInPandas(run, "place int, weight double")
     x = np.zeros(len(names) + 1)
     for place, weight in fitted.groupBy("place").agg(F.sum("weight")).collect():  # a row a feature
         x[place] = weight / rows
@@ -226,7 +242,7 @@ def toxicity_score(model: Model):
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _Places(model.hashes)
+        known = _Places(model.names)
         for texts in batches:
             yield texts.map(lambda t: float(_logistic(model.bias + model.weights[known.of(t)].sum())), na_action=None).astype("float64")
 
