@@ -83,13 +83,21 @@ def base_name(c: str | Column) -> Column:
     return F.substring_index(slashes(c), "/", -1)
 
 
+# File suffixes by kind. Fixed values.
+PHOTO_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp", "tiff", "tif")
+VIDEO_SUFFIXES = ("mp4", "m4v", "mov", "webm", "mkv", "avi", "mts", "m2ts", "m2t", "mpg", "mpeg", "wmv", "flv", "3gp")
+AUDIO_SUFFIXES = ("mp3", "wav", "flac", "ogg", "m4a", "aac", "wma")
+#: Photos that a catalog knows but a scan doesn't take in.
+NOT_SCANNED = ("webp", "tiff", "tif")
+
+
 def media_kind(c: str | Column) -> Column:
     """photo, video or audio by the file name's extension; null for others."""
     ext = ascii_lower(F.regexp_extract(base_name(c), r"\.([^.]+)$", 1))
     return (
-        F.when(ext.isin("jpg", "jpeg", "png", "webp", "tif", "tiff"), "photo")
-        .when(ext.isin("mp4", "mov", "m4v", "webm", "mkv", "avi"), "video")
-        .when(ext.isin("mp3", "wav", "flac", "ogg", "oga", "m4a"), "audio")
+        F.when(ext.isin(*PHOTO_SUFFIXES), "photo")
+        .when(ext.isin(*VIDEO_SUFFIXES), "video")
+        .when(ext.isin(*AUDIO_SUFFIXES), "audio")
     )
 
 

@@ -5,28 +5,71 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediacat.functions.scalars import base_name, media_kind
+from mediacat.functions.scalars import AUDIO_SUFFIXES, NOT_SCANNED, PHOTO_SUFFIXES, VIDEO_SUFFIXES, base_name, media_kind
+from mediacat.sources.containers import container, streamed_hash
+from mediacat.sources.exif import exif
 
 #: Folders that a scan passes by, besides those whose name starts with a dot.
 SKIPPED_FOLDERS = ("$recycle.bin", "system volume information", "thumbs", "@eadir")
-EXTENSIONS = "*.{jpg,jpeg,png,mp4,mov,m4v,webm,mkv,avi,mp3,wav,flac,ogg,oga,m4a,JPG,JPEG,PNG,MP4,MOV,M4V,WEBM,MKV,AVI,MP3,WAV,FLAC,OGG,OGA,M4A}"
+#: The glob of the files that are taken in, in upper and lower case alike.
+EXTENSIONS = "*.{" + ",".join("".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in e) for e in (*PHOTO_SUFFIXES, *VIDEO_SUFFIXES, *AUDIO_SUFFIXES) if e not in NOT_SCANNED) + "}"
+#: Files above this many bytes, and all that Spark can't hold in one value, are opened by the task.
+MOST_IN_MEMORY = 256 * 1024 * 1024
 
 
-def scan_folder(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Media files below a folder: path, name, size, modification time, kind and SHA-256."""
+def open_folder(spark: SparkSession, path: str, recursive: bool = True, most: int = MOST_IN_MEMORY) -> DataFrame:
+    """``(path, length, modificationTime, content)`` of the media files below a folder.
+
+    ``content`` is null for files above ``most`` bytes: Spark would read them into one value,
+    and can't above 2 GB. Both halves are filtered in the scan, so no large file is read.
+    Spark's scan leaves out empty files, which are no media.
+    """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", EXTENSIONS).option("recursiveFileLookup", str(recursive).lower())
     files = reader.load(path)
     below = F.lower(F.regexp_replace("path", r"/[^/]*$", "/"))
     skipped = reduce(lambda a, b: a | b, (F.contains(below, F.lit(f"/{s}/")) for s in SKIPPED_FOLDERS), F.rlike(below, F.lit(r"/\.[^/.][^/]*/")))
-    return files.where(~skipped).select(
-        F.col("path").alias("file_path"), base_name("path").alias("file_name"), F.col("length").alias("file_size"), F.unix_timestamp("modificationTime").alias("file_modified_time"), media_kind("path").alias("media_type"), F.sha2("content", 256).alias("content_hash")
+    files = files.where(~skipped)
+    small = files.where(F.col("length") <= most).select("path", "length", "modificationTime", "content")
+    return small.unionByName(files.where(F.col("length") > most).select("path", "length", "modificationTime", F.lit(None).cast("binary").alias("content")))
+
+
+def _content_hash() -> Column:
+    return F.coalesce(F.sha2("content", 256), streamed_hash(F.when(F.col("content").isNull(), F.col("path"))))
+
+
+_FILE = ["file_path", "file_name", "file_size", "file_modified_time", "media_type", "content_hash"]
+
+
+def _described(files: DataFrame) -> DataFrame:
+    return files.select(
+        F.col("path").alias("file_path"), base_name("path").alias("file_name"), F.col("length").alias("file_size"), F.unix_timestamp("modificationTime").alias("file_modified_time"), media_kind("path").alias("media_type"), _content_hash().alias("content_hash"), "path", "content"
     )
 
 
+def scan_folder(spark: SparkSession, path: str, recursive: bool = True, most: int = MOST_IN_MEMORY) -> DataFrame:
+    """Media files below a folder: path, name, size, modification time, kind and SHA-256, of files of any size."""
+    return _described(open_folder(spark, path, recursive, most)).select(_FILE)
+
+
+def read_media(spark: SparkSession, path: str, recursive: bool = True, most: int = MOST_IN_MEMORY) -> DataFrame:
+    """The rows of ``scan_folder`` with what the files say of themselves: a photo's EXIF block,
+    the headers of video and sound. Without a date of its own a video or sound has that of
+    its last change. Photos above ``most`` bytes have no EXIF fields."""
+    files = _described(open_folder(spark, path, recursive, most))
+    photo = F.col("media_type") == "photo"
+    files = files.withColumn("x", exif(F.when(photo, F.col("content")))).withColumn("c", container(F.when(~photo, F.col("path")), F.col("content")))
+    both = ("orientation", "has_gps", "latitude", "longitude", "altitude")
+    shared = [F.when(photo, F.col(f"x.{n}")).otherwise(F.col(f"c.{n}")).alias(n) for n in both]
+    own = F.when(F.col("c.date_taken") != 0, F.col("c.date_taken")).otherwise(F.col("file_modified_time"))
+    only_photo = ("camera_make", "camera_model", "lens", "exposure_time", "f_number", "iso", "focal_length")
+    only_played = ("width", "height", "duration", "codec", "bitrate", "channels", "sample_rate", "audio_artist", "audio_title", "audio_album", "audio_genre")
+    return files.select(*_FILE, F.when(photo, F.col("x.date_taken")).otherwise(own).alias("date_taken"), *shared, *(f"x.{n}" for n in only_photo), *(f"c.{n}" for n in only_played))
+
+
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """Places of a CSV file with a header: name, admin1, country_name (or country), latitude,
     longitude and, optionally, population. Rows without a name or valid place are left out.
