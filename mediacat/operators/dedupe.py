@@ -157,15 +157,15 @@ def scan(media: DataFrame, index: DataFrame, threshold: float = 0.97, window: in
     spark = media.sparkSession
     none = dismissals if dismissals is not None else spark.createDataFrame([], "media_id_a long, media_id_b long")
     parts = []
-    clusters = split_dismissed(exact_members(media), none)
+    clusters = checkpointed(split_dismissed(exact_members(media), none))  # both passes take them
     if exact:
         rows = media.join(clusters.select("id", "cluster"), "id")
         parts.append(ranked(rows, ["cluster"]).select(F.lit("exact").alias("type"), F.col("cluster").alias("group_id"), "id", "rank"))
     if visual:
         out = (clusters if exact else exact_members(media)).select(F.col("id").alias("media_id"))
         photos = media.where("media_type = 'photo'").select(F.col("id").alias("media_id"))
-        left = index.join(photos, "media_id", "left_semi").join(out, "media_id", "left_anti")
-        members = connected_components(visual_edges(left, threshold, media, window, none))
+        left = index.join(checkpointed(photos.join(out, "media_id", "left_anti")), "media_id", "left_semi")  # read more than once
+        members = connected_components(checkpointed(visual_edges(left, threshold, media, window, none)))
         rows = media.join(members, "id")
         parts.append(ranked(rows, ["component"]).select(F.lit("visual").alias("type"), F.col("component").alias("group_id"), "id", "rank"))
     out = parts[0] if parts else spark.createDataFrame([], "type string, group_id long, id long, rank int")

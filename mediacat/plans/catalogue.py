@@ -403,9 +403,19 @@ def dup_visual_groups(t: Tables) -> DataFrame:
     return out.withColumn("ids", F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ","))
 
 
-@query()
+@query(
+    _PAIRS
+    + f""", k AS (SELECT id, min(id) OVER (PARTITION BY content_hash, file_size) AS cluster, count(*) OVER (PARTITION BY content_hash, file_size) AS n FROM media WHERE content_hash <> ''), ex AS MATERIALIZED (SELECT id, cluster FROM k WHERE n > 1),
+    p AS MATERIALIZED (SELECT i.media_id FROM "index" i JOIN media m ON m.id = i.media_id ANTI JOIN ex ON ex.id = i.media_id WHERE m.media_type = 'photo'),
+    g AS (SELECT a, b FROM e SEMI JOIN p pa ON pa.media_id = a SEMI JOIN p pb ON pb.media_id = b ANTI JOIN dismissals d ON d.media_id_a = a AND d.media_id_b = b WHERE score >= CAST({LOOSE} AS FLOAT)),
+    s AS MATERIALIZED (SELECT a AS x, b AS y FROM g UNION ALL SELECT b, a FROM g), reach AS (SELECT DISTINCT x, x AS y FROM s UNION SELECT r.x, s.y FROM reach r JOIN s ON r.y = s.x),
+    r AS (SELECT 'exact' AS type, cluster AS group_id, id FROM ex UNION ALL SELECT 'visual', min(y), x FROM reach GROUP BY x)
+    SELECT type, group_id, id, row_number() OVER (PARTITION BY type, group_id ORDER BY flag DESC, CAST(width AS BIGINT) * height DESC, file_size DESC,
+      CAST(caption <> '' OR audio_title <> '' AS INT) + CAST(has_gps AS INT) + CAST(date_taken <> 0 AS INT) DESC, CASE WHEN contains(file_path, '/copy/') THEN 10 ELSE 0 END + CASE WHEN contains(file_path, 'IMG (1)%20') THEN 11 ELSE 0 END, id) AS rank
+    FROM r JOIN media USING (id)"""
+)
 def dup_scan(t: Tables) -> DataFrame:
-    return dedupe.scan(t["media"], t["index"], LOOSE, 0, t["dismissals"])
+    return dedupe.scan(t["media"], t["index"], LOOSE, 0, t["dismissals"]).withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -585,23 +595,38 @@ def event_windows(t: Tables) -> DataFrame:
     return ingest.sessions(t["events"]).select("user_id", "n", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
 
 
-@query(
-    """, f AS (SELECT id, date_taken, latitude, longitude, has_gps AS located FROM media WHERE media_type = 'photo' AND date_taken <> 0),
+_EVENTS = """, f AS (SELECT id, date_taken, latitude, longitude, has_gps AS located FROM media WHERE media_type = 'photo' AND date_taken <> 0),
     l AS (SELECT *, date_taken - lag(date_taken) OVER (ORDER BY date_taken, id) AS gap FROM f), i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 14400 THEN 1 ELSE 0 END) OVER (ORDER BY date_taken, id) AS island FROM l),
     s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY island ORDER BY date_taken, id) AS pos FROM i),
     w AS (SELECT island, pos, id, id AS event, date_taken AS began, CASE WHEN located THEN latitude END AS la, CASE WHEN located THEN longitude END AS lo FROM s WHERE pos = 1
       UNION ALL SELECT island, pos, id, CASE WHEN cut THEN id ELSE event END, CASE WHEN cut THEN date_taken ELSE began END, CASE WHEN located THEN latitude WHEN NOT cut THEN la END, CASE WHEN located THEN longitude WHEN NOT cut THEN lo END
       FROM (SELECT s.*, w.event, w.began, w.la, w.lo, s.date_taken - w.began > 43200 OR coalesce(s.located AND w.la IS NOT NULL AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.latitude - w.la) / 2), 2)
-        + cos(radians(w.la)) * cos(radians(s.latitude)) * pow(sin(radians(s.longitude - w.lo) / 2), 2)))) > 25, false) AS cut FROM w JOIN s ON s.island = w.island AND s.pos = w.pos + 1))
-    SELECT id, event FROM w"""
-)
+        + cos(radians(w.la)) * cos(radians(s.latitude)) * pow(sin(radians(s.longitude - w.lo) / 2), 2)))) > 25, false) AS cut FROM w JOIN s ON s.island = w.island AND s.pos = w.pos + 1))"""
+
+
+@query(_EVENTS + " SELECT id, event FROM w")
 def event_groups(t: Tables) -> DataFrame:
     return events.event_members(t["media"])
 
 
-@query()
+@query(
+    _EVENTS
+    + r""", mm AS MATERIALIZED (SELECT w.id, w.event, m.date_taken, trim(m.caption, chr(9) || chr(10) || chr(13) || ' ') AS caption, coalesce(list_extract(string_split(replace(m.file_path, '\', '/'), '/'), -2), '') AS folder FROM w JOIN media m ON m.id = w.id),
+    z AS (SELECT event, count(*) AS n, min(date_taken) AS start_date, max(date_taken) AS end_date FROM mm GROUP BY event),
+    k AS (SELECT mm.event, lower(t.category) AS cat, t.name FROM mm JOIN media_tags l ON l.media_id = mm.id JOIN tags t ON t.id = l.tag_id JOIN z ON z.event = mm.event
+      WHERE NOT (t.name = 'Last Imported' AND t.category = 'keyword') GROUP BY mm.event, lower(t.category), t.id, t.name HAVING count(DISTINCT mm.id) = any_value(z.n)),
+    n AS (SELECT event, min(name) FILTER (cat = 'events') AS tag, min(name) FILTER (cat = 'places') AS place, string_agg(DISTINCT name, '|' ORDER BY name) FILTER (cat = 'people') AS people,
+      string_agg(DISTINCT name, '|' ORDER BY name) FILTER (cat = 'places') AS places, string_agg(DISTINCT name, '|' ORDER BY name) FILTER (cat = 'keyword') AS keywords FROM k GROUP BY event),
+    c AS (SELECT mm.event, mm.caption FROM mm JOIN z ON z.event = mm.event WHERE mm.caption <> '' GROUP BY mm.event, mm.caption HAVING count(*) > floor(any_value(z.n) / 2)),
+    d AS (SELECT event, min(folder) AS folder FROM mm GROUP BY event HAVING min(folder) = max(folder) AND NOT (trim(min(folder)) = '' OR lower(trim(min(folder))) IN ('dcim', 'camera', 'pictures', 'photos', 'images')
+      OR regexp_full_match(trim(min(folder)), '[0-9]+') OR (length(trim(min(folder))) BETWEEN 4 AND 12 AND regexp_full_match(trim(min(folder)), '[0-9]{3}[0-9A-Za-z_]+'))))
+    SELECT z.event, z.n, z.start_date, z.end_date, CASE WHEN n.tag IS NOT NULL THEN 'event' WHEN c.caption IS NOT NULL THEN 'caption' WHEN n.place IS NOT NULL THEN 'place' WHEN d.folder IS NOT NULL THEN 'folder' ELSE 'date' END AS name_source,
+      coalesce(n.tag, c.caption, n.place, d.folder, '') AS name, coalesce(n.people, '') AS people, coalesce(n.places, '') AS places, coalesce(n.keywords, '') AS keywords
+    FROM z LEFT JOIN n ON n.event = z.event LEFT JOIN c ON c.event = z.event LEFT JOIN d ON d.event = z.event"""
+)
 def event_names(t: Tables) -> DataFrame:
-    return events.event_summaries(t["media"], t)
+    out = events.event_summaries(t["media"], t)
+    return out.select(*out.columns[:6], *(F.array_join(c, "|").alias(c) for c in ("people", "places", "keywords")))
 
 
 @query("SELECT id, CASE WHEN media_type <> 'photo' THEN 'not_photo' ELSE 'invalid_date' END AS reason FROM media WHERE media_type <> 'photo' OR date_taken = 0")
