@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import ann, chat, decontaminate, html_text, packing, pii, secrets, simhash, toxicity, warc
+from mediacat.llm import ann, chat, decontaminate, html_text, ngram_join, packing, pii, secrets, simhash, toxicity, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +186,31 @@ FROM k
 """
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL_OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id
+), both AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT u, v FROM both JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * common >= 80 * (a.n_shingles + b.n_shingles - common)
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.other
+)
+SELECT doc_id, CAST(coalesce(any_value(n_shingles), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -198,8 +223,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
+        "op12_ngram_join": op12_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5, "op6_secrets": SQL_OP6, "op7_decontaminate": SQL_OP7, "op10_pii": SQL_OP10}
+    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5, "op6_secrets": SQL_OP6, "op7_decontaminate": SQL_OP7, "op10_pii": SQL_OP10, "op12_ngram_join": SQL_OP12}
