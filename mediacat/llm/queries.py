@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mediacat.llm import ann, chat, decontaminate, html_text, ngram_join, packing, pii, secrets, simhash, toxicity, warc
+from mediacat.llm import ann, chat, collocations, decontaminate, hard_negatives, html_text, ngram_join, packing, pii, secrets, simhash, toxicity, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +187,30 @@ FROM k
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
+    return hard_negatives.hard_negatives(rows, F.expr("vec_id % 100 = 0"))
+
+
+SQL_OP11 = r"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS no, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) IS NOT FALSE
+), s AS (
+  SELECT a.no AS anchor, a.id AS anchor_id, b.no, b.id, a.label = b.label AS same, CAST(CASE WHEN len(a.v) = 0 THEN 0 ELSE list_dot_product(a.v, b.v) END AS BIGINT) AS score
+  FROM e a JOIN e b ON a.no <> b.no AND len(a.v) = len(b.v) WHERE a.id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, no) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor, p.no ORDER BY n.score DESC, n.id, n.no)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -198,10 +223,10 @@ WITH RECURSIVE d AS (
                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d
 ), n AS (
   SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id
-), both AS (
+), pairs AS (
   SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
 ), links AS (
-  SELECT u, v FROM both JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * common >= 80 * (a.n_shingles + b.n_shingles - common)
+  SELECT u, v FROM pairs JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * common >= 80 * (a.n_shingles + b.n_shingles - common)
 ), reached(doc_id, other) AS (
   SELECT doc_id, doc_id FROM d
   UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.other
@@ -211,6 +236,40 @@ FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL_OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), grams AS (
+  SELECT lang, m AS size, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w)
+), f AS (
+  SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY lang, size, phrase
+), n AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 100
+), inside AS (
+  SELECT DISTINCT lang, phrase FROM (
+    SELECT lang, a AS longer, unnest([array_to_string(w[:size - 1], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c WHERE size > 2) JOIN c USING (lang, phrase) WHERE 100 * longer >= 100 * a
+), cuts AS (
+  SELECT c.*, unnest(range(1, size)) AS k FROM c ANTI JOIN inside USING (lang, phrase)
+), scored AS (
+  SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, n.n, x.k, CAST(CAST(1000 AS HUGEINT) * x.a * n.n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cuts x JOIN n USING (lang) JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[:x.k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1:], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -223,9 +282,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_ngram_join": op12_ngram_join,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5, "op6_secrets": SQL_OP6, "op7_decontaminate": SQL_OP7, "op10_pii": SQL_OP10, "op12_ngram_join": SQL_OP12}
+    return {"op2_warc": SQL_OP2, "op5_chat": SQL_OP5, "op6_secrets": SQL_OP6, "op7_decontaminate": SQL_OP7, "op10_pii": SQL_OP10, "op11_hard_negatives": SQL_OP11, "op12_ngram_join": SQL_OP12, "op13_collocations": SQL_OP13}
