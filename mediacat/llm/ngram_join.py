@@ -190,6 +190,12 @@ def _segments(ranges: int, shingle: int, kind: pa.DataType):
     return run
 
 
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte, in the same order; from 128 on an eighth of a doubling is one step."""
+    steps = np.minimum(np.floor(8 * np.log2(np.maximum(counts, 128) / 128)), 127)
+    return np.where(counts < 128, counts, 128 + steps).astype(np.uint8)
+
+
 def _shared(schema: pa.Schema):
     """Of one range: the shingles of several sets, packed by block, with the number of sets.
     Rows of texts go by."""
@@ -207,7 +213,7 @@ def _shared(schema: pa.Schema):
         count = np.repeat(counts, counts)
         many = np.flatnonzero(count > 1)
         many = many[np.argsort(block[many], kind="stable")]
-        rest, of, block, count = rest[many], of[many], block[many], np.minimum(count[many], np.iinfo(np.uint32).max).astype(np.uint32)
+        rest, of, block, count = rest[many], of[many], block[many], coded(count[many])
         cuts = _cuts(block)
         k = len(cuts) - 1
         blobs = [_packed(rest[a:b], of[a:b], count[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -238,7 +244,7 @@ def _candidates(ranges: int):
         if len(sets) and len(packed):
             n_of = np.zeros(MOST_SETS, dtype=np.int64)
             n_of[sets["at"].to_numpy(dtype=np.int64)] = sets["n"].to_numpy(dtype=np.int64)
-            parts = [_unpacked(x, np.uint16, np.uint32) for x in packed["packed"]]
+            parts = [_unpacked(x, np.uint16, np.uint8) for x in packed["packed"]]
             slot = np.repeat(packed["slot"].to_numpy(dtype=np.uint64), [len(p[0]) for p in parts])
             h, of, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
             h = (slot << np.uint64(_BITS - bits)) | (h & np.uint64((1 << (_BITS - bits)) - 1))
@@ -337,14 +343,13 @@ def _components(sets: DataFrame) -> DataFrame:
     groups = materialize(groups.where("members > 1").groupBy("members", "s", "t").agg(F.min("token").alias("token"), F.min("lead").alias("lead")).select("token", "lead", "members"))
     members = materialize(salted_join(rows, groups, "token", "node"))
     edges = _linked(members.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")), sets)
-    roots = materialize(connected_components(edges))
     wide = members.where("members > 2").select("token", "node")
-    for all_pairs in (False, True):
-        more = _linked(_near(wide, sets, roots, all_pairs), sets)
-        if not more.isEmpty():
-            edges = materialize(edges.unionByName(more))
-            roots = materialize(connected_components(edges))
-    return roots
+    # Which pairs are known to be joined only saves work, so the first stars do for that.
+    stars = materialize(edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root")))
+    edges = materialize(edges.unionByName(_linked(_near(wide, sets, stars, False), sets)))
+    roots = materialize(connected_components(edges))
+    more = _linked(_near(wide, sets, roots, True), sets)
+    return roots if more.isEmpty() else materialize(connected_components(edges.unionByName(more)))
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
