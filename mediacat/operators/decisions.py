@@ -221,3 +221,79 @@ def apply_acceptances(faces: DataFrame, outcomes: DataFrame) -> DataFrame:
     new = outcomes.where("outcome = 'accepted'").select(F.col("face_id").alias("id"), F.col("tag_id").alias("new"))
     out = faces.join(new, "id", "left").withColumn("person_tag_id", F.coalesce("new", "person_tag_id"))
     return out.withColumn("revision", F.col("revision") + F.col("new").isNotNull().cast("int")).select(faces.columns)
+
+
+# ---------------------------------------------------------------- rankings kept up to date
+
+MOST_EXAMPLES = 2
+
+
+def _merged(found: DataFrame, people: DataFrame, known: DataFrame | None = None, bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(rankings, undecided)`` of listed examples ``found``; ``known`` (face_id, tag_id, rest) are
+    the people ranked before, ``bounds`` (face_id, omitted) what was said of anybody else."""
+    none = lambda columns: found.sparkSession.createDataFrame([], columns)
+    known = known if known is not None else none("face_id long, tag_id long, rest float")
+    bounds = bounds if bounds is not None else none("face_id long, omitted float")
+    place = F.row_number().over(Window.partitionBy("face_id", "tag_id").orderBy(F.desc("score"), "example_id"))
+    slots = found.withColumn("place", place).where(F.col("place") <= MOST_EXAMPLES + 1)
+    at = lambda c, k: F.max(F.when(F.col("place") == k, F.col(c)))
+    own = slots.groupBy("face_id", "tag_id").agg(at("score", 1).alias("score"), at("example_id", 1).alias("example_id"), at("score", 2).alias("second_score"), at("example_id", 2).alias("second_id"), at("score", 3).alias("third"))
+    own = own.join(known.withColumn("listed", F.lit(True)), ["face_id", "tag_id"], "full").join(bounds, "face_id", "left")
+    # A person who wasn't listed can have examples as good as the bound, beside the new ones.
+    own = own.withColumn("rest", F.greatest("third", F.when(F.col("listed"), F.col("rest")).otherwise(F.col("omitted"))))
+    sure = F.coalesce(F.col("score") >= F.coalesce("rest", F.lit(float("-inf"))), F.lit(False))
+    own = checkpointed(own.join(people.select(F.col("id").alias("tag_id"), "name"), "tag_id").withColumn("sure", sure))
+
+    loose = own.where(~F.col("sure")).groupBy("face_id").agg(F.max("rest").alias("loose"))
+    bounds = bounds.join(loose, "face_id", "full").select("face_id", F.greatest("omitted", "loose").alias("bound"))
+    ranked = own.where("sure").drop("omitted").join(bounds, "face_id", "left").where("bound is null or score > bound")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("face_id").orderBy(F.desc("score"), "name", "tag_id"))).where(F.col("rank") <= MOST_PEOPLE + 1)
+    fifth = F.max(F.when(F.col("rank") == MOST_PEOPLE + 1, F.col("score"))).over(Window.partitionBy("face_id"))
+    ranked = ranked.withColumn("omitted", F.greatest("bound", fifth)).where(F.col("rank") <= MOST_PEOPLE)
+    ranked = checkpointed(ranked.select("face_id", "tag_id", "name", "score", "example_id", "second_score", "second_id", "rest", "rank", "omitted"))
+    counts = ranked.groupBy("face_id").agg(F.count("*").alias("n"))
+    undecided = bounds.where("bound is not null").join(counts, "face_id", "left").where(F.coalesce("n", F.lit(0)) < MOST_SUGGESTED)
+    return ranked, undecided.select("face_id")
+
+
+def rankings(faces: DataFrame, rejections: DataFrame, people: DataFrame, dim: int, threshold: float = 0.5, key: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """``(face_id, tag_id, name, score, example_id, second_score, second_id, rest, rank, omitted)``:
+    each unnamed face's four best people with their two best examples.
+
+    ``rest`` is the best score that another example of the person may have, ``omitted`` that which
+    anybody left out may have; null if there is none. The first three are the face's suggestions.
+    ``only`` (face_id) asks for some faces.
+    """
+    key = key or []
+    asked = unnamed_of(faces, dim, key)
+    if only is not None:
+        asked = asked.join(only.select("face_id").distinct(), "face_id", "left_semi")
+    found = matches(asked, examples_of(faces, dim, key), threshold, key, MOST_EXAMPLES + 1)
+    return _merged(found.join(rejections.select("face_id", "tag_id"), ["face_id", "tag_id"], "left_anti"), people)[0]
+
+
+def updated_rankings(state: DataFrame, faces: DataFrame, rejections: DataFrame, people: DataFrame, dim: int, changed: DataFrame, threshold: float = 0.5, key: list[str] | None = None, cleared: DataFrame | None = None) -> DataFrame:
+    """The :func:`rankings` ``state`` after the faces ``changed`` (id) got the rows that ``faces``
+    has now, faces got more ``rejections``, and those of the faces ``cleared`` (face_id) were taken
+    back. The first three people and their scores are those of a new ranking; of equally good
+    examples another may be named, and fewer people may follow.
+
+    Only examples that changed are matched. Changed and cleared faces are ranked in full, and
+    those where the bounds leave open who is third.
+    """
+    key = key or []
+    ids = checkpointed(changed.select(F.col("id").alias("face_id")).distinct())
+    again = ids if cleared is None else ids.unionByName(cleared.select("face_id")).distinct()
+    refused = rejections.select("face_id", "tag_id")
+    kept = checkpointed(state.join(again, "face_id", "left_anti"))
+    own = kept.join(refused, ["face_id", "tag_id"], "left_anti")
+    slot = F.explode(F.array(F.struct("example_id", "score"), F.struct(F.col("second_id").alias("example_id"), F.col("second_score").alias("score"))))
+    as_example = ids.withColumnRenamed("face_id", "example_id")
+    old = own.select("face_id", "tag_id", slot.alias("slot")).select("face_id", "tag_id", "slot.*").where("example_id is not null").join(as_example, "example_id", "left_anti")
+    asked = unnamed_of(faces, dim, key).join(again, "face_id", "left_anti")
+    new = matches(asked, examples_of(faces, dim, key).join(as_example, "example_id", "left_semi"), threshold, key, MOST_EXAMPLES + 1).join(refused, ["face_id", "tag_id"], "left_anti")
+    found = old.select("face_id", "tag_id", "example_id", "score").unionByName(new.select("face_id", "tag_id", "example_id", "score"))
+    ranked, undecided = _merged(found, people, own.select("face_id", "tag_id", "rest"), kept.select("face_id", "omitted").distinct())
+    undecided = checkpointed(undecided)
+    full = rankings(faces, rejections, people, dim, threshold, key, undecided.unionByName(again))
+    return ranked.join(undecided, "face_id", "left_anti").unionByName(full)

@@ -92,3 +92,49 @@ def test_a_chain_of_acceptances(spark):
     ask = lambda order: sorted((x.face_id, x.outcome) for x in D.accept_in_order(f, spark.createDataFrame([(s, i, 100, 1) for s, i in enumerate(order)], "seq long, face_id long, tag_id long, revision long"), r, p, DIM, LEAST, ["recognizer"]).collect())
     assert ask([2, 3, 4, 5]) == [(2, "accepted"), (3, "accepted"), (4, "accepted"), (5, "accepted")]
     assert ask([5, 4, 3, 2]) == [(2, "accepted"), (3, "ineligible"), (4, "ineligible"), (5, "ineligible")]
+
+
+def test_rankings_follow_every_change(spark, monkeypatch):
+    """After each of several changes the suggestions are those of a new ranking."""
+    rng = random.Random(7)
+    faces, names, rejected = faces_of(7, n=120, people=9), names_of(9), {(k, 100 + k % 9) for k in range(1, 121, 11)}
+    asked, full = [], D.rankings
+
+    def counted(*args):
+        if len(args) > 6:
+            asked.append(args[6].distinct().count())
+        return full(*args)
+
+    monkeypatch.setattr(D, "rankings", counted)
+    f, r, p = tables(spark, faces, rejected, names)
+    state = D.rankings(f, r, p, DIM, LEAST, ["recognizer"])
+    for step in range(4):
+        changed, cleared = [], []
+        for face in rng.sample(faces, 6):
+            if step == 0:  # unnamed faces get a name
+                face[4] = rng.choice(list(names)) if face[4] is None else face[4]
+            elif step == 1:  # named ones lose it, or are dismissed
+                face[4], face[3] = None, rng.random() < 0.3
+            elif step == 3:
+                face[4] = rng.choice([None, *names])
+                continue_with = face[0] % 120 + 1
+                cleared.append((continue_with,))
+                rejected = {x for x in rejected if x[0] != continue_with}
+            if step != 2:
+                changed.append((face[0],))
+        if step == 2:  # everybody's first suggestion is rejected, and some second ones
+            rejected |= {(x.face_id, x.tag_id) for x in state.where("rank = 1 or (rank = 2 and face_id % 3 = 0)").collect()}
+        f, r, p = tables(spark, faces, rejected, names)
+        ids, back = spark.createDataFrame(changed, "id long"), spark.createDataFrame(cleared, "face_id long")
+        state = D.updated_rankings(state, f, r, p, DIM, ids, LEAST, ["recognizer"], back)
+        got = sorted((x.face_id, x["rank"], x.tag_id, round(x.score, 5)) for x in state.where("rank <= 3").collect())
+        want = sorted((i[0], k, t, round(float(-s), 5)) for i in faces if not i[3] and i[4] is None for k, (s, _, t) in enumerate(ranked(i, faces, rejected, names)[:3], 1))
+        assert got == want, step
+    assert len(asked) == 4 and max(asked[:2]) < 60  # most faces were decided by their bounds
+
+
+def test_rankings_of_nothing(spark):
+    f, r, p = tables(spark, [], set(), names_of())
+    state = D.rankings(f, r, p, DIM, LEAST, ["recognizer"])
+    assert state.count() == 0
+    assert D.updated_rankings(state, f, r, p, DIM, f.select("id"), LEAST, ["recognizer"]).count() == 0
