@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.functions import scalars as S
-from mediacat.operators import dedupe, events, facets, faces, geo, mutations, review, search, vectors
+from mediacat.operators import decisions, dedupe, events, facets, faces, geo, mutations, review, search, vectors
 from mediacat.operators.criteria import QueryCriteria as Q
 from mediacat.operators.criteria import ordering, run, select_media, with_tags
-from mediacat.operators.tables import numbered
+from mediacat.operators.tables import checkpointed, numbered
 from mediacat.sources.adapters import catalog, with_clause
 from mediacat.streaming import ingest
 
@@ -548,6 +548,30 @@ def face_groups(t: Tables) -> DataFrame:
     return faces.face_groups(t["faces"], _suggest(t), t["tags"]).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    _SUGGESTED
+    + """, n AS (SELECT face_id, tag_id, name, score, row_number() OVER (PARTITION BY face_id ORDER BY score DESC, name, tag_id) AS place FROM k WHERE rank > 1)
+    SELECT face_id, tag_id, name, round(CAST(score AS DOUBLE), 5) AS score, CAST(place AS BIGINT) AS rank FROM n WHERE place <= 3"""
+)
+def face_promoted(t: Tables) -> DataFrame:
+    """Suggestions after everybody's first one is rejected."""
+    known = t["faces"], t["face_rejections"], t["tags"], 64
+    state = checkpointed(decisions.rankings(*known, 0.3))
+    refused = t["face_rejections"].unionByName(state.where("rank = 1").select("face_id", "tag_id"))
+    out = decisions.updated_rankings(state, t["faces"], refused, t["tags"], 64, t["faces"].where("false").select("id"), 0.3)
+    return out.where("rank <= 3").select("face_id", "tag_id", "name", F.round(F.col("score").cast("double"), 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def face_accepts(t: Tables) -> DataFrame:
+    """Two requests for each unnamed face, taken in sequence."""
+    known = t["faces"].withColumns({"revision": F.lit(1).cast("long"), "recognizer": F.when(F.col("id") % 5 == 0, "b").otherwise("a")})
+    labels = t["index"].select(F.col("media_id").alias("id"), F.col("label").cast("long").alias("label"))
+    asked = known.where("person_tag_id is null").select("id", "revision").join(labels, "id").select("*", F.explode(F.array(F.lit(0), F.lit(3))).alias("k"))
+    asked = asked.select((F.col("id") * 4 + F.col("k")).alias("seq"), F.col("id").alias("face_id"), (4000 + (F.col("label") + F.col("k")) % 10).alias("tag_id"), "revision")
+    return decisions.accept_in_order(known, asked, t["face_rejections"], t["tags"], 64, 0.3, ["recognizer"])
+
+
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'done' END ELSE 'unscanned' END AS state FROM media WHERE media_type = 'photo'")
 def face_states(t: Tables) -> DataFrame:
     analysis = t["media"].where("id % 2 = 0").select(F.col("id").alias("media_id"), F.when(F.col("id") % 3 == 0, "failed").otherwise("done").alias("state"))

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 from mediacat.operators import decisions as D
+from mediacat.plans import catalogue
+from mediacat.sources.adapters import catalog
 
 DIM, LEAST = 6, 0.5
 FACES = "id long, media_id long, embedding array<float>, dismissed boolean, person_tag_id long, revision long, recognizer string"
@@ -138,3 +140,18 @@ def test_rankings_of_nothing(spark):
     state = D.rankings(f, r, p, DIM, LEAST, ["recognizer"])
     assert state.count() == 0
     assert D.updated_rankings(state, f, r, p, DIM, f.select("id"), LEAST, ["recognizer"]).count() == 0
+
+
+def test_the_acceptance_query(spark, monkeypatch):
+    """The registered query on the given tables against a plain fold over its requests."""
+    monkeypatch.setitem(globals(), "LEAST", 0.3)
+    t = catalog(spark, "/root/testdata/sf0.001")
+    faces = [[x.id, x.media_id, x.embedding, x.dismissed, x.person_tag_id, 1, "b" if x.id % 5 == 0 else "a"] for x in t["faces"].collect()]
+    labels = {x.media_id: x.label for x in t["index"].collect()}
+    requests = [(f[0] * 4 + k, f[0], 4000 + (labels[f[0]] + k) % 10, 1) for f in faces if f[4] is None for k in (0, 3)]
+    rejected = {tuple(x) for x in t["face_rejections"].collect()}
+    names = {x.id: x.name for x in t["tags"].where("category = 'people'").collect()}
+    want, _ = plain_accept(faces, requests, rejected, names)
+    got = catalogue.queries()["face_accepts"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((x.seq, x.outcome) for x in got) == want
+    assert {o for _, o in want} >= {"accepted", "ineligible"}
