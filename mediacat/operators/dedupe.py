@@ -151,22 +151,52 @@ def visual_groups(edges: DataFrame) -> DataFrame:
     return members.groupBy("component").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids")).join(weakest, "component")
 
 
-def scan(media: DataFrame, index: DataFrame, threshold: float = 0.97, window: int = 86400, dismissals: DataFrame | None = None, exact: bool = True, visual: bool = True) -> DataFrame:
-    """``(type, group_id, id, rank)`` of every duplicate: exact clusters, then visual groups of
-    photos outside them. Without the exact pass, members of all exact groups stay out."""
-    spark = media.sparkSession
+def _scan(media: DataFrame, index: DataFrame, threshold: float, window: int, dismissals: DataFrame | None, exact: bool, visual: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``scan``, and the edges of its visual groups."""
+    spark, edges = media.sparkSession, None
     none = dismissals if dismissals is not None else spark.createDataFrame([], "media_id_a long, media_id_b long")
     parts = []
     clusters = checkpointed(split_dismissed(exact_members(media), none))  # both passes take them
     if exact:
         rows = media.join(clusters.select("id", "cluster"), "id")
-        parts.append(ranked(rows, ["cluster"]).select(F.lit("exact").alias("type"), F.col("cluster").alias("group_id"), "id", "rank"))
+        parts.append(ranked(rows, ["cluster"]).select(F.lit("exact").alias("type"), F.col("cluster").alias("group_id"), "id", "rank", "file_size"))
     if visual:
         out = (clusters if exact else exact_members(media)).select(F.col("id").alias("media_id"))
         photos = media.where("media_type = 'photo'").select(F.col("id").alias("media_id"))
         left = index.join(checkpointed(photos.join(out, "media_id", "left_anti")), "media_id", "left_semi")  # read more than once
-        members = connected_components(checkpointed(visual_edges(left, threshold, media, window, none)))
-        rows = media.join(members, "id")
-        parts.append(ranked(rows, ["component"]).select(F.lit("visual").alias("type"), F.col("component").alias("group_id"), "id", "rank"))
-    out = parts[0] if parts else spark.createDataFrame([], "type string, group_id long, id long, rank int")
-    return out.unionByName(parts[1]) if len(parts) == 2 else out
+        edges = checkpointed(visual_edges(left, threshold, media, window, none))
+        rows = media.join(connected_components(edges), "id")
+        parts.append(ranked(rows, ["component"]).select(F.lit("visual").alias("type"), F.col("component").alias("group_id"), "id", "rank", "file_size"))
+    out = parts[0] if parts else spark.createDataFrame([], "type string, group_id long, id long, rank int, file_size long")
+    return (out.unionByName(parts[1]) if len(parts) == 2 else out), edges
+
+
+def scan(media: DataFrame, index: DataFrame, threshold: float = 0.97, window: int = 86400, dismissals: DataFrame | None = None, exact: bool = True, visual: bool = True) -> DataFrame:
+    """``(type, group_id, id, rank)`` of every duplicate: exact clusters, then visual groups of
+    photos outside them. Without the exact pass, members of all exact groups stay out."""
+    return _scan(media, index, threshold, window, dismissals, exact, visual)[0].drop("file_size")
+
+
+def scan_report(media: DataFrame, index: DataFrame, threshold: float = 0.97, window: int = 86400, dismissals: DataFrame | None = None, exact: bool = True, visual: bool = True, scope: DataFrame | None = None) -> DataFrame:
+    """One row a group of a scan, within ``scope`` (ids) if given, in the order of the review:
+    ``(place, type, group_id, keeper, n, bytes, min_similarity, media_scanned)``.
+
+    Exact groups come first, then visual ones, each with the most members first, ties by
+    keeper. ``bytes`` is what all members but the keeper take, ``min_similarity`` the weakest
+    link to 3 digits (1 for exact groups), ``media_scanned`` the size of the scope, ids that
+    it repeats or that don't exist not counted.
+    """
+    if scope is not None:
+        media = checkpointed(media.join(scope.select("id").distinct(), "id", "left_semi"))
+    rows, edges = _scan(media, index, threshold, window, dismissals, exact, visual)
+    rows = checkpointed(rows)
+    groups = reclaimable(rows, ["type", "group_id"])
+    if edges is None:
+        groups = groups.withColumn("min_similarity", F.lit(1.0))
+    else:
+        of = rows.where("type = 'visual'").select("type", "group_id", F.col("id").alias("a"))
+        weakest = edges.join(of, "a").groupBy("type", "group_id").agg(F.round(F.min("score").cast("double"), 3).alias("min_similarity"))
+        groups = groups.join(weakest, ["type", "group_id"], "left").withColumn("min_similarity", F.coalesce("min_similarity", F.lit(1.0)))
+    placed = numbered(groups, [F.col("type"), F.desc("n"), F.col("keeper")], "place")
+    total = media.agg(F.count("*").alias("media_scanned"))
+    return placed.join(F.broadcast(total)).select("place", "type", "group_id", "keeper", "n", "bytes", "min_similarity", "media_scanned")  # one row

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.functions import scalars as S
-from mediacat.operators import decisions, dedupe, events, facets, faces, geo, mutations, review, search, vectors
+from mediacat.operators import decisions, dedupe, events, facets, faces, geo, jobs, lookup, mutations, review, search, vectors, writes
 from mediacat.operators.criteria import QueryCriteria as Q
 from mediacat.operators.criteria import ordering, run, select_media, with_tags
 from mediacat.operators.tables import checkpointed, numbered
@@ -403,21 +403,35 @@ def dup_visual_groups(t: Tables) -> DataFrame:
     return out.withColumn("ids", F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ","))
 
 
-@query(
+_SCAN = (
     _PAIRS
     + f""", k AS (SELECT id, min(id) OVER (PARTITION BY content_hash, file_size) AS cluster, count(*) OVER (PARTITION BY content_hash, file_size) AS n FROM media WHERE content_hash <> ''), ex AS MATERIALIZED (SELECT id, cluster FROM k WHERE n > 1),
     p AS MATERIALIZED (SELECT i.media_id FROM "index" i JOIN media m ON m.id = i.media_id ANTI JOIN ex ON ex.id = i.media_id WHERE m.media_type = 'photo'),
-    g AS (SELECT a, b FROM e SEMI JOIN p pa ON pa.media_id = a SEMI JOIN p pb ON pb.media_id = b ANTI JOIN dismissals d ON d.media_id_a = a AND d.media_id_b = b WHERE score >= CAST({LOOSE} AS FLOAT)),
+    g AS (SELECT a, b, score FROM e SEMI JOIN p pa ON pa.media_id = a SEMI JOIN p pb ON pb.media_id = b ANTI JOIN dismissals d ON d.media_id_a = a AND d.media_id_b = b WHERE score >= CAST({LOOSE} AS FLOAT)),
     s AS MATERIALIZED (SELECT a AS x, b AS y FROM g UNION ALL SELECT b, a FROM g), reach AS (SELECT DISTINCT x, x AS y FROM s UNION SELECT r.x, s.y FROM reach r JOIN s ON r.y = s.x),
-    r AS (SELECT 'exact' AS type, cluster AS group_id, id FROM ex UNION ALL SELECT 'visual', min(y), x FROM reach GROUP BY x)
-    SELECT type, group_id, id, row_number() OVER (PARTITION BY type, group_id ORDER BY flag DESC, CAST(width AS BIGINT) * height DESC, file_size DESC,
+    r AS (SELECT 'exact' AS type, cluster AS group_id, id FROM ex UNION ALL SELECT 'visual', min(y), x FROM reach GROUP BY x)"""
+)
+_SCAN_ROWS = """SELECT type, group_id, id, row_number() OVER (PARTITION BY type, group_id ORDER BY flag DESC, CAST(width AS BIGINT) * height DESC, file_size DESC,
       CAST(caption <> '' OR audio_title <> '' AS INT) + CAST(has_gps AS INT) + CAST(date_taken <> 0 AS INT) DESC, CASE WHEN contains(file_path, '/copy/') THEN 10 ELSE 0 END + CASE WHEN contains(file_path, 'IMG (1)%20') THEN 11 ELSE 0 END, id) AS rank
     FROM r JOIN media USING (id)"""
-)
+
+
+@query(_SCAN + f" {_SCAN_ROWS}")
 def dup_scan(t: Tables) -> DataFrame:
     return dedupe.scan(t["media"], t["index"], LOOSE, 0, t["dismissals"]).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    _SCAN
+    + f""", o AS MATERIALIZED (SELECT * FROM ({_SCAN_ROWS}) JOIN (SELECT id, file_size FROM media) USING (id)), w AS (SELECT o.group_id, round(CAST(min(g.score) AS DOUBLE), 3) AS m FROM g JOIN o ON o.id = g.a AND o.type = 'visual' GROUP BY o.group_id),
+    f AS (SELECT type, group_id, max(id) FILTER (rank = 1) AS keeper, count(*) AS n, CAST(coalesce(sum(file_size) FILTER (rank > 1), 0) AS BIGINT) AS bytes FROM o GROUP BY type, group_id)
+    SELECT row_number() OVER (ORDER BY type, n DESC, keeper) AS place, type, group_id, keeper, n, bytes, CASE WHEN type = 'exact' THEN 1.0 ELSE CAST(m AS DOUBLE) END AS min_similarity, (SELECT count(*) FROM media) AS media_scanned
+    FROM f LEFT JOIN w USING (group_id)"""
+)
+def dup_scan_report(t: Tables) -> DataFrame:
+    return dedupe.scan_report(t["media"], t["index"], LOOSE, 0, t["dismissals"])
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -855,6 +869,123 @@ def mut_place_tags(t: Tables) -> DataFrame:
     return out["media_tags"].join(tags, "tag_id").select("media_id", "name", "category")
 
 
+_INCOMING = """, i AS (SELECT id // 100 AS batch, id, CASE WHEN id % 100 = 11 AND id // 100 % 5 = 0 THEN file_path WHEN id % 100 = 7 AND id // 100 % 3 = 1 THEN 'in/' || CAST(id - 100 AS STRING) ELSE 'in/' || CAST(id AS STRING) END AS file_path FROM media),
+    k AS (SELECT DISTINCT batch FROM i WHERE NOT starts_with(file_path, 'in/')), c AS (SELECT DISTINCT b.batch FROM i b JOIN i a ON a.file_path = b.file_path AND a.batch = b.batch - 1 WHERE a.batch NOT IN (FROM k)),
+    good AS (SELECT * FROM i WHERE batch NOT IN (FROM k) AND batch NOT IN (FROM c))"""
+
+
+def _incoming(t: Tables) -> DataFrame:
+    batch, at = F.expr("id div 100"), F.col("id") % 100
+    old = F.when((at == 11) & (batch % 5 == 0), F.col("file_path")).when((at == 7) & (batch % 3 == 1), F.concat(F.lit("in/"), (F.col("id") - 100).cast("string")))
+    return t["media"].select(batch.alias("batch"), F.col("id").alias("was"), F.coalesce(old, F.concat(F.lit("in/"), F.col("id").cast("string"))).alias("file_path"), "rating")
+
+
+@query(
+    _INCOMING
+    + """ SELECT (SELECT max(id) FROM media) + row_number() OVER (ORDER BY batch, id) AS id, file_path, CAST(1700000000 AS BIGINT) AS created_at, CAST(1700000000 AS BIGINT) AS updated_at FROM good
+    UNION ALL SELECT id, file_path, created_at, created_at FROM media"""
+)
+def write_insert(t: Tables) -> DataFrame:
+    return writes.insert_batches(t["media"], _incoming(t), 1_700_000_000, "was")[0].select("id", "file_path", "created_at", "updated_at")
+
+
+@query(_INCOMING + " SELECT batch, count(*) AS n FROM i WHERE batch IN (FROM k) OR batch IN (FROM c) GROUP BY batch")
+def write_insert_refused(t: Tables) -> DataFrame:
+    return writes.insert_batches(t["media"], _incoming(t), 1_700_000_000, "was")[1].groupBy("batch").agg(F.count("*").alias("n"))
+
+
+@query(
+    """, bad AS (SELECT DISTINCT id // 50 AS batch FROM media WHERE id % 50 = 3 AND rating = 3)
+    SELECT id, CASE WHEN hit THEN 5 ELSE rating END AS rating, CASE WHEN hit THEN 'new' ELSE caption END AS caption, CASE WHEN hit THEN CAST(1700000000 AS BIGINT) ELSE created_at END AS updated_at
+    FROM (SELECT *, id % 2 = 1 AND id // 50 NOT IN (FROM bad) AS hit FROM media)"""
+)
+def write_update(t: Tables) -> DataFrame:
+    """Batches of 50 ids; one whose fourth row had another rating when the writer saw it is refused."""
+    rows = t["media"].where("id % 2 = 1").select(F.expr("id div 50").alias("batch"), "id", F.lit(5).alias("rating"), F.lit("new").alias("caption"), F.expr("CASE WHEN id % 50 = 3 AND rating = 3 THEN 1 ELSE rating END").alias("was_rating"), F.col("file_path").alias("was_file_path"))
+    seen = t["media"].withColumn("updated_at", F.col("created_at"))
+    return writes.update_batches(seen, rows, 1_700_000_000)[0].select("id", "rating", "caption", "updated_at")
+
+
+@query("SELECT 'albums' AS kind, id AS a, CAST(0 AS BIGINT) AS b FROM albums WHERE id % 3 <> 0 UNION ALL SELECT 'members', album_id, media_id FROM album_media WHERE album_id % 3 <> 0 UNION ALL SELECT 'missing', (SELECT max(id) + 1 FROM albums), 0")
+def mut_delete_albums(t: Tables) -> DataFrame:
+    ids = t["albums"].where("id % 3 = 0").select("id").unionByName(t["albums"].agg((F.max("id") + 1).alias("id")))
+    left, members, missing = writes.delete_albums(t["albums"], t["album_media"], ids)
+    rows = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.cast("long").alias("b"))
+    return rows(left, "albums", "id", F.lit(0)).unionByName(rows(members, "members", "album_id", F.col("media_id"))).unionByName(rows(missing, "missing", "id", F.lit(0)))
+
+
+@query(
+    """, w AS (SELECT DISTINCT CASE id % 4 WHEN 0 THEN file_path WHEN 1 THEN '/srv/' || file_path WHEN 2 THEN replace(file_path, '/', chr(92)) ELSE file_path || '?' END AS path FROM media),
+    f AS (SELECT path, 0 AS tried, path AS file_path FROM w UNION ALL SELECT path, 1, replace(substring(path, 6), chr(92), '/') FROM w WHERE starts_with(path, '/srv/') UNION ALL SELECT path, 2, replace(path, chr(92), '/') FROM w)
+    SELECT path, m.id, CAST(tried AS BIGINT) AS tried FROM f JOIN media m USING (file_path) QUALIFY row_number() OVER (PARTITION BY path ORDER BY tried, m.id) = 1"""
+)
+def path_lookup(t: Tables) -> DataFrame:
+    known = F.expr("CASE id % 4 WHEN 0 THEN file_path WHEN 1 THEN concat('/srv/', file_path) WHEN 2 THEN replace(file_path, '/', chr(92)) ELSE concat(file_path, '?') END")
+    out = lookup.by_path(t["media"], t["media"].select(known.alias("path")), "/srv")
+    return out.withColumn("tried", F.col("tried").cast("long"))
+
+
+_MODEL = {"model_id": "m", "model_revision": "1", "taxonomy_version": "t2"}
+
+
+def _label_tables(t: Tables) -> Tables:
+    """A third of the photos was labelled already, some of them with an older taxonomy; of each
+    eleventh the vector is of another content, and each thirteenth rejects a label."""
+    content = t["media"].select(F.col("id").alias("media_id"), "content_hash", "media_type")
+    both = [F.lit("m").alias("model_id"), F.lit("1").alias("model_revision")]
+    index = t["index"].join(content, "media_id").where("media_type = 'photo'").select("media_id", F.expr("CASE WHEN media_id % 11 = 0 THEN 'old' ELSE content_hash END").alias("content_hash"), *both, F.lit("").alias("error_text"), "embedding")
+    state = content.where("media_id % 3 = 0").select("media_id", "content_hash", *both, F.expr("CASE WHEN media_id % 2 = 0 THEN 't1' ELSE 't2' END").alias("taxonomy_version"), F.lit(7).cast("long").alias("label_count"), F.lit(1).cast("long").alias("updated_at"))
+    rejections = content.where("media_id % 13 = 0").select("media_id", F.lit(1011).cast("long").alias("tag_id"))
+    return t | {"index_state": index, "smart_tag_state": state, "smart_tag_rejections": rejections}
+
+
+def _label_job(t: Tables) -> tuple[Tables, DataFrame]:
+    """The job over every catalog id and one that is unknown; each seventeenth photo changes before the write."""
+    t = _label_tables(t)
+    labels = vectors.centroids(t["index"]).select(F.col("label").alias("label_id"), (F.col("label") % 4).alias("label_group"), F.lit(0.1).alias("threshold"), "embedding", F.expr("CASE WHEN label = 0 THEN 'Brand#11' ELSE concat('Label ', CAST(label AS STRING)) END").alias("name"))
+    ids = t["media"].select("id").unionByName(t["media"].agg((F.max("id") + 1).alias("id")))
+    records, left = jobs.plan_labels(t, ids, labels, _MODEL, min_score=0.05)
+    records = checkpointed(records.withColumn("content_hash", F.expr("CASE WHEN media_id % 17 = 0 THEN concat(content_hash, '-') ELSE content_hash END")))
+    out, written = jobs.write_labels(t, records, _MODEL, 1_700_000_000)
+    return out, left.unionByName(written)
+
+
+_JOB = (
+    _CENTROIDS
+    + """, v AS (SELECT label, list(x ORDER BY place) AS v FROM c GROUP BY label), due AS MATERIALIZED (SELECT m.id AS media_id, embedding, content_hash FROM "index" i JOIN media m ON m.id = i.media_id WHERE media_type = 'photo' AND m.id % 11 <> 0 AND NOT (m.id % 3 = 0 AND m.id % 2 = 1)),
+    ok AS MATERIALIZED (SELECT * FROM due WHERE media_id % 17 <> 0),
+    s AS (SELECT media_id, v.label AS label_id, v.label % 4 AS grp, CAST(list_dot_product(CAST(embedding AS DOUBLE[]), v.v) AS FLOAT) AS score FROM ok CROSS JOIN v),
+    k AS (SELECT *, row_number() OVER (PARTITION BY media_id, grp ORDER BY score DESC, label_id) AS p FROM s WHERE score >= CAST(0.1 AS FLOAT)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, label_id) AS rank FROM k WHERE p <= 2),
+    l AS (SELECT media_id, CASE WHEN label_id = 0 THEN 'Brand#11' ELSE 'Label ' || CAST(label_id AS STRING) END AS name FROM r WHERE rank <= 3),
+    j AS MATERIALIZED (SELECT media_id, name FROM l WHERE NOT (media_id % 13 = 0 AND name = 'Brand#11' AND EXISTS (SELECT 1 FROM tags WHERE name = 'Brand#11')))"""
+)
+
+
+@query(
+    _JOB
+    + """ SELECT media_id, 't2' AS taxonomy_version, (SELECT count(*) FROM j WHERE j.media_id = ok.media_id) AS label_count, CAST(1700000000 AS BIGINT) AS updated_at FROM ok
+    UNION ALL SELECT id, CASE WHEN id % 2 = 0 THEN 't1' ELSE 't2' END, 7, 1 FROM media WHERE id % 3 = 0 AND id NOT IN (SELECT media_id FROM ok)"""
+)
+def label_job_state(t: Tables) -> DataFrame:
+    return _label_job(t)[0]["smart_tag_state"].select("media_id", "taxonomy_version", "label_count", "updated_at")
+
+
+@query(
+    _JOB
+    + """, old AS MATERIALIZED (SELECT p.media_id, p.tag_id FROM provenance p SEMI JOIN ok ON ok.media_id = p.media_id WHERE source = 'clip' AND NOT manual)
+    SELECT l.media_id, g.category, g.name FROM media_tags l JOIN tags g ON g.id = l.tag_id ANTI JOIN old ON old.media_id = l.media_id AND old.tag_id = l.tag_id UNION SELECT media_id, 'keyword', name FROM j"""
+)
+def label_job_links(t: Tables) -> DataFrame:
+    out = _label_job(t)[0]
+    return out["media_tags"].join(out["tags"].select(F.col("id").alias("tag_id"), "name", "category"), "tag_id").select("media_id", "category", "name")
+
+
+@query(_JOB + " SELECT (SELECT count(*) FROM ok) AS processed, (SELECT count(*) FROM media) - (SELECT count(*) FROM ok) AS skipped, CAST(1 AS BIGINT) AS failed, CASE WHEN (SELECT count(*) FROM ok) = 0 THEN 'failed' ELSE 'completed' END AS state")
+def label_job_report(t: Tables) -> DataFrame:
+    return jobs.job_report(_label_job(t)[1])
+
+
 @query("SELECT page_id, regexp_extract(url, '^(.+)/[^/]*$', 1) AS folder FROM pages")
 def page_folders(t: Tables) -> DataFrame:
     return t["pages"].select("page_id", S.parent_folder("url").alias("folder"))
