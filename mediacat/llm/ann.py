@@ -217,10 +217,20 @@ class _Shard:
         self.graph = Graph(_unit(self.exact), layers, row["entry"])
 
     def nearest(self, query: int, q: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """``(-score, id)`` of the k nearest found, nearest first, ties to the smaller id."""
-        near = np.array(self.graph.search(_unit(q[None])[0]))
-        scores = (self.exact[near] @ q) / (self.norms[near] * math.sqrt(q @ q))
-        return heapq.nsmallest(k, ((-float(s), int(i)) for s, y in zip(scores, near, strict=True) for i in self.ids[self.offsets[y] : self.offsets[y + 1]] if i != query))
+        """``(-score, id)`` of the k nearest ids found, nearest first, ties to the smaller id. The
+        search widens while it finds fewer ids, as it does where one id has many vectors."""
+        unit, size, ef = _unit(q[None])[0], math.sqrt(q @ q), EF_SEARCH
+        while True:
+            near = np.array(self.graph.search(unit, ef))
+            scores = (self.exact[near] @ q) / (self.norms[near] * size)
+            best: dict[int, float] = {}
+            for s, y in zip(scores.tolist(), near, strict=True):
+                for i in self.ids[self.offsets[y] : self.offsets[y + 1]].tolist():
+                    if i != query and s > best.get(i, -math.inf):
+                        best[i] = s
+            if len(best) >= k or len(near) < ef:
+                return heapq.nsmallest(k, ((-s, i) for i, s in best.items()))
+            ef *= 2
 
 
 _FOUND = "query_id bigint, vec_id bigint, score double"
@@ -254,7 +264,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     Rows of ``df`` with the query's own id aren't candidates. Null ids and vectors that
     :func:`usable` rejects take no part on either side; vectors of different lengths never
-    meet. Rows repeated with id and direction count once.
+    meet. Where an id has several rows, on either side, it counts once, by its nearest pair;
+    rows with the query's id are its own.
     """
     index = build_index(usable(df, id_col, vector_col), k)
     shards = materialize(index.select("dim", "shard"))
@@ -264,4 +275,5 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     dealt = both.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("n").isNull())
     found = dealt.mapInArrow(_search(k), _FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,9 +12,13 @@ core, and the densest node of every other branch that reaches the threshold, are
 
 What no article contains is taken out of the tree before that: scripts, styles, forms,
 menus, page headers and footers, sidebars, notices, adverts and reader comments, known by
-element, role, visibility, or a class or id that consists of such names. Names and forms
-don't drop an element around an article or main, nor a form around the core (just its
-controls), nor all text of the page.
+element, role, visibility, or a class or id that consists of such names, or begins or ends
+with one of comments or notices. Nothing around an article or main is dropped by name, nor
+all text of the page. Comments go first. Of what remains, a form (but for its controls) or
+a compound name around the core stays, and so does another name that holds most of the
+characters of a page without an article. Where the core is in an article or main, nothing
+outside such elements is content; nor if articles hold most characters of the core. A label is
+dropped only with a control.
 """
 
 from __future__ import annotations
@@ -52,12 +56,19 @@ CLOSED_BY = {
 #: Up to which a search for an element to close goes.
 _SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"]), "option": frozenset(["select"])}
 
-DROPPED = frozenset("head nav footer aside button select svg canvas audio video object applet dialog menu label input".split()) | RAW
+DROPPED = frozenset("head nav footer aside button select svg canvas audio video object applet dialog menu input".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROPPED_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall "
     "sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar widget share sharing social related recommended recommendations comment comments disqus respond reply replies login signup search skip".split()
 )
+#: Of those, names of reader comments; an element whose first or last part is one holds comments.
+COMMENT_NAMES = frozenset("comment comments disqus respond reply replies".split())
+#: A compound name with one of these as first or last part is dropped unless it holds the core.
+NOTICE_NAMES = frozenset("advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices newsletter paywall sidebar footer breadcrumb breadcrumbs pagination".split())
+#: Parts by which a name tells the state of a page or element, not what it holds.
+STATE_PARTS = frozenset("has with without no is open closed show hide".split())
+CONTROLS = frozenset("input select textarea button".split())
 KEPT = frozenset(["html", "body", "article", "main"])
 
 
@@ -75,19 +86,26 @@ def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def _named(tag: str, attributes: str) -> bool:
-    """Whether an element is a form, or a whole class or id consists of the names to drop."""
-    if tag == "form":
-        return True
+def _named(tag: str, attributes: str) -> str:
+    """Why an element may be dropped: ``form``, ``comment``, ``name`` (a whole class or id consists
+    of the names to drop), ``notice`` (a compound of one), or nothing."""
+    kind = "form" if tag == "form" else ""
     if not attributes or tag in KEPT:
-        return False
+        return kind
     for name, value in _ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
             for token in value.strip("\"'").lower().split():
                 parts = _NAME_PARTS.findall(token)
-                if parts and DROPPED_NAMES.issuperset(parts):
-                    return True
-    return False
+                if not parts or not STATE_PARTS.isdisjoint(parts):
+                    continue
+                ends = {parts[0], parts[-1]}
+                if ends & COMMENT_NAMES:
+                    return "comment"
+                if DROPPED_NAMES.issuperset(parts):
+                    kind = kind or "name"
+                elif ends & NOTICE_NAMES:
+                    kind = kind or "notice"
+    return kind
 
 
 class Page:
@@ -99,33 +117,77 @@ class Page:
         self.pieces: list[tuple[int, str]] = []
         self._open = [0]
         self._count = {"html": 1}
-        self._named: list[int] = []
+        self._named: dict[int, str] = {}
+        self._labels: list[tuple[int, bool]] = []
         self._parse(html)
+        self._drop_labels()
         self._drop_named()
 
+    def _block(self, node: int) -> int:
+        while node and self.tags[node] not in BLOCK:
+            node = self.parents[node]
+        return node
+
+    def _drop_labels(self) -> None:
+        """Drop labels of controls: those that name one, hold one or share a block with one."""
+        if not self._labels:
+            return
+        near = set()
+        for k, tag in enumerate(self.tags):
+            if tag in CONTROLS:
+                near.add(self._block(k))
+                while k and self.tags[k] != "label":
+                    k = self.parents[k]
+                near.add(k)
+        self.drop = self._dropped_with({k for k, names_one in self._labels if names_one or k in near or self._block(k) in near})
+
+    def _has_text(self, drop: list[bool]) -> bool:
+        return any(node >= 0 and not drop[node] and text.strip() for node, text in self.pieces)
+
+    def _sizes(self) -> list[int]:
+        """The characters that aren't dropped or white space below each node."""
+        size = [0] * len(self.tags)
+        for node, text in self.pieces:
+            if node >= 0 and not self.drop[node]:
+                size[node] += len("".join(text.split()))
+        for k in range(len(size) - 1, 0, -1):
+            size[self.parents[k]] += size[k]
+        return size
+
     def _drop_named(self) -> None:
-        """Drop named elements and forms, but none around an article or main, no form around
-        the core, and no named element around it if there is no text elsewhere."""
+        """Drop comments and what is named, but nothing around an article or main, and not all
+        text of the page. Around the core of what isn't a comment, forms and compound names
+        stay, and other names if they hold most of the characters and no article is declared."""
         if not self._named:
             return
+        commented = [False] * len(self.tags)
+        for k in range(1, len(self.tags)):
+            commented[k] = commented[self.parents[k]] or self._named.get(k) == "comment"
+        articles = [k for k, tag in enumerate(self.tags) if tag in ("article", "main") and not self.drop[k]]
+        if any(not commented[k] for k in articles) or len(articles) > 1:  # a comment may be an article too
+            articles = [k for k in articles if not commented[k]]
         holds = set()
-        for k, tag in enumerate(self.tags):
-            if tag in ("article", "main") and not self.drop[k]:
-                while k and k not in holds:
-                    holds.add(k)
-                    k = self.parents[k]
-        named = set(self._named) - holds
+        for k in articles:
+            while k and k not in holds:
+                holds.add(k)
+                k = self.parents[k]
+        named = {k: kind for k, kind in self._named.items() if k not in holds}
+        drop = self._dropped_with({k for k, kind in named.items() if kind == "comment"})
+        if self._has_text(drop):
+            self.drop = drop
         _, sums = self.densities()
         core = max(range(len(sums)), key=lambda k: (sums[k], -k))
         around = set()
         while core:
             around.add(core)
             core = self.parents[core]
-        named = {k for k in named if self.tags[k] != "form" or k not in around}
-        drop = self._dropped_with(named)
-        if named & around and not any(node >= 0 and not drop[node] and text.strip() for node, text in self.pieces):
-            drop = self._dropped_with(named - around)
-        self.drop = drop
+        rest = {k for k, kind in named.items() if kind == "name" or kind in ("form", "notice") and k not in around}
+        if held := rest & around:
+            size = self._sizes()
+            if not holds:
+                rest -= {k for k in held if 2 * size[k] > size[0]}
+        drop = self._dropped_with(rest)
+        self.drop = drop if self._has_text(drop) else self._dropped_with(rest - around)
 
     def _dropped_with(self, named: set[int]) -> list[bool]:
         drop = self.drop[:]
@@ -139,8 +201,11 @@ class Page:
         self.tags.append(tag)
         self.parents.append(top)
         self.drop.append(self.drop[top] or _dropped(tag, attributes, inside))
-        if not self.drop[-1] and _named(tag, attributes):
-            self._named.append(len(self.tags) - 1)
+        if not self.drop[-1]:
+            if kind := _named(tag, attributes):
+                self._named[len(self.tags) - 1] = kind
+            if tag == "label":
+                self._labels.append((len(self.tags) - 1, any(name.lower() == "for" for name, _ in _ATTRIBUTE.findall(attributes))))
         if tag in BLOCK:
             self.pieces.append((-1, ""))
         elif tag == "br":
@@ -263,6 +328,17 @@ class Page:
                 best[up] = best[k]
         core = best[0]
         node = core
+        declared = [False] * n  # inside an article or main
+        for k in range(1, n):
+            declared[k] = declared[self.parents[k]] or self.tags[k] in ("article", "main")
+        if any(declared) and not declared[core]:
+            # Articles below the core that hold most of its characters declare what is content.
+            size, inside = self._sizes(), [False] * n
+            for k in range(n):
+                inside[k] = k == core or k > 0 and inside[self.parents[k]]
+            outer = [k for k in range(1, n) if inside[k] and declared[k] and not declared[self.parents[k]]]
+            if 2 * sum(size[k] for k in outer) > size[core]:
+                core = node = max(outer, key=lambda k: (sums[k], size[k], -k))
         while node:  # an element that declares the article holds all of it
             node = self.parents[node]
             if self.tags[node] == "article" or self.tags[node] == "main" and self.tags[core] != "article":
@@ -280,7 +356,7 @@ class Page:
             reached[above] = True
         for k in range(n):
             reached[k] = reached[k] or (k == 0 or reached[self.parents[k]]) and density[k] >= threshold and density[k] > 0
-            if reached[k] and density[k] > 0:
+            if reached[k] and density[k] > 0 and (declared[best[k]] or not declared[core]):
                 marked[best[k]] = True
         for k in range(1, n):
             marked[k] = (marked[k] or marked[self.parents[k]]) and not self.drop[k]

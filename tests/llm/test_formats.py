@@ -5,8 +5,10 @@ import html as H
 import io
 import itertools
 import json
+import random
 import re
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -256,3 +258,85 @@ def test_named_elements_beside_the_text_are_dropped():
     text = "A long sentence of the article, with enough words to count as its text."
     for extra in ("<div class='cookie-banner'>Cookies here</div>", "<div id=sidebar>Short</div>", "<form>Search here <input></form>"):
         assert html_text.main_text(f"<body>{extra}<div><p>{text}</p><p>{text}</p></div></body>") == f"{text}\n{text}"
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ('<div class="cookie-banner-wrapper"><p>We keep cookies on this site.</p></div>', '<div class="comments-area"><p>First! What a long and thoughtful reply this is.</p></div>'),
+        ("", '<ol class="comment-list"><li><p>One reader writes a long reply.</p><p>And more of it.</p></li></ol>'),
+        ("", '<section id="reader-comments"><article class="c"><p>A reply that is an article.</p></article><article class="c"><p>Another one.</p></article></section>'),
+        ("", '<div class="site-footer"><p>All rights reserved by somebody or other.</p></div>'),
+        ('<div class="newsletter-box"><p>Have our letter every week.</p></div>', '<div id="disqus_thread"><p>A thread of replies.</p></div>'),
+    ],
+)
+@pytest.mark.parametrize("wrap", ["%s", "<article>%s</article>", '<div class="no-sidebar has-comments">%s</div>', '<div id="side">%s</div>', '<div class="promo-story">%s</div>'])
+def test_compound_names_of_comments_and_notices(before, after, wrap):
+    text = "The article tells at length what happened, and it does so in whole sentences."
+    inner = f"<div><p>{text}</p><p>{text}</p><p>{text}</p></div>"
+    assert html_text.main_text(f"<body>{before}{wrap % inner}{after}</body>") == "\n".join([text] * 3)
+    if "article" in wrap:
+        assert html_text.main_text(f"<body>{before}{wrap % (inner + after)}{after}</body>") == "\n".join([text] * 3)
+
+
+def test_nothing_outside_a_declared_article():
+    text = "The article tells at length what happened, and it does so in whole sentences."
+    page = f"<body><div><p>{text} Not this.</p></div><article><p>{text}</p><p>{text}</p><p>{text}</p></article><div><p>{text} Nor this.</p></div></body>"
+    assert html_text.main_text(page) == "\n".join([text] * 3)
+
+
+def test_a_named_element_that_holds_most_of_the_page():
+    assert html_text.main_text('<body><div id="side"><p>One two three four.</p><p>Five six seven.</p><p>Eight nine ten.</p></div><div>short footer text</div></body>').startswith("One two three four.\nFive six seven.\nEight nine ten.")
+    # A thread longer than the article is still a thread.
+    thread = "<p>I think that this is worth a long and wordy reply.</p>" * 20
+    assert html_text.main_text(f'<body><div><p>The article is short.</p><p>It ends here.</p></div><div class="comments">{thread}</div></body>') == "The article is short.\nIt ends here."
+    assert html_text.main_text('<body><div class="comment-list"><p>Only replies here.</p></div></body>') == "Only replies here."
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<p>The <label>word</label> stays.</p>", "The word stays."),
+        ("<p>Before.</p><div><label>Name</label> <span><input></span></div>", "Before."),
+        ("<p>Before.</p><div><label for=x>Name</label></div><div><input id=x></div>", "Before."),
+        ("<p>Before.</p><label>Mail <input></label><p>After.</p>", "Before.\nAfter."),
+    ],
+)
+def test_labels_go_with_their_controls(inner, text):
+    assert html_text.main_text(f"<body><article>{inner}</article></body>") == text
+
+
+def _pages_without_article(n, seed=3):
+    """Pages whose classes tell nothing: paragraphs amid blocks of links and of short lines with links."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    for _ in range(n):
+        link = lambda: f"<li><a href=x>{' '.join(rng.choices(words, k=rng.randrange(2, 6)))} nav</a></li>"
+        box = lambda: f"<div><ul>{''.join(link() for _ in range(rng.randrange(5, 30)))}</ul></div>"
+        teaser = lambda: f"<div>{''.join(f'<p><a href=y>{chr(32).join(rng.choices(words, k=4))} nav</a> nav</p>' for _ in range(rng.randrange(3, 9)))}</div>"
+        text = [" ".join(rng.choices(words, k=rng.randrange(20, 90))) for _ in range(rng.randrange(3, 12))]
+        body = "".join(f"<p>{t}</p>" for t in text)
+        parts = [box() for _ in range(rng.randrange(1, 4))] + [f"<div><div>{body}</div></div>"] + [rng.choice((box, teaser))() for _ in range(rng.randrange(1, 4))]
+        yield f"<html><body>{''.join(parts)}</body></html>", "\n".join(text)
+
+
+def _precision_recall(pages):
+    kept = right = wanted = 0
+    for html, text in pages:
+        got, want = Counter(html_text.main_text(html).split()), Counter(text.split())
+        kept, wanted, right = kept + got.total(), wanted + want.total(), right + (got & want).total()
+    return right / kept, right / wanted
+
+
+def test_densities_decide_pages_without_article(monkeypatch):
+    pages = list(_pages_without_article(120))
+    precision, recall = _precision_recall(pages)
+    assert precision >= 0.99 and recall >= 0.99
+    plain = html_text.Page.densities
+
+    def constant(page):
+        density, sums = plain(page)
+        return [float(x > 0) for x in density], [float(x > 0) for x in sums]
+
+    monkeypatch.setattr(html_text.Page, "densities", constant)
+    assert _precision_recall(pages)[0] < 0.7
