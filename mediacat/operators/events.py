@@ -45,24 +45,24 @@ def islands(rows: DataFrame, at: str, gap: int = MAX_GAP_S, keys: tuple[str, ...
     return out.withColumn("island", F.coalesce("mediacat_running", "mediacat_carried")).drop("mediacat_day", "mediacat_before", "mediacat_prev", "mediacat_start", "mediacat_running", "mediacat_carried")
 
 
-def _cutter():
-    """A machine that names each photo's event: one island follows another in time order."""
-    island = first_id = first_at = place = None
+class Cutter:
+    """A machine that names each photo's event: one island follows another in time order. Its
+    attributes are all that it knows of what came before."""
 
-    def step(row: tuple) -> int:
-        nonlocal island, first_id, first_at, place
+    def __init__(self, island: int | None = None, first_id: int | None = None, first_at: int | None = None, place: tuple[float, float] | None = None):
+        self.island, self.first_id, self.first_at, self.place = island, first_id, first_at, place
+
+    def __call__(self, row: tuple) -> int:
         own, at, media_id, located, lat, lon = row
-        here = (math.radians(lat), math.radians(lon)) if located else None
-        cut = own != island or at - first_at > MAX_SPAN_S
+        here, place = (math.radians(lat), math.radians(lon)) if located else None, self.place
+        cut = own != self.island or at - self.first_at > MAX_SPAN_S
         if not cut and place and here:
             h = math.sin((here[0] - place[0]) / 2) ** 2 + math.cos(place[0]) * math.cos(here[0]) * math.sin((here[1] - place[1]) / 2) ** 2
             cut = 2 * EARTH_RADIUS_KM * math.asin(math.sqrt(min(1.0, h))) > MAX_STEP_KM
         if cut:
-            island, first_id, first_at, place = own, media_id, at, None
-        place = here or place
-        return first_id
-
-    return step
+            self.island, self.first_id, self.first_at, place = own, media_id, at, None
+        self.place = here or place
+        return self.first_id
 
 
 def event_members(media: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def event_members(media: DataFrame) -> DataFrame:
     """
     photos = media.where((F.col("media_type") == "photo") & (F.col("date_taken") != 0)).select("id", "date_taken", "latitude", "longitude", is_located().alias("located"))
     rows = islands(photos, "date_taken").select("island", "date_taken", "id", "located", "latitude", "longitude")
-    return fold_sorted(rows, ["island"], ["date_taken", "id"], _cutter, "event", "long", ["id"])
+    return fold_sorted(rows, ["island"], ["date_taken", "id"], Cutter, "event", "long", ["id"])
 
 
 def _common(members: DataFrame, links: DataFrame, tags: DataFrame, sizes: DataFrame, category: str) -> DataFrame:
