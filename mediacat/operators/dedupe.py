@@ -9,7 +9,7 @@ from mediacat.functions.scalars import path_penalty
 from mediacat.operators.graph import connected_components
 from mediacat.operators.mutations import delete_media, merge_media
 from mediacat.operators.tables import checkpointed, fold_sorted, numbered
-from mediacat.operators.vectors import similar_pairs
+from mediacat.operators.vectors import similar_links, similar_pairs
 
 GROUP = ["content_hash", "file_size"]
 
@@ -133,18 +133,12 @@ def split_dismissed(members: DataFrame, dismissals: DataFrame) -> DataFrame:
 def visual_edges(index: DataFrame, threshold: float, media: DataFrame | None = None, window: int = 0, dismissals: DataFrame | None = None) -> DataFrame:
     """Similar pairs that weren't dismissed and, with a window, were taken within as many
     seconds; an undated item is within any window."""
-    edges = similar_pairs(index, threshold)
-    if window > 0 and media is not None:
-        at = media.select("id", "date_taken")
-        edges = edges.join(at.select(F.col("id").alias("a"), F.col("date_taken").alias("ta")), "a").join(at.select(F.col("id").alias("b"), F.col("date_taken").alias("tb")), "b")
-        edges = edges.where((F.col("ta") == 0) | (F.col("tb") == 0) | (F.abs(F.col("ta") - F.col("tb")) <= window)).select("a", "b", "score")
-    if dismissals is not None:
-        edges = edges.join(dismissals.select(F.col("media_id_a").alias("a"), F.col("media_id_b").alias("b")), ["a", "b"], "left_anti")
-    return edges
+    return similar_pairs(index, threshold, media, window, dismissals)
 
 
 def visual_groups(edges: DataFrame) -> DataFrame:
-    """``(component, n, min_similarity, ids)``: components of the edges with their weakest edge, to 3 digits."""
+    """``(component, n, min_similarity, ids)``: components of the edges with their weakest edge, to 3 digits.
+    The links of :func:`mediacat.operators.vectors.similar_links` give the groups of all pairs."""
     edges = checkpointed(edges)  # the similarity join is taken once
     members = checkpointed(connected_components(edges))
     weakest = edges.join(members, edges.a == members.id).groupBy("component").agg(F.round(F.min("score").cast("double"), 3).alias("min_similarity"))
@@ -164,7 +158,7 @@ def _scan(media: DataFrame, index: DataFrame, threshold: float, window: int, dis
         out = (clusters if exact else exact_members(media)).select(F.col("id").alias("media_id"))
         photos = media.where("media_type = 'photo'").select(F.col("id").alias("media_id"))
         left = index.join(checkpointed(photos.join(out, "media_id", "left_anti")), "media_id", "left_semi")  # read more than once
-        edges = checkpointed(visual_edges(left, threshold, media, window, none))
+        edges = checkpointed(similar_links(left, threshold, media, window, none))
         rows = media.join(connected_components(edges), "id")
         parts.append(ranked(rows, ["component"]).select(F.lit("visual").alias("type"), F.col("component").alias("group_id"), "id", "rank", "file_size"))
     out = parts[0] if parts else spark.createDataFrame([], "type string, group_id long, id long, rank int, file_size long")
