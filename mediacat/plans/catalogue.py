@@ -399,7 +399,7 @@ def dup_visual_windowed(t: Tables) -> DataFrame:
     FROM c GROUP BY component"""
 )
 def dup_visual_groups(t: Tables) -> DataFrame:
-    out = dedupe.visual_groups(vectors.similar_pairs(t["index"], LOOSE))
+    out = dedupe.visual_groups(vectors.similar_links(t["index"], LOOSE))
     return out.withColumn("ids", F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ","))
 
 
