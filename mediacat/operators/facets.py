@@ -111,7 +111,11 @@ def top_captions(media: DataFrame, k: int = 5) -> DataFrame:
 def category_coverage(tables: dict[str, DataFrame]) -> DataFrame:
     """By tag category: its tags, links, and distinct items."""
     tags, links = tables["tags"], tables["media_tags"]
-    return links.join(tags, links.tag_id == tags.id).groupBy("category").agg(F.count_distinct("tag_id").alias("tags"), F.count("*").alias("links"), F.count_distinct("media_id").alias("items"))
+    named = links.join(tags.select(F.col("id").alias("tag_id"), "category"), "tag_id")
+    per_item = named.groupBy("category", "media_id").agg(F.count("*").alias("links"))  # where an item's links are together, they stay
+    items = per_item.groupBy("category").agg(F.sum("links").alias("links"), F.count("media_id").alias("items"))
+    per_tag = named.groupBy("category", "tag_id").agg(F.lit(1).alias("one")).groupBy("category").agg(F.count("tag_id").alias("tags"))
+    return items.withColumnRenamed("category", "of").join(per_tag, F.col("of").eqNullSafe(F.col("category"))).select("category", "tags", "links", "items")
 
 
 def located_bounds(media: DataFrame, padding: float = 0.0) -> DataFrame:
