@@ -84,7 +84,9 @@ def add_tag(tables: Tables, items: DataFrame, tag_id: int) -> Tables:
     ids = items.select(F.col("id").alias("media_id")).distinct().join(tables["media"].select(F.col("id").alias("media_id")), "media_id", "left_semi")
     new = ids.withColumn("tag_id", F.lit(tag_id).cast("long"))
     origin = tables["provenance"].select(*LINK, "manual", "source").unionByName(new.withColumns({"manual": F.lit(True), "source": F.lit("manual")}))
-    return {"media_tags": tables["media_tags"].select(*LINK).unionByName(new).distinct(), "provenance": _merge_origin(origin)}
+    links = tables["media_tags"].select(*LINK)
+    fresh = new.join(links.where(F.col("tag_id") == tag_id), LINK, "left_anti")  # a link is stored once, so only new ones are compared
+    return {"media_tags": links.unionByName(fresh), "provenance": _merge_origin(origin)}
 
 
 def remove_tag(tables: Tables, items: DataFrame, tag_id: int) -> Tables:
