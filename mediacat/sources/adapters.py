@@ -95,6 +95,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     for name, text in RELATIONS.items():
         used = {k: v for k, v in known.items() if "{" + k + "}" in text}
         text = text.replace("{ts}", "unix_timestamp(CAST(o_orderdate AS TIMESTAMP))").replace("sha256(text)", "sha2(text, 256)")
+        if name == "album_media":  # grouped where they are dealt, as links are
+            used["lineitem"] = used["lineitem"].repartition(LINK_PARTS * used["lineitem"].rdd.getNumPartitions(), "l_orderkey")
         known[name] = _links(spark, text, used) if name == "media_tags" else spark.sql(text, **used)
     return known
 

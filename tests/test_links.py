@@ -13,6 +13,8 @@ def test_links_are_dealt_by_item(spark):
     links = t["media_tags"].withColumn("part", F.spark_partition_id())
     assert links.agg(F.max("part")).first()[0] >= adapters.LINK_PARTS // 2
     assert links.groupBy("media_id").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
+    albums = t["album_media"].withColumn("part", F.spark_partition_id()).groupBy("media_id").agg(F.count_distinct("part").alias("n"))
+    assert albums.where("n > 1").isEmpty()
     assert t["media_tags"].count() == t["media_tags"].distinct().count()
 
 
