@@ -12,6 +12,8 @@ from mediacat.functions.scalars import is_healthy
 THRESHOLD = 0.5
 MOST_SUGGESTED = 3
 CHUNK = 4096
+#: Faces whose scores are held at once.
+SLICE = 256
 
 
 def suggestions(faces: DataFrame, rejections: DataFrame, people: DataFrame, dim: int, threshold: float = THRESHOLD, most: int = MOST_SUGGESTED) -> DataFrame:
@@ -37,10 +39,13 @@ def suggestions(faces: DataFrame, rejections: DataFrame, people: DataFrame, dim:
             return pd.DataFrame({"face_id": [], "tag_id": [], "score": []})
         e = e.sort_values("person_tag_id", kind="stable")
         tags, first = np.unique(e["person_tag_id"].to_numpy(dtype=np.int64), return_index=True)
-        scores = np.clip(np.stack(q["embedding"].to_numpy()).astype(np.float64) @ np.stack(e["embedding"].to_numpy()).astype(np.float64).T, -1, 1).astype(np.float32)
-        top = np.maximum.reduceat(scores, first, axis=1)
-        r, c = np.nonzero(top >= least)
-        return pd.DataFrame({"face_id": q["id"].to_numpy()[r], "tag_id": tags[c], "score": top[r, c]})
+        across, ids, found = np.stack(e["embedding"].to_numpy()).astype(np.float64).T, q["id"].to_numpy(), []
+        for k in range(0, len(q), SLICE):  # a task holds the scores of a slice only
+            scores = np.clip(np.stack(q["embedding"].iloc[k : k + SLICE].to_numpy()).astype(np.float64) @ across, -1, 1).astype(np.float32)
+            top = np.maximum.reduceat(scores, first, axis=1)
+            r, c = np.nonzero(top >= least)
+            found.append((ids[k + r], tags[c], top[r, c]))
+        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("face_id", "tag_id", "score"), zip(*found, strict=True), strict=True)})
 
     found = examples.unionByName(asked).groupBy("i", "j").applyInPandas(best, "face_id long, tag_id long, score float")
     found = found.groupBy("face_id", "tag_id").agg(F.max("score").alias("score")).join(rejections.select("face_id", "tag_id"), ["face_id", "tag_id"], "left_anti")

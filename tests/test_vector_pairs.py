@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mediacat.operators import dedupe, vectors
+from mediacat.operators import dedupe, faces, vectors
 
 N = 160
 
@@ -93,3 +93,16 @@ def test_vectors_are_not_copied_to_every_cell(spark, known, monkeypatch):
     vectors.similar_pairs(index, -0.5).count()
     chunks = -(-N // vectors.CHUNK_ROWS)
     assert moved[0] <= N * (chunks + vectors.STRIP)
+
+
+def test_suggestions_in_slices(spark, known, monkeypatch, sizes):
+    """Scores are held for a slice of faces; slices change nothing."""
+    if vectors.CHUNK_ROWS <= N:
+        return
+    f = known[0].select(F.col("media_id").alias("id"), "embedding", F.lit(False).alias("dismissed"), F.when(F.col("media_id") % 3 > 0, F.col("media_id") % 7).alias("person_tag_id"))
+    none = spark.createDataFrame([], "face_id long, tag_id long")
+    people = spark.createDataFrame([(k, f"p{k}") for k in range(7)], "id long, name string")
+    of = lambda: sorted((r.face_id, r.tag_id, round(r.score, 5), r["rank"]) for r in faces.suggestions(f, none, people, 8, 0.3).collect())
+    whole = of()
+    monkeypatch.setattr(faces, "SLICE", 7)
+    assert of() == whole and whole
