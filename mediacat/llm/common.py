@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few dozen bytes a row may be broadcast.
 BROADCAST_ROWS = 50_000
-#: Bits of a key filter: so many a key, up to a bound that is broadcast at any size (16 MB).
-BITS_A_KEY = 64
-MOST_BITS = 1 << 27
+#: Bits of a key filter: so many a key, up to a bound that is broadcast at any size (4 MB: the
+#: driver holds a filter several times over while it is collected, built and sent).
+BITS_A_KEY = 16
+MOST_BITS = 1 << 25
 #: Bits in one row of a filter, as Spark's bitmap functions have them.
 _BITMAP = 32_768
 #: Parts of a hot key in :func:`salted_join`.
@@ -68,28 +69,33 @@ def text_or_empty(name: str):
 # ---------------------------------------------------------------- keys of many rows, in bounded space
 
 
-def _place(on: list[str], bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("filter"), *on), F.lit(bits)) + 1
+def _places(on: list[str], bits: int) -> tuple[Column, Column, Column]:
+    """The row of a filter that a key belongs to, and its two bits in it."""
+    place = F.pmod(F.xxhash64(F.lit("filter"), *on), F.lit(bits)) + 1
+    return F.bitmap_bucket_number(place), F.bitmap_bit_position(place), F.pmod(F.xxhash64(F.lit("second"), *on), F.lit(_BITMAP))
+
+
+def _is_set(bits: str, at: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), at.bitwiseAND(F.lit(7).cast("bigint")).cast("int") + 1)) != 0
 
 
 def with_maybe(rows: DataFrame, keys: DataFrame, on: list[str], name: str = "mediacat_maybe") -> DataFrame:
     """``rows`` with the boolean column ``name``: false only where ``keys`` has no such key.
 
-    The keys set bits of a filter with one hash, which is broadcast: at most ``MOST_BITS``,
-    however many keys there are. Of other rows, one in ``BITS_A_KEY`` is marked for as long
-    as the bound allows that many bits a key, and more beyond it.
+    The keys set two bits each of a filter, which is broadcast: at most ``MOST_BITS``,
+    however many keys there are. Of other rows, about one in 70 is marked for as long as the
+    bound allows ``BITS_A_KEY`` bits a key, and more beyond it.
     """
     bits = _BITMAP
     wanted = min(MOST_BITS, BITS_A_KEY * keys.count())
     while bits < wanted:
         bits *= 2
-    place = _place(on, bits)
-    filled = keys.select(F.bitmap_bucket_number(place).alias("mediacat_bucket"), F.bitmap_bit_position(place).alias("bit"))
+    bucket, first, second = _places(on, bits)
+    filled = keys.select(bucket.alias("mediacat_bucket"), F.explode(F.array(first, second)).alias("bit"))
     filled = materialize(filled.groupBy("mediacat_bucket").agg(F.bitmap_construct_agg("bit").alias("mediacat_bits")))
-    marked = rows.withColumn("mediacat_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(filled), "mediacat_bucket", "left")
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("mediacat_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), at.bitwiseAND(F.lit(7).cast("bigint")).cast("int") + 1)) != 0
+    marked = rows.withColumn("mediacat_bucket", bucket).join(F.broadcast(filled), "mediacat_bucket", "left")
+    hit = _is_set("mediacat_bits", first) & _is_set("mediacat_bits", second)
     return marked.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(hit, F.lit(False)).alias(name))
 
 
