@@ -155,3 +155,20 @@ def test_the_acceptance_query(spark, monkeypatch):
     got = catalogue.queries()["face_accepts"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((x.seq, x.outcome) for x in got) == want
     assert {o for _, o in want} >= {"accepted", "ineligible"}
+
+
+def test_similar_faces_are_never_listed(spark, monkeypatch):
+    """Of many faces that are all alike, no table has a row a pair; the order still decides."""
+    n, counts, cut = 160, [], D.checkpointed
+    monkeypatch.setattr(D, "checkpointed", lambda df: counts.append((out := cut(df)).count()) or out)
+    monkeypatch.setattr(D, "SCORES", 1000)
+    angle = lambda k: 0.001 * k if k else np.pi / 2.5
+    faces = [[k + 1, 1, [float(np.cos(angle(k))), float(np.sin(angle(k))), 0.0, 0.0, 0.0, 0.0], False, 100 if k == 0 else None, 1, "a"] for k in range(n)]
+    faces[1][2] = [float(np.cos(np.pi / 5)), float(np.sin(np.pi / 5)), 0.0, 0.0, 0.0, 0.0]  # alone near the example
+    f, r, p = tables(spark, faces, set(), names_of())
+    requests = [(i, i, 100, 1) for i in range(2, n + 1)] + [(1, 3, 100, 1)]
+    got = D.accept_in_order(f, spark.createDataFrame(requests, "seq long, face_id long, tag_id long, revision long"), r, p, DIM, LEAST, ["recognizer"])
+    want, _ = plain_accept(faces, requests, set(), names_of())
+    assert sorted((x.seq, x.outcome) for x in got.collect()) == want
+    assert [o for _, o in want[:2]] == ["ineligible", "accepted"] and want[2][1] == "accepted"
+    assert max(counts) <= 4 * n
