@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.scalars import month_of, parent_folder, trim_space, year_of
-from mediacat.operators.tables import numbered
+from mediacat.operators.tables import by_link, numbered
 
 
 def timeline(media: DataFrame) -> DataFrame:
@@ -56,7 +56,8 @@ def label_status(tables: dict[str, DataFrame], state: DataFrame, taxonomy: str)
     photos = tables["media"].where("media_type = 'photo'").select(F.col("id").alias("media_id"), "content_hash")
     indexed = photos.join(tables["index"].select("media_id", "content_hash"), ["media_id", "content_hash"], "left_semi")
     labelled = indexed.join(state.where(F.col("taxonomy_version") == taxonomy), ["media_id", "content_hash"], "left_semi")
-    links = tables["provenance"].where("source = 'clip'").join(photos, "media_id", "left_semi").join(tables["media_tags"], ["media_id", "tag_id"], "left_semi")
+    links = tables["provenance"].where("source = 'clip'").join(photos, "media_id", "left_semi")
+    links = by_link(links, tables["media_tags"], "left_semi")
     counts = [df.agg(F.count("*").alias(name)) for name, df in (("indexed", indexed), ("labelled", labelled), ("assignments", links))]
     return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # a row each
 
@@ -76,7 +77,7 @@ def tag_facets(tables: dict[str, DataFrame]) -> DataFrame:
     media = tables["media"].select("id", "media_type", "date_taken", tag_dates().alias("on"))
     cover = F.struct((F.col("media_type") == "photo").alias("photo"), "date_taken", "id")
     per_tag = links.join(media, links.media_id == media.id).groupBy("tag_id").agg(F.count("*").alias("media_count"), F.min("on").alias("first_date"), F.max("on").alias("last_date"), F.max(cover)["id"].alias("cover_id"))
-    by_model = origin.where("source = 'clip'").join(links, ["media_id", "tag_id"], "left_semi").groupBy("tag_id").agg(F.count("*").alias("ai_count"))
+    by_model = by_link(origin.where("source = 'clip'"), links, "left_semi").groupBy("tag_id").agg(F.count("*").alias("ai_count"))
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return tags.join(per_tag, tags.id == per_tag.tag_id, "left").drop("tag_id").join(by_model, tags.id == by_model.tag_id, "left").select("id", "name", "category", none("media_count"), none("ai_count"), "first_date", "last_date", "cover_id")
 

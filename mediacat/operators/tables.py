@@ -39,6 +39,14 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFram
     return out.select(*df.columns, name)
 
 
+def by_link(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """``left`` semi or anti joined with ``right`` by (media_id, tag_id). Items are the only key of the
+    join and tags its condition, so links that are dealt by item (as the adapters do) stay
+    in their parts, where a join by both columns would shuffle them again."""
+    of = right.select(F.col("media_id").alias("mediacat_media"), F.col("tag_id").alias("mediacat_tag"))
+    return left.join(of, (F.col("media_id") == F.col("mediacat_media")) & F.col("tag_id").between(F.col("mediacat_tag"), F.col("mediacat_tag")), how)
+
+
 def fold_sorted(df: DataFrame, keys: list[str], order: list[str], folder: Callable[[], Callable[[tuple], object]], name: str, kind: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``df`` and a column ``name``, what a state machine says of each row.
 
