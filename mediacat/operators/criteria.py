@@ -245,8 +245,10 @@ def total(tables: dict[str, DataFrame], c: QueryCriteria, page_rows: int) -> int
 def with_tags(page: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """The page with ``tags``: an array of (id, name, category, source), by category and name."""
     links, tags, origin = tables["media_tags"], tables["tags"], tables["provenance"]
+    ids = page.select(F.col("id").alias("media_id"))
+    origin = origin.join(ids, "media_id", "left_semi")
     of = (
-        links.join(page.select(F.col("id").alias("media_id")), "media_id", "left_semi")
+        links.join(ids, "media_id", "left_semi")
         .join(tags.withColumnRenamed("id", "tag_id"), "tag_id")
         .join(origin.select("media_id", "tag_id", "source"), ["media_id", "tag_id"], "left")
         .groupBy("media_id")
