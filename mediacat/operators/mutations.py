@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mediacat.functions.scalars import base_name, relative_to
 from mediacat.operators.geo import MAX_KM, place_names
+from mediacat.operators.tables import by_link
 
 Tables = dict[str, DataFrame]
 LINK = ["media_id", "tag_id"]
@@ -147,8 +148,8 @@ def set_place_tags(tables: Tables, items: DataFrame, names: DataFrame) -> Tables
     fresh = new.join(links, LINK, "left_anti")
     return {
         "tags": tags,
-        "media_tags": links.join(stale, LINK, "left_anti").unionByName(fresh),
-        "provenance": origin.join(stale, LINK, "left_anti").unionByName(fresh.withColumns({"manual": F.lit(False), "source": F.lit("gps")})),
+        "media_tags": by_link(links, stale, "left_anti").unionByName(fresh),
+        "provenance": by_link(origin, stale, "left_anti").unionByName(fresh.withColumns({"manual": F.lit(False), "source": F.lit("gps")})),
     }
 
 
@@ -320,14 +321,14 @@ def invalidate(tables: Tables, updated: DataFrame) -> Tables:
     ids = updated.join(old, "id").where(differs).select(F.col("id").alias("media_id"))
     links = tables["provenance"].where("NOT manual AND source IN ('face', 'clip')").join(ids, "media_id", "left_semi").select(*LINK)
     out = {name: tables[name].join(ids, "media_id", "left_anti") for name in ("faces", "index") if name in tables}
-    return out | {name: tables[name].join(links, LINK, "left_anti") for name in ("media_tags", "provenance")}
+    return out | {name: by_link(tables[name], links, "left_anti") for name in ("media_tags", "provenance")}
 
 
 def sync_people(tables: Tables) -> Tables:
     """Links of people without those that faces had set and that no face bears any more."""
     borne = tables["faces"].where("NOT dismissed AND person_tag_id IS NOT NULL").select("media_id", F.col("person_tag_id").alias("tag_id")).distinct()
     stale = tables["provenance"].where("NOT manual AND source = 'face'").join(borne, LINK, "left_anti").select(*LINK)
-    return {name: tables[name].join(stale, LINK, "left_anti") for name in ("media_tags", "provenance")}
+    return {name: by_link(tables[name], stale, "left_anti") for name in ("media_tags", "provenance")}
 
 
 def tag_roots(tags: DataFrame, rounds: int = 10) -> DataFrame:
