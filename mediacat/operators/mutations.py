@@ -129,8 +129,8 @@ def replace_smart_tags(tables: Tables, items: DataFrame, assigned: DataFrame) ->
     links, origin = tables["media_tags"].select(*LINK), tables["provenance"].select(*LINK, "manual", "source")
     ids = items.select(F.col("id").alias("media_id")).distinct()
     old = origin.where("source = 'clip' AND NOT manual").join(ids, "media_id", "left_semi").select(*LINK)
-    kept, kept_origin = links.join(old, LINK, "left_anti"), origin.join(old, LINK, "left_anti")
-    new = assigned.select(*LINK).distinct().join(ids, "media_id", "left_semi").join(kept, LINK, "left_anti")
+    kept, kept_origin = by_link(links, old, "left_anti"), by_link(origin, old, "left_anti")
+    new = by_link(assigned.select(*LINK).join(ids, "media_id", "left_semi").distinct(), kept, "left_anti")
     if "smart_tag_rejections" in tables:
         new = new.join(tables["smart_tag_rejections"].select(*LINK), LINK, "left_anti")
     return {"media_tags": kept.unionByName(new), "provenance": kept_origin.unionByName(new.withColumns({"manual": F.lit(False), "source": F.lit("clip")}))}
