@@ -95,10 +95,10 @@ def remove_tag(tables: Tables, items: DataFrame, tag_id: int) -> Tables:
     where a label model had set it, the label is rejected."""
     gone = items.select(F.col("id").alias("media_id")).distinct().withColumn("tag_id", F.lit(tag_id).cast("long"))
     gone = tables["media_tags"].select(*LINK).join(gone, LINK, "left_semi")
-    off = lambda name: tables[name].join(gone, LINK, "left_anti")
+    off = lambda name: by_link(tables[name], gone, "left_anti")
     out = {"media_tags": off("media_tags"), "provenance": off("provenance")}
     if "smart_tag_rejections" in tables:
-        by_model = tables["provenance"].where("source = 'clip'").join(gone, LINK, "left_semi").select(*LINK)
+        by_model = by_link(tables["provenance"].where("source = 'clip'"), gone, "left_semi").select(*LINK)
         out["smart_tag_rejections"] = tables["smart_tag_rejections"].select(*LINK).unionByName(by_model).distinct()
     if "faces" in tables:
         faces = tables["faces"]
