@@ -153,12 +153,13 @@ def set_place_tags(tables: Tables, items: DataFrame, names: DataFrame) -> Tables
     }
 
 
-def merge_media(tables: Tables, pairs: DataFrame) -> Tables:
+def merge_media(tables: Tables, pairs: DataFrame, parts: int | None = None) -> Tables:
     """Copies folded into keepers: ``pairs`` of (keeper, id), each copy once.
 
     A keeper's empty fields take the first copy's value that isn't empty, in the order of
     ids; links and their origins are united, manual ones winning; albums that hold a copy
-    but not the keeper keep its place for the keeper; covers follow. The copies go.
+    but not the keeper keep its place for the keeper; covers follow. The copies go. Links are
+    united in as many ``parts``, which should follow the input.
     """
     media = tables["media"]
     copies = pairs.select("keeper", "id").join(media, "id")
@@ -176,8 +177,9 @@ def merge_media(tables: Tables, pairs: DataFrame) -> Tables:
     out = out.withColumns({c: fill(c, "") for c in texts} | {c: fill(c, 0) for c in numbers} | {c: F.when(takes_gps, F.col(f"c_gps.{c}")).otherwise(F.col(c)) for c in ("latitude", "longitude")} | {"has_gps": F.col("has_gps") | takes_gps}).select(media.columns)
     to = pairs.select(F.col("id").alias("media_id"), "keeper")
     point = lambda df: df.join(to, "media_id", "left").withColumn("media_id", F.coalesce("keeper", "media_id")).drop("keeper")
-    links = point(tables["media_tags"]).select(*LINK).distinct()
-    origin = _merge_origin(point(tables["provenance"]).select(*LINK, "manual", "source"))
+    dealt = lambda df: df if parts is None else df.repartition(parts, "media_id")
+    links = dealt(point(tables["media_tags"]).select(*LINK)).distinct()
+    origin = _merge_origin(dealt(point(tables["provenance"]).select(*LINK, "manual", "source")))
     members = tables["album_media"]
     w = Window.partitionBy("album_id", "media_id").orderBy(F.desc("own"), "position", "was")
     placed = members.withColumn("was", F.col("media_id")).join(to, "media_id", "left").withColumn("own", F.col("keeper").isNull()).withColumn("media_id", F.coalesce("keeper", "media_id"))

@@ -12,7 +12,7 @@ from mediacat.operators import decisions, dedupe, events, facets, faces, geo, jo
 from mediacat.operators.criteria import QueryCriteria as Q
 from mediacat.operators.criteria import ordering, run, select_media, with_tags
 from mediacat.operators.tables import checkpointed, numbered
-from mediacat.sources.adapters import catalog, with_clause
+from mediacat.sources.adapters import catalog, link_parts, with_clause
 from mediacat.streaming import ingest
 
 Tables = dict[str, DataFrame]
@@ -786,7 +786,7 @@ def mut_merge(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT CASE WHEN media_id % 3 = 0 THEN media_id - 1 ELSE media_id END AS media_id, tag_id FROM media_tags")
 def mut_merge_links(t: Tables) -> DataFrame:
-    return mutations.merge_media(t, _merge_pairs(t))["media_tags"]
+    return mutations.merge_media(t, _merge_pairs(t), link_parts(t))["media_tags"]
 
 
 @query(

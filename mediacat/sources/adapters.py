@@ -81,12 +81,17 @@ RELATIONS = {
 LINK_PARTS = 16
 
 
+def link_parts(tables: dict[str, DataFrame]) -> int:
+    """Parts that links are dealt into: so many for each read partition."""
+    return LINK_PARTS * tables["lineitem"].rdd.getNumPartitions()
+
+
 def _links(spark: SparkSession, text: str, used: dict[str, DataFrame]) -> DataFrame:
     """The distinct links of ``media_tags``, made distinct item by item: rows are dealt by item into
     parts whose number follows the input's partitions, so a part has a bounded number of rows,
     and not at first within whatever tasks the joins end in."""
     every = spark.sql(text.replace("SELECT DISTINCT l_orderkey", "SELECT l_orderkey").replace("UNION SELECT", "UNION ALL SELECT"), **used)
-    return every.repartition(LINK_PARTS * used["lineitem"].rdd.getNumPartitions(), "media_id").distinct()
+    return every.repartition(link_parts(used), "media_id").distinct()
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -96,7 +101,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         used = {k: v for k, v in known.items() if "{" + k + "}" in text}
         text = text.replace("{ts}", "unix_timestamp(CAST(o_orderdate AS TIMESTAMP))").replace("sha256(text)", "sha2(text, 256)")
         if name == "album_media":  # grouped where they are dealt, as links are
-            used["lineitem"] = used["lineitem"].repartition(LINK_PARTS * used["lineitem"].rdd.getNumPartitions(), "l_orderkey")
+            used["lineitem"] = used["lineitem"].repartition(link_parts(used), "l_orderkey")
         known[name] = _links(spark, text, used) if name == "media_tags" else spark.sql(text, **used)
     return known
 

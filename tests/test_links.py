@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mediacat.operators import facets, mutations
+from mediacat.operators import facets, mutations, tables
 from mediacat.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +28,32 @@ def test_coverage_and_added_tags(spark):
     origin = spark.createDataFrame([], "media_id long, tag_id long, manual boolean, source string")
     out = mutations.add_tag({"media": media, "media_tags": links, "provenance": origin}, media.unionByName(media), 3)["media_tags"]
     assert sorted(map(tuple, out.collect())) == sorted([*map(tuple, links.collect()), (10, 3)])
+
+
+def test_links_stay_dealt_by_item(spark):
+    """What semi and anti joins by link leave, and united links, is where the links were dealt."""
+    t = adapters.catalog(spark, SF)
+    n = adapters.link_parts(t)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        updated = t["media"].withColumn("width", F.when(F.col("id") % 9 == 0, F.col("width") + 1).otherwise(F.col("width")))
+        fewer = mutations.invalidate(t, updated)["media_tags"]
+        merged = mutations.merge_media(t, t["media"].where("id % 3 = 0").select((F.col("id") - 1).alias("keeper"), "id"), n)["media_tags"]
+        old = t["media"].where("id % 2 = 0")
+        smart = mutations.replace_smart_tags(t, old, old.select(F.col("id").alias("media_id"), F.lit(1001).cast("long").alias("tag_id")))["provenance"]
+        for out in (fewer, merged, smart):
+            parts = out.withColumn("part", F.spark_partition_id())
+            assert parts.agg(F.max("part").alias("most")).first().most >= n // 2
+        plan = facets.tag_facets(t)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(media_id" in plan
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(media_id" in x and "tag_id" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_joins_by_link(spark):
+    left = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, None), (None, 1)], "media_id long, tag_id long")
+    right = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, None), (None, 1)], "media_id long, tag_id long")
+    for how in ("left_semi", "left_anti"):
+        assert sorted(map(str, tables.by_link(left, right, how).collect())) == sorted(map(str, left.join(right, ["media_id", "tag_id"], how).collect()))
