@@ -7,6 +7,7 @@ that a query and its SQL twin start from the same rows. ``{ts}`` is the one diff
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
 
@@ -86,12 +87,28 @@ def link_parts(tables: dict[str, DataFrame]) -> int:
     return LINK_PARTS * tables["lineitem"].rdd.getNumPartitions()
 
 
+_BY_TYPE = "{part} ON l_partkey = p_partkey JOIN {tags} t ON t.name = p_type AND t.category = 'events'"
+
+
+def typed_parts(part: DataFrame, tags: DataFrame, shares: int) -> DataFrame:
+    """``(p_partkey, id)``: parts with the tags of their types. Types are few, so a type's parts
+    meet its tag in so many ``shares``, which should follow the input, and not in one task."""
+    kinds = tags.where("category = 'events'").select("id", F.col("name").alias("p_type"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    share = F.pmod(F.hash("p_partkey"), F.lit(shares)).alias("share")
+    return part.select("p_partkey", "p_type", share).join(kinds, ["p_type", "share"]).select("p_partkey", "id")
+
+
 def _links(spark: SparkSession, text: str, used: dict[str, DataFrame]) -> DataFrame:
     """The distinct links of ``media_tags``, made distinct item by item: rows are dealt by item into
     parts whose number follows the input's partitions, so a part has a bounded number of rows,
-    and not at first within whatever tasks the joins end in."""
+    and not at first within whatever tasks the joins end in. Types get their tags part by part,
+    since lines dealt by type would end in as many tasks as there are types."""
+    if _BY_TYPE not in text:
+        raise ValueError("media_tags no longer joins lines, parts and the tags of types as expected")
+    text, n = text.replace(_BY_TYPE, "{typed} t ON l_partkey = p_partkey"), link_parts(used)
+    used = {k: v for k, v in used.items() if k != "tags"} | {"typed": typed_parts(used["part"], used["tags"], n)}
     every = spark.sql(text.replace("SELECT DISTINCT l_orderkey", "SELECT l_orderkey").replace("UNION SELECT", "UNION ALL SELECT"), **used)
-    return every.repartition(link_parts(used), "media_id").distinct()
+    return every.repartition(n, "media_id").distinct()
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -57,3 +57,24 @@ def test_joins_by_link(spark):
     right = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, None), (None, 1)], "media_id long, tag_id long")
     for how in ("left_semi", "left_anti"):
         assert sorted(map(str, tables.by_link(left, right, how).collect())) == sorted(map(str, left.join(right, ["media_id", "tag_id"], how).collect()))
+
+
+def test_types_get_their_tags_in_shares(spark):
+    """One type on all parts: its parts are dealt into shares, and lines are never dealt by type."""
+    part = spark.range(2000).select(F.col("id").alias("p_partkey"), F.when(F.col("id") % 100 > 0, F.lit("LARGE")).alias("p_type"))
+    part = part.unionByName(part.where("p_partkey < 3")).unionByName(spark.createDataFrame([(None, "LARGE")], "p_partkey long, p_type string"))
+    tags = spark.createDataFrame([(1, "LARGE", "keyword"), (3001, "LARGE", "events"), (3002, "SMALL", "events")], "id long, name string, category string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        got = adapters.typed_parts(part, tags, 64)
+        want = part.where("p_type IS NOT NULL").select("p_partkey", F.lit(3001).cast("long").alias("id"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        rows = [r.n for r in got.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+        assert len(rows) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(rows) < want.count() / 2
+        plan = adapters.catalog(spark, SF)["media_tags"]._jdf.queryExecution().executedPlan().toString()
+        by_type = [x for x in plan.splitlines() if "SortMergeJoin [p_type" in x]
+        assert by_type and all("share" in x for x in by_type)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
