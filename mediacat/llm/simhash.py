@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import broadcast_if_small, materialize, salted_join
+from mediacat.llm.common import broadcast_if_small, materialize, materialize_round, salted_join
 
 SEED = 42
 GROUP_ROWS = 4096
@@ -236,7 +236,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = materialize_round(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = state(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -244,7 +244,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = salted_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, least, "u", "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = materialize(small.select("x.u", "x.v").where("u <> v").distinct())
+        e = materialize_round(small.select("x.u", "x.v").where("u <> v").distinct())
         if (now := state(e)) == seen:
             break
         seen = now

@@ -84,6 +84,14 @@ def test_trie_join_finds_every_link(spark, monkeypatch, sizes, agree):
     assert {k: roots.get(k, k) for k in fps} == least
 
 
+def test_rounds_of_components_leave_no_huge_estimate(spark):
+    path = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    roots = simhash.connected_components(path)
+    assert roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 200  # its digits grew with every round
+    assert {r.node: r.root for r in roots.collect()} == dict.fromkeys(range(41), 0)
+    assert simhash.connected_components(path.limit(0)).count() == 0
+
+
 def test_containment_of_odd_rows(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"Intro, {item.upper()}! outro"), (1, f"Intro, {item.upper()}! outro"), (2, item.replace("six", "x")), (3, None), (None, item), (4, "short text")], "doc_id long, text string")

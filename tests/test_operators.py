@@ -186,6 +186,13 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_rounds_of_components_leave_no_huge_estimate(spark):
+    path = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = connected_components(path)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 200  # its digits grew with every round
+    assert {r.id: r.component for r in found.collect()} == dict.fromkeys(range(41), 0)
+
+
 def fold(rows):
     out, group, place = [], [], None
     for r in sorted(rows, key=lambda r: (r["date_taken"], r["id"])):
